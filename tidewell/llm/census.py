@@ -54,7 +54,7 @@ def cuts(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 ASKED = "bucket int, _block int, kind int, keys binary, vals binary"
-TOLD = "bucket int, _block int, kind int, said binary"
+TOLD = "bucket int, _block int, kind int, said binary, n_total long, n_keys long"
 
 
 def ask(blocks: DataFrame, keys_of: Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray | None]]], n: int) -> DataFrame:
@@ -75,26 +75,45 @@ def ask(blocks: DataFrame, keys_of: Callable[[pa.Table], list[tuple[np.ndarray,
     return blocks.groupBy(BLOCK).applyInArrow(emit, ASKED)
 
 
-def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """reply(keys, counts, sizes): all keys of a range and kind, blocks in ascending order with sizes keys each -> an array for each block."""
+def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, int, int]], packed: bool = False) -> DataFrame:
+    """reply(keys, counts, sizes): all keys of a range and kind, blocks in ascending order with sizes keys each.
+
+    It returns an answer for each key, and two numbers that add up over ranges (told with one row of each range).
+    packed: answers are booleans, sent as bits.
+    """
 
     def tell(table: pa.Table) -> pa.Table:
         table = table.sort_by(BLOCK)
         keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
         counts = [np.frombuffer(x, np.uint32) for x in table.column("vals").to_pylist()]
-        said = reply(np.concatenate(keys), np.concatenate(counts), np.array([len(k) for k in keys]))
+        sizes = np.array([len(k) for k in keys])
+        said, total, n_keys = reply(np.concatenate(keys), np.concatenate(counts), sizes)
+        parts = [(np.packbits(x) if packed else _narrow(x)).tobytes() for x in np.split(said, np.cumsum(sizes)[:-1])]
+        once = lambda x: pa.array([x] + [0] * (len(keys) - 1), pa.int64())
         return pa.table(
-            [table.column("bucket"), table.column(BLOCK), table.column("kind"), pa.array([x.tobytes() for x in said], pa.binary())],
-            names=["bucket", BLOCK, "kind", "said"],
+            [table.column("bucket"), table.column(BLOCK), table.column("kind"), pa.array(parts, pa.binary()), once(total), once(n_keys)],
+            names=["bucket", BLOCK, "kind", "said", "n_total", "n_keys"],
         )
 
     return asked.groupBy("bucket", "kind").applyInArrow(tell, TOLD)
 
 
-def told(table: pa.Table, kind: int, dtype) -> list[np.ndarray]:
-    """What a block was told about one kind of its keys, in key order."""
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same counts in the narrowest unsigned type that holds them."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.min_scalar_type(most))
+
+
+def told(table: pa.Table, kind: int, keys: np.ndarray, n: int, packed: bool = False) -> np.ndarray:
+    """The answers to a block's sorted distinct keys of one kind, in key order."""
     rows = sorted((b, s) for b, k, s in zip(*[table.column(c).to_pylist() for c in ("bucket", "kind", "said")], strict=True) if k == kind)
-    return [np.frombuffer(s, dtype) for _, s in rows]
+    sizes = np.diff(cuts(keys, n))
+    sizes = sizes[sizes > 0]
+    if packed:
+        parts = [np.unpackbits(np.frombuffer(s, np.uint8), count=m).astype(bool) for (_, s), m in zip(rows, sizes, strict=True)]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
+    parts = [np.frombuffer(s, f"u{len(s) // m}").astype(np.uint64) for (_, s), m in zip(rows, sizes, strict=True)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

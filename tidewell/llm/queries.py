@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from . import oracles
+from .lm_scoring import score
 from .substring_dedup import remove_repeats
 
 
@@ -17,5 +20,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup,)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op4_substring_dedup, op10_lm_scoring)}
 ORACLE_SQL = oracles.SQL

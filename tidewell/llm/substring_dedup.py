@@ -45,21 +45,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     def keys(table: pa.Table):
         return [(np.unique(_windows(table, window)[3]), None)]
 
-    def repeated(keys: np.ndarray, _: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    def repeated(keys: np.ndarray, _: np.ndarray, sizes: np.ndarray):
         order = np.argsort(keys, kind="stable")
         again = np.zeros(len(keys), dtype=bool)
         again[order[1:]] = keys[order[1:]] == keys[order[:-1]]
-        return [np.packbits(x) for x in np.split(again, np.cumsum(sizes)[:-1])]
+        return again, 0, 0
 
-    said = census.answer(census.ask(blocks, keys, n), repeated)
+    said = census.answer(census.ask(blocks, keys, n), repeated, packed=True)
 
     def cut(table: pa.Table, said: pa.Table) -> pa.Table:
         table, words, at, hashes, ids = _windows(table, window)
         unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        sizes = np.diff(census.cuts(unique, n))
-        bits = census.told(said, 0, np.uint8)
-        earlier = [np.unpackbits(x, count=s) for x, s in zip(bits, sizes[sizes > 0], strict=True)]
-        earlier = np.concatenate(earlier).astype(bool) if earlier else np.zeros(0, bool)
+        earlier = census.told(said, 0, unique, n, packed=True)
         gone = at[earlier[which] | (ids > ids[first][which])] if len(at) else at
         marks = np.zeros(len(words.hash) + 1, dtype=np.int64)
         marks[gone + 1 if len(gone) else gone] = 1
