@@ -57,8 +57,15 @@ ASKED = "bucket int, _block int, kind int, keys binary, vals binary"
 TOLD = "bucket int, _block int, kind int, said binary, n_total long, n_keys long"
 
 
-def ask(blocks: DataFrame, keys_of: Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray | None]]], n: int) -> DataFrame:
-    """Each block's sorted distinct keys by range. keys_of: table of a block -> [(keys, counts as uint32 or None)] by kind."""
+def ask(blocks: DataFrame, keys_of: Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray | None]]], n: int, short: bool = False) -> DataFrame:
+    """Each block's sorted distinct keys by range. keys_of: table of a block -> [(keys, counts or None)] by kind.
+
+    short: of each key only the first 32 bits of its place in its range are sent. A range holds a few
+    million keys at every size of the corpus, so about one in a thousand keys is counted with another;
+    for uses where a count that is too high does no harm.
+    """
+
+    starts, shift = bounds(n), np.uint64(max(0, ((1 << 64) // n).bit_length() - 32))
 
     def emit(table: pa.Table) -> pa.Table:
         block = table.column(BLOCK)[0].as_py()
@@ -67,7 +74,8 @@ def ask(blocks: DataFrame, keys_of: Callable[[pa.Table], list[tuple[np.ndarray,
             at = cuts(keys, n)
             for b in np.flatnonzero(np.diff(at)):
                 part = slice(at[b], at[b + 1])
-                out.append((int(b), block, kind, keys[part].tobytes(), counts[part].tobytes() if counts is not None else b""))
+                own = ((keys[part] - starts[b]) >> shift).astype(np.uint32) if short else keys[part]
+                out.append((int(b), block, kind, own.tobytes(), _narrow(counts[part]).tobytes() if counts is not None else b""))
         columns = list(zip(*out, strict=True)) or [[]] * 5
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", BLOCK, "kind", "keys", "vals"])
@@ -75,7 +83,7 @@ def ask(blocks: DataFrame, keys_of: Callable[[pa.Table], list[tuple[np.ndarray,
     return blocks.groupBy(BLOCK).applyInArrow(emit, ASKED)
 
 
-def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, int, int]], packed: bool = False) -> DataFrame:
+def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, int, int]], packed: bool = False, short: bool = False) -> DataFrame:
     """reply(keys, counts, sizes): all keys of a range and kind, blocks in ascending order with sizes keys each.
 
     It returns an answer for each key, and two numbers that add up over ranges (told with one row of each range).
@@ -84,8 +92,8 @@ def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, np.ndarray
 
     def tell(table: pa.Table) -> pa.Table:
         table = table.sort_by(BLOCK)
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, np.uint32) for x in table.column("vals").to_pylist()]
+        keys = [np.frombuffer(x, np.uint32 if short else np.uint64) for x in table.column("keys").to_pylist()]
+        counts = [_counts(x, len(k)) for x, k in zip(table.column("vals").to_pylist(), keys, strict=True)]
         sizes = np.array([len(k) for k in keys])
         said, total, n_keys = reply(np.concatenate(keys), np.concatenate(counts), sizes)
         parts = [(np.packbits(x) if packed else _narrow(x)).tobytes() for x in np.split(said, np.cumsum(sizes)[:-1])]
@@ -104,6 +112,10 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(most))
 
 
+def _counts(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"u{len(packed) // n}").astype(np.uint64) if packed else np.zeros(0, np.uint64)
+
+
 def told(table: pa.Table, kind: int, keys: np.ndarray, n: int, packed: bool = False) -> np.ndarray:
     """The answers to a block's sorted distinct keys of one kind, in key order."""
     rows = sorted((b, s) for b, k, s in zip(*[table.column(c).to_pylist() for c in ("bucket", "kind", "said")], strict=True) if k == kind)

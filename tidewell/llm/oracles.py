@@ -2,6 +2,18 @@
 
 SQL: dict[str, str] = {}
 
+SQL["op3_ngram_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM d),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sh),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) * 100 >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = sh.doc_id) AS component_id FROM sh
+"""
+
 SQL["op4_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) AS h

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .lm_scoring import score
+from .ngram_join import near_duplicates
 from .substring_dedup import remove_repeats
 
 
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -25,5 +30,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_substring_dedup, op10_lm_scoring)}
 ORACLE_SQL = oracles.SQL
