@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .decontamination import contamination
+from .license_scan import scan
 from .lm_scoring import score
 from .ngram_join import near_duplicates
 from .substring_dedup import remove_repeats
@@ -25,10 +27,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_substring_dedup, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_ngram_join, op4_substring_dedup, op9_decontamination, op10_lm_scoring)}
 ORACLE_SQL = oracles.SQL
