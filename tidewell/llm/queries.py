@@ -10,8 +10,10 @@ from . import oracles
 from .decontamination import contamination
 from .license_scan import scan
 from .lm_scoring import score
+from .mixing import copies
 from .ngram_join import near_duplicates
 from .substring_dedup import remove_repeats
+from .warc import read, write
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +33,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(write(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -41,5 +51,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_ngram_join, op4_substring_dedup, op9_decontamination, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_ngram_join, op4_substring_dedup, op6_mixing, op8_warc, op9_decontamination, op10_lm_scoring)}
 ORACLE_SQL = oracles.SQL
