@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import oracles, quality
 from .decontamination import contamination
 from .license_scan import scan
 from .lm_scoring import score
@@ -37,6 +37,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(write(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -51,5 +56,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_ngram_join, op4_substring_dedup, op6_mixing, op8_warc, op9_decontamination, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_ngram_join, op4_substring_dedup, op6_mixing, op7_quality, op8_warc, op9_decontamination, op10_lm_scoring)}
 ORACLE_SQL = oracles.SQL
