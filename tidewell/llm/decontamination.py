@@ -156,14 +156,37 @@ def _told(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, items and contaminated of each document."""
-    sized = benchmark.select("item_id", "text", F.octet_length("text").alias("b"))
-    total = sized.agg(F.sum("b")).first()[0] or 0
+def _parts(benchmark: DataFrame, window: int, part_bytes: int):
+    """The searchers of each part of the benchmark; a part is read only when it is needed."""
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 if total <= part_bytes else 2 * (int(total) // part_bytes + 1)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    found = docs.select(F.col("doc_id").cast("long"), "text", F.lit(b"").alias("marks"), F.array().cast("array<string>").alias("items"))
     for i in range(parts):
         rows = benchmark.where(part == i).select("item_id", "text").collect()
-        found = _pass(found, searchers([tuple(r) for r in rows], window), i + 1 < parts)
+        yield searchers([tuple(r) for r in rows], window), i + 1 < parts
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of docs, all columns, in which no window of the benchmark occurs."""
+    for found, _ in _parts(benchmark, window, part_bytes):
+
+        def run(batches, found=found):
+            for batch in batches:
+                words = tokens.tokenise(batch.column("text"), "alnum")
+                room, row = words.room(), words.rows()
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for s in found:
+                    first, _ = s.find(words.hash)
+                    clean[row[first[room[first] >= s.length]]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, items and contaminated of each document."""
+    found = docs.select(F.col("doc_id").cast("long"), "text", F.lit(b"").alias("marks"), F.array().cast("array<string>").alias("items"))
+    for own, again in _parts(benchmark, window, part_bytes):
+        found = _pass(found, own, again)
     return found.mapInArrow(_told, RESULT)

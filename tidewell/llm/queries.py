@@ -11,7 +11,9 @@ from .decontamination import contamination
 from .license_scan import scan
 from .lm_scoring import score
 from .mixing import copies
+from .neighbours import nearest
 from .ngram_join import near_duplicates
+from .pii import redact
 from .substring_dedup import remove_repeats
 from .warc import read, write
 
@@ -20,6 +22,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +40,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "types")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,5 +67,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_ngram_join, op4_substring_dedup, op6_mixing, op7_quality, op8_warc, op9_decontamination, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_ngram_join, op4_substring_dedup, op5_pii, op6_mixing, op7_quality, op8_warc, op9_decontamination, op10_lm_scoring)}
 ORACLE_SQL = oracles.SQL
