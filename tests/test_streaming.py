@@ -1,0 +1,47 @@
+"""Streaming forms give what the batch forms give."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from tidewell.operators import governor, replies
+from tidewell.streaming import stateful
+
+
+def run(stream, name, spark, tmp_path, mode="append"):
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return spark.table(name)
+
+
+def test_engine_health(spark, tmp_path):
+    rows = [(f"e{i % 2}", 1000 * i * 900, i, ["ok", "upstream", "challenge", "timeout"][i % 4 if i % 7 else 0], 503 if i % 4 == 1 else None, None) for i in range(40)]
+    schema = "engine string, ts long, ordinal long, kind string, status int, retry_after long"
+    log = spark.createDataFrame(rows, schema)
+    log.repartitionByRange(3, "ordinal").write.parquet(str(tmp_path / "log"))
+    stream = stateful.engine_health(spark.readStream.schema(schema).parquet(str(tmp_path / "log")), skip=False)
+    got = {r.ordinal: (r.until, r.reason) for r in run(stream, "health", spark, tmp_path).collect()}
+    assert got == {r.ordinal: (r.until, r.reason) for r in governor.suspensions(log).collect()}
+
+
+def test_chunks_anywhere(spark, tmp_path):
+    body = b"".join(f"event: x\r\ndata: {json.dumps({'n': i})}\r\n\r\n".encode() for i in range(5)) + b": c\n\ndata: a\ndata: b\n\n"
+    for width in (1, 5, 1000):
+        chunks = [("s", i, bytearray(body[a : a + width])) for i, a in enumerate(range(0, len(body), width))]
+        frame = spark.createDataFrame(chunks, "stream_id string, chunk_seq int, chunk binary")
+        path = str(tmp_path / f"c{width}")
+        frame.write.parquet(path)
+        stream = stateful.stream_events(spark.readStream.schema(frame.schema).parquet(path))
+        got = [r.data for r in run(stream, f"chunks{width}", spark, tmp_path).orderBy("seq").collect()]
+        batch = replies.joined_stream(frame).select(F.explode(replies.sse_events(F.col("body"))).alias("d"))
+        assert got == [r.d for r in batch.collect()] and len(got) == 6
+
+
+def test_progress_and_windows(spark, tmp_path):
+    events = [(1, 1, "2024-01-01T00:00:01Z", 0, "s", 1, "search.started", "{}"), (1, 2, "2024-01-01T00:00:02Z", 0, "s", 1, "answer.verified", '{"bullets":3,"exact":2}'), (1, 3, "2024-01-01T01:00:02Z", 0, "s", 1, "model.delta", '{"attempt":2,"text":"a\\nbc"}')]
+    frame = spark.createDataFrame(events, stateful.ENVELOPE)
+    frame.write.json(str(tmp_path / "ev"))
+    out = run(stateful.session_progress(stateful.read_events(spark, str(tmp_path / "ev"))), "progress", spark, tmp_path, "update").collect()
+    assert (out[-1].status, out[-1].bullets, out[-1].exact, out[-1].tail) == ("searching", 3, 2, "bc")
+    counts = run(stateful.windowed_counts(stateful.read_events(spark, str(tmp_path / "ev"))), "windows", spark, tmp_path, "append").collect()
+    assert {r.type for r in counts} <= {"search.started", "answer.verified", "model.delta"}
