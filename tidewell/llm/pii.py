@@ -49,7 +49,21 @@ SYLLABLES = {
 #: What a secret keeps, and the rest.
 WORD = r"^(AKIA|[A-Za-z_]+ ?[=:] ?[\"']?)(.*)$"
 PATTERNS["person"] = r"(?<![\p{L}0-9])(?:" + "|".join(t.replace(".", r"\.") for t in TITLES["f"] + TITLES["m"]) + r") \p{Lu}\p{Ll}{1,30}(?:[ \-]\p{Lu}\p{Ll}{1,30})?(?![\p{L}])"
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Characters that an entity of each type begins with; looked at first, so that most of a text costs one comparison.
+BEGINS = {"secret": "AapPsStT", "email": r"A-Za-z0-9._%+\-", "iban": "A-Z", "card": "3-6", "phone": r"0-9+(", "ssn": "0-9", "ip": "0-9", "person": "".join(sorted({t[0] for t in TITLES["f"] + TITLES["m"]}))}
+ANY = "|".join(f"(?=[{BEGINS[name]}])(?:{p})" for name, p in PATTERNS.items())
+#: The same without emails, for texts without an @.
+PLAIN = "|".join(f"(?=[{BEGINS[name]}])(?:{p})" for name, p in PATTERNS.items() if name != "email")
+
+
+def _found(text: Column) -> Column:
+    """Entities in order. Without digits and @ only secrets and persons can occur, which start with a word of a fixed list."""
+    word = F.contains(text, F.lit("AKIA")) | text.rlike(r"[=:]")
+    for t in TITLES["f"] + TITLES["m"]:
+        word = word | F.contains(text, F.lit(t + " "))
+    whole = F.when(F.contains(text, F.lit("@")), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    plain = F.when(text.rlike("[0-9]") | word, F.regexp_extract_all(text, F.lit(PLAIN), F.lit(0)))
+    return F.coalesce(whole, plain, F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
 def _type(entity: Column) -> Column:
@@ -188,7 +202,7 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> tuple[DataFrame, str]:
     """docs with surrogates in text, and the name of a further column: the found entities in order (type, entity, surrogate; those of null type stay)."""
     tag = uuid.uuid4().hex
     c = {x: f"_{x}_{tag}" for x in ("entities", "id", "found", "parts")}
-    marked = docs.withColumn(c["entities"], F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    marked = stored(docs.withColumn(c["entities"], _found(F.col("text"))), "marked")  # the texts are searched once
     some = F.size(c["entities"]) > 0
     nothing = F.array().cast("array<struct<type:string,entity:string,surrogate:string>>")
     dirty = marked.where(some).withColumn(c["id"], F.sha2("text", 256))
