@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tidewell.operators import evals, fetch, fusion, governor, grounding, history, render, replies, search, tape
+from tidewell.operators import evals, fetch, fusion, governor, grounding, history, render, replies, search, tape, tools
 from tidewell.sources import readers, sinks
 
 
@@ -159,3 +159,20 @@ def test_tape(spark):
     asked = spark.createDataFrame([("https://a.example/",), ("https://www.b.example",), ("https://d.example",)], "url string")
     assert {r.url: r.pos for r in tape.find_pages(asked, pages).collect()} == {"https://a.example/": 1, "https://www.b.example": 1, "https://d.example": None}
     assert [r.url for r in tape.missing_pages(asked, pages).collect()] == ["https://d.example"]
+
+
+def test_tools(spark):
+    calls = spark.createDataFrame([("1", "search", '{"queries":["a"]}'), ("2", "fetch", "{"), ("3", "open", "{}"), ("4", "fetch", '{"url":5}')], "id string, name string, arguments string")
+    out = {r.id: (r.route, r.failure) for r in tools.dispatch(calls).collect()}
+    assert out == {"1": ("search", None), "2": (None, "arguments are not JSON"), "3": (None, "unknown tool: open"), "4": (None, "url must be a string")}
+    assert [r[0] for r in spark.createDataFrame([('{"a":["xy",{"b":"é"}],"n":1}',), ("{",)], "t string").select(tools.string_chars(F.col("t"))).collect()] == [3, None]
+    bad = spark.createDataFrame([(100, 200, 1, 1, "https://a", "openai"), (3000, 10, 1, 1, "https://a", "anthropic"), (10, None, 2, 2, "https://a", "openai")], "max_tokens int, thinking_budget int, max_attempts int, timeout_ms int, base_url string, format string")
+    assert [r.problem for r in tools.setting_problems(bad).collect()] == ["max_tokens must exceed thinking_budget", "thinking_budget must be at least 1024", None]
+    assert [r[0] for r in spark.createDataFrame([("ok-1",), (".x",), ("",), ("a" * 65,)], "n string").select(tools.session_id_ok(F.col("n"))).collect()] == [True, False, False, False]
+    rows = spark.createDataFrame([(["q"], 2, [("brave", True, True), ("bing", False, False)])], "queries array<string>, hits int, engines array<struct<engine:string,answered:boolean,cached:boolean>>")
+    assert json.loads(tools.search_payload(rows).first().data)["cached"] is True
+    events = spark.createDataFrame([("s", 1, "search.started", 1, "{}"), ("s", 2, "fetch.started", 2, "{}"), ("s", 3, "session.finished", None, '{"outcome":"ok"}')], "session_id string, seq int, type string, turn int, data string")
+    assert [(r.turn, r.searches, r.final, r.outcome) for r in tools.replayed_turns(events).orderBy("turn").collect()] == [(1, 1, False, None), (2, 0, True, "ok")]
+    body = '{"content":[{"type":"text","text":"Hi"},{"type":"tool_use","id":"t","name":"fetch","input":{"url":"u"}}],"stop_reason":"tool_use","usage":{"input_tokens":3,"output_tokens":2,"cache_read_input_tokens":4}}'
+    a = spark.createDataFrame([(body,)], "b string").select(replies.anthropic_body(F.col("b")).alias("r")).first().r
+    assert (a.output, a.finish_reason, a.usage.prompt_tokens, a.tool_calls[0].arguments, a.error) == ("Hi", "tool_calls", 7, '{"url":"u"}', None)

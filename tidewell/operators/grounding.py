@@ -96,9 +96,8 @@ def contained_quotes(pages: DataFrame, quotes: DataFrame, k: int = 3) -> DataFra
     key = F.when(F.size(inner) >= k, F.array_join(F.slice(inner, 1, k), " "))
     q = q.withColumn("key", key)
     p = pages.select("page_id", norm("text").alias("p"))
-    word = p.select("page_id", F.split("p", " ").alias("w")).select("page_id", F.posexplode("w").alias("at", "w"))
-    order = Window.partitionBy("page_id").orderBy("at")
-    grams = F.concat_ws(" ", "w", *[F.lead("w", i).over(order) for i in range(1, k)])
-    met = word.select("page_id", grams.alias("key")).join(q.where("key IS NOT NULL").select("key", "quote_id"), "key").select("page_id", "quote_id").distinct()
+    grams = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get("w", i + j) for j in range(1, k)]))
+    word = p.select("page_id", F.split("p", " ").alias("w")).select("page_id", F.explode(F.array_distinct(grams)).alias("key"))
+    met = word.join(q.where("key IS NOT NULL").select("key", "quote_id"), "key").select("page_id", "quote_id").distinct()
     long = met.join(p, "page_id").join(q.select("quote_id", "q"), "quote_id").where(F.contains("p", "q")).select("page_id", "quote_id")
     return long

@@ -77,6 +77,17 @@ def openai_body(body: Column) -> Column:
     return F.struct(m["message"]["content"].alias("output"), m["message"]["reasoning_content"].alias("thinking"), m["finish_reason"].alias("finish_reason"), m["message"]["tool_calls"].alias("tool_calls"), j["usage"]["prompt_tokens"].alias("prompt_tokens"), j["usage"]["completion_tokens"].alias("completion_tokens"), cached.alias("cached_prompt_tokens"), error.alias("error"))
 
 
+def anthropic_body(body: Column) -> Column:
+    """The same struct for a whole message; a refusal and an error object win."""
+    block = "struct<type:string,id:string,name:string,text:string,thinking:string,input:variant>"
+    usage = "struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>"
+    j = F.from_json(body, f"content array<{block}>, stop_reason string, usage {usage}, error struct<message:string>")
+    text = lambda kind, field: F.array_join(F.transform(F.filter(j["content"], lambda b: b["type"] == kind), lambda b: b[field]), "")
+    calls = F.transform(F.filter(j["content"], lambda b: b["type"] == "tool_use"), lambda b: F.struct(b["id"].alias("id"), b["name"].alias("name"), F.to_json(b["input"]).alias("arguments")))
+    error = F.when(j["error"].isNotNull(), j["error"]["message"]).when(j["content"].isNull(), "no content").when(j["stop_reason"] == "refusal", "refused")
+    return F.struct(text("text", "text").alias("output"), text("thinking", "thinking").alias("thinking"), finish_reason(j["stop_reason"]).alias("finish_reason"), calls.alias("tool_calls"), anthropic_usage(j["usage"]).alias("usage"), error.alias("error"))
+
+
 def anthropic_usage(u: Column) -> Column:
     """Prompt tokens count what was read from and written to the cache too."""
     n = lambda c: F.coalesce(u[c], F.lit(0))
