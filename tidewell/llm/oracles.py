@@ -42,3 +42,17 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS B
        sha256(coalesce(its.s, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+CRC32 = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT), lambda s, b: list_reduce([xor(s, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)"
+
+SQL["op10_lm_scoring"] = rf"""
+WITH d AS (SELECT doc_id, {CRC32} % 10 = 0 AS held_out, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') || [chr(10)] AS w FROM documents),
+tok AS (SELECT doc_id, held_out, w[i] AS t, CASE WHEN i = 1 THEN chr(9) ELSE w[i - 1] END AS p FROM (SELECT doc_id, held_out, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c1 AS (SELECT t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY t), c2 AS (SELECT p, t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY p, t),
+st AS (SELECT t AS p, c FROM c1 UNION ALL SELECT chr(9), count(*) FROM d WHERE NOT held_out),
+n AS (SELECT sum(c)::DOUBLE AS n, count(*) AS v FROM c1),
+x AS (SELECT doc_id, held_out, coalesce(c1.c, 0) AS c, coalesce(c2.c, 0) AS cc, coalesce(st.c, 0) AS s, (coalesce(c1.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)) AS pr
+      FROM tok LEFT JOIN c1 ON tok.t = c1.t LEFT JOIN c2 ON tok.p = c2.p AND tok.t = c2.t LEFT JOIN st ON tok.p = st.p, n)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(*) FILTER (WHERE c > 0)::BIGINT AS n_known, (SELECT CAST(n AS BIGINT) FROM n) AS train_tokens,
+       round(fsum(log10(pr)), 6) AS base_score, round(fsum(log10((cc + 10.0::DOUBLE * pr) / (s + 10.0::DOUBLE))), 6) AS score FROM x GROUP BY doc_id, held_out
+"""
