@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from . import gam, tokens
 
 SAMPLE = 20_000
 FOLDS, HELD_OUT = 3, 1
+SLICE = 1 << 20
 FEATURES = ["log_words", "upper", "digits", "marks", "bars", "odd", "mean_word", "spread_word", "distinct", "again", "trigrams", "lines", "line_words", "ends", "long_words", "blank", "top"]
 SCORED = "doc_id long, held_out boolean, score double"
 
@@ -47,7 +49,20 @@ CLASSES = _classes()
 
 
 def features(column) -> np.ndarray:
-    """One row of FEATURES for each text."""
+    """One row of FEATURES for each text, worked out for about SLICE bytes at a time."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto, start, out = np.cumsum(sizes, dtype=np.int64), 0, []
+    while start < len(column):
+        before = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + SLICE, "right")))
+        out.append(_features(column.slice(start, stop - start)))
+        start = stop
+    return np.concatenate(out) if out else np.zeros((0, len(FEATURES)))
+
+
+def _features(column) -> np.ndarray:
     data, offsets = tokens.column_bytes(column)
     words = tokens.tokenise(column, "blank", spans=True)
     n = len(offsets) - 1
