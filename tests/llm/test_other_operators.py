@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import os
+import re
 import struct
 from collections import defaultdict
 
@@ -175,18 +176,73 @@ def test_warc(spark, tmp_path):
     assert warc.read(warc.write(frame.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
+def _linked_groups(texts):
+    """Smallest position of each text's group of links, by comparing all pairs of shingle sets."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= 75 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def _leaks(texts, items):
+    """Which texts hold ten consecutive words of an item, or a shorter item whole."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + 10]) for w in map(words, items) if w for i in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+    return [any(tuple(w[i : i + m]) in windows for m in sizes for i in range(len(w) - m + 1)) for w in map(words, texts)]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_pipeline(spark):
     import corpus_pipeline
 
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "near_duplicates", "decontamination", "pii", "mixing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept, seen = docs, []
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, kept, SF)
-        seen.append((name, out.count()))
-        if name != "mixing":
-            assert out.columns == docs.columns
-        kept = out
-    assert [n for n, _ in seen] == ["quality", "near_duplicates", "decontamination", "pii", "mixing"]
-    assert 100 < seen[-1][1] == seen[-2][1] == seen[-3][1] <= seen[-4][1] <= seen[-5][1] < docs.count()
-    assert corpus_pipeline.run(spark, SF).count() == seen[-1][1]
+    good = stages["quality"](spark, docs, SF)
+    rows = sorted(good.collect(), key=lambda r: r.doc_id)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = {r.doc_id for r in rows}
+    wrong = [i for i, q in labels.items() if (i in kept) != (q == 1)]
+    assert good.columns == docs.columns and len(wrong) <= 0.03 * len(labels)
+
+    one = stages["near_duplicates"](spark, good, SF)
+    want = [rows[g].doc_id for g in sorted(set(_linked_groups([r.text for r in rows])))]
+    single = sorted(one.collect(), key=lambda r: r.doc_id)
+    assert one.columns == docs.columns and [r.doc_id for r in single] == want
+
+    clean = stages["decontamination"](spark, one, SF)
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = [r.doc_id for r, bad in zip(single, _leaks([r.text for r in single], items), strict=True) if not bad]
+    left = sorted(clean.collect(), key=lambda r: r.doc_id)
+    assert clean.columns == docs.columns and [r.doc_id for r in left] == want
+
+    private = stages["pii"](spark, clean, SF)
+    found = {r.doc_id: r for r in pii.redact(clean).collect()}
+    new = sorted(private.collect(), key=lambda r: r.doc_id)
+    assert private.columns == docs.columns and [r.doc_id for r in new] == want
+    for before, after in zip(left, new, strict=True):
+        text = before.text
+        for x in found[before.doc_id].replaced:
+            text = text.replace(x.entity, x.surrogate, 1)
+            assert x.entity not in after.text
+        assert after.text == text and after.n_chars == len(text) and after.source == before.source
+
+    mixed = stages["mixing"](spark, private, SF).collect()
+    taken, target = defaultdict(int), {}
+    for r in mixed:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    total = sum(r.size for r in mixed)
+    assert sorted(r.doc_id for r in mixed) == want and abs(sum(target.values()) - 1.5 * total) < 1e-6 * total
+    assert all(abs(taken[s] - target[s]) <= max(r.size for r in mixed if r.source == s) for s in target)
+    again = corpus_pipeline.run(spark, SF)
+    assert sorted((r.doc_id, r.taken) for r in again.collect()) == sorted((r.doc_id, r.taken) for r in mixed)

@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import partitions, stored
 
 KEY = "tidewell"
 
@@ -159,7 +159,8 @@ def _surrogate(key: str) -> Column:
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """entities (type, canon), repeated or not -> type, canon, core: distinct among surrogates and from all entities of the type."""
-    table = entities.groupBy("type", "canon").count().drop("count").withColumn("attempt", F.lit(0))
+    # drawing costs much more than its few bytes tell, so the rows are dealt out and not coalesced by size
+    table = entities.groupBy("type", "canon").count().drop("count").repartition(partitions(entities.sparkSession)).withColumn("attempt", F.lit(0))
     table = stored(table.withColumn("core", _surrogate(key)), "surrogates")
     while True:
         shared = table.groupBy("type", "core").agg(F.min("canon").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("type", "core", "keeper")
