@@ -89,6 +89,17 @@ def test_surrogates_resolve_collisions(spark, monkeypatch):
     assert len({r.core for r in out}) == 21 and not {r.core for r in out} & {r.canon for r in out}
 
 
+def test_surrogates_of_secrets_without_letters(spark, monkeypatch):
+    stored, tables = pii.stored, []
+    monkeypatch.setattr(pii, "stored", lambda df, name: tables.append(name) or (stored(df, name) if len(tables) < 40 else pytest.fail("no end")))
+    secrets = ["password: ********", "token: пароль", "password: \u2028\u2028secret", "password: \u2028\u2028other1"]
+    out = {r.canon: r.core for r in pii.surrogates(spark.createDataFrame([("secret", s) for s in secrets], "type string, canon string")).collect()}
+    assert set(out) == set(secrets) and len(set(out.values())) == 4 and not set(out.values()) & set(secrets)
+    assert all(c.split(": ")[0] == s.split(": ")[0] and len(c) == len(s) and "*" not in c and not set("пароль") & set(c) for s, c in out.items())
+    text = pii.redact(spark.createDataFrame([(1, "my password: ******** and token: пароль end")], "doc_id long, text string")).first().text
+    assert text == f"my {out['password: ********']} and {out['token: пароль']} end"
+
+
 def test_mixing(spark):
     r = np.random.default_rng(0)
     rows = [(i, " ".join(["w"] * int(r.integers(0, 60))), ["a", "b", "c", None, "Z"][int(r.integers(0, 5)) if i % 3 else 0]) for i in range(900)]

@@ -4,7 +4,7 @@ Entities are found by one pattern and get a type. Each distinct entity (type and
 form: emails in lower case, numbers without separators, surnames of persons) gets a surrogate
 drawn by a keyed hash, so an entity has the same surrogate wherever and in whatever format it
 occurs. Surrogates keep the type and the format: character classes and separators, a card's brand and check
-digit, valid octets, a phone's country code, an email's last domain label, a person's title, with a first name
+digit, valid octets, a phone's country code, an email's last domain label, a secret's keyword (the rest is drawn whole), a person's title, with a first name
 of the same gender and a surname in the same script. All surrogates are
 compared with each other and with all entities; those that coincide are drawn again until none does.
 
@@ -47,7 +47,7 @@ SYLLABLES = {
     "cyrillic": ["бар", "вол", "гор", "дан", "зар", "кел", "лин", "мар", "нор", "пел", "ран", "сол", "там", "фал", "хол", "чер"],
 }
 #: What a secret keeps, and the rest.
-WORD = r"^(AKIA|[A-Za-z_]+ ?[=:] ?[\"']?)(.*)$"
+WORD = r"(?s)^(AKIA|[A-Za-z_]+ ?[=:] ?[\"']?)(.*)$"
 PATTERNS["person"] = r"(?<![\p{L}0-9])(?:" + "|".join(t.replace(".", r"\.") for t in TITLES["f"] + TITLES["m"]) + r") \p{Lu}\p{Ll}{1,30}(?:[ \-]\p{Lu}\p{Ll}{1,30})?(?![\p{L}])"
 #: Characters that an entity of each type begins with; looked at first, so that most of a text costs one comparison.
 BEGINS = {"secret": "AapPsStT", "email": r"A-Za-z0-9._%+\-", "iban": "A-Z", "card": "3-6", "phone": r"0-9+(", "ssn": "0-9", "ip": "0-9", "person": "".join(sorted({t[0] for t in TITLES["f"] + TITLES["m"]}))}
@@ -103,13 +103,13 @@ def _places(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
 
 
-def _redrawn(text: Column, stream: Column, hexadecimal: Column | None = None) -> Column:
-    """Each letter and digit replaced by another of its class."""
+def _redrawn(text: Column, stream: Column, hexadecimal: Column | None = None, others: bool = False) -> Column:
+    """Each letter and digit replaced by another of its class; with others, every other character by a small letter."""
 
     def one(i: Column) -> Column:
         c, v = F.substring(text, i, F.lit(1)), _byte(stream, i)
-        digit = F.chr(F.lit(48) + v % 10)
-        out = F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), F.chr(F.lit(97) + v % 26)).when(c.rlike("[A-Z]"), F.chr(F.lit(65) + v % 26)).otherwise(c)
+        digit, small = F.chr(F.lit(48) + v % 10), F.chr(F.lit(97) + v % 26)
+        out = F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), small).when(c.rlike("[A-Z]"), F.chr(F.lit(65) + v % 26)).otherwise(small if others else c)
         return out if hexadecimal is None else F.when(hexadecimal & c.rlike("[a-f]"), F.chr(F.lit(97) + v % 6)).otherwise(out)
 
     return F.array_join(F.transform(_places(text), one), "")
@@ -141,7 +141,9 @@ def _surrogate(key: str) -> Column:
     phone = F.concat(F.expr("substring(canon, 1, greatest(length(canon) - 10, 0))"), first(0), F.substring(tail, 2, 2), first(1), F.substring(tail, 5, 10))
     word = F.regexp_extract(canon, WORD, 1)
     rest = F.regexp_extract(canon, WORD, 2)
-    secret = F.concat(word, _redrawn(rest, stream, rest.rlike("^[0-9a-f]+$")))
+    # a secret may have no letter or digit, or few draws of its length may be free: every character is drawn, and more of them after eight attempts
+    longer = F.concat(rest, F.repeat(F.lit("a"), F.greatest(F.col("attempt") - 8, F.lit(0))))
+    secret = F.concat(word, _redrawn(longer, stream, rest.rlike("^[0-9a-f]+$"), others=True))
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     syllable = lambda i, s: F.element_at(F.array(*[F.lit(x) for x in SYLLABLES[s]]), F.conv(F.substring(stream, i + 1, F.lit(1)), 16, 10).cast("int") + 1)
     surname = lambda s: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3) + F.col("attempt")), lambda i: syllable(i % 180, s)), "")
