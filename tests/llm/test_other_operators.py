@@ -100,6 +100,15 @@ def test_surrogates_of_secrets_without_letters(spark, monkeypatch):
     assert text == f"my {out['password: ********']} and {out['token: пароль']} end"
 
 
+def test_long_secrets(spark):
+    head, a, b = "aB3_" * 60, "x7-Q" * 15, "y8-R" * 15
+    texts = [(1, f"go token={head}{a} on"), (2, f"go token={head}{b} on"), (3, "token=" + "é7" * 20_000)]
+    got = {r.doc_id: r for r in pii.redact(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [x.entity for i in (1, 2, 3) for x in got[i].replaced] == [f"token={head}{a}", f"token={head}{b}", texts[2][1]]
+    assert got[1].text != got[2].text and all(len(got[i].text) == len(t) and a not in got[i].text and b not in got[i].text and "é" not in got[i].text for i, t in texts)
+    assert all(got[i].text.startswith("go token=") and got[i].text.endswith(" on") for i in (1, 2))
+
+
 def test_mixing(spark):
     r = np.random.default_rng(0)
     rows = [(i, " ".join(["w"] * int(r.integers(0, 60))), ["a", "b", "c", None, "Z"][int(r.integers(0, 5)) if i % 3 else 0]) for i in range(900)]

@@ -26,7 +26,7 @@ KEY = "tidewell"
 
 # Patterns of entities, titles with the gender they tell, and parts of names.
 PATTERNS = {
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_key|apikey) ?[=:] ?[\"']?[^\s\"',;=:]{6,200}+",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_key|apikey) ?[=:] ?[\"']?[^\s\"',;=:]{6,}+",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z])[3-6][0-9]{3}(?:[0-9]{11,12}|([ \-])[0-9]{4}(?:[ \-][0-9]{4}){2}|[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9A-Za-z])",
@@ -106,13 +106,18 @@ def _places(text: Column) -> Column:
 def _redrawn(text: Column, stream: Column, hexadecimal: Column | None = None, others: bool = False) -> Column:
     """Each letter and digit replaced by another of its class; with others, every other character by a small letter."""
 
-    def one(i: Column) -> Column:
-        c, v = F.substring(text, i, F.lit(1)), _byte(stream, i)
-        digit, small = F.chr(F.lit(48) + v % 10), F.chr(F.lit(97) + v % 26)
-        out = F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), small).when(c.rlike("[A-Z]"), F.chr(F.lit(65) + v % 26)).otherwise(small if others else c)
-        return out if hexadecimal is None else F.when(hexadecimal & c.rlike("[a-f]"), F.chr(F.lit(97) + v % 6)).otherwise(out)
+    def drawn(given: Column) -> Column:
+        def one(c: Column, at: Column) -> Column:
+            v = _byte(given["stream"], at + 1)
+            digit, small = F.chr(F.lit(48) + v % 10), F.chr(F.lit(97) + v % 26)
+            out = F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), small).when(c.rlike("[A-Z]"), F.chr(F.lit(65) + v % 26)).otherwise(small if others else c)
+            return F.when(given["hexadecimal"] & c.rlike("[a-f]"), F.chr(F.lit(97) + v % 6)).otherwise(out)
+
+        return F.array_join(F.transform(F.split(text, ""), one), "")
 
-    return F.array_join(F.transform(_places(text), one), "")
+    # a secret may be long: its characters come from an array, and what holds for all of them is worked out once
+    given = F.array(F.struct(stream.alias("stream"), (F.lit(False) if hexadecimal is None else hexadecimal).alias("hexadecimal")))
+    return F.when(F.length(text) > 0, F.get(F.transform(given, drawn), F.lit(0))).otherwise(text)
 
 
 def _luhn(body: Column) -> Column:
