@@ -45,6 +45,24 @@ def test_neighbours(spark):
     assert neighbours.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_neighbours_of_many_copies():
+    g = np.random.default_rng(5)
+    kinds = g.standard_normal((40, 32))
+    rows = np.concatenate([np.repeat(kinds, 400, axis=0), 3 * kinds, g.standard_normal((500, 32))])
+    ids = np.sort(g.permutation(50_000)[: len(rows)]).astype(np.int64)
+    rows = rows[g.permutation(len(rows))]
+    ids[1:3] = ids[0]  # an id may be repeated
+    asked = [next(i for i in g.permutation(len(rows)) if np.array_equal(rows[i], v)) for v in kinds]
+    found = defaultdict(list)
+    for q, i, _ in neighbours._search(ids, rows, ids[asked], rows[asked], 5, neighbours.CONFIDENCE):
+        found[q].append(i)
+    for a in asked:
+        # copies and threefold vectors score alike but for rounding
+        score = (rows * rows[a]).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((rows[a] * rows[a]).sum()))
+        at = np.lexsort((ids, -score))
+        assert found[ids[a]] == [i for i in ids[at] if i != ids[a]][:5]
+
+
 def test_chi_square():
     assert abs(neighbours.chi_square(7.344, 8) - 0.5) < 1e-3 and abs(neighbours.chi_square(15.507, 8) - 0.95) < 1e-4
 

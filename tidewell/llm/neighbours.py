@@ -2,7 +2,7 @@
 
 Unit vectors are projected to DIMS dimensions by Gaussian directions, the same on every machine. For a
 true distance d the squared projected distance over d squared follows a chi-square law with
-DIMS degrees of freedom. Each block of rows has a kd-tree over its projections; a query takes
+DIMS degrees of freedom. Each block of rows has a kd-tree over the projections of its distinct vectors; a query takes
 the tree's leaves by their distance from its own projection, verifies the vectors in them, and
 stops when a vector as near as the k-th best so far would, with probability CONFIDENCE, have been met already.
 
@@ -89,35 +89,50 @@ class Tree:
 
 
 def _search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, confidence: float):
-    """The k nearest rows found for each query: lists of (query_id, vec_id, score)."""
+    """The k nearest rows found for each query: lists of (query_id, vec_id, score). ids ascend; equal vectors are one point of the tree with the ids of all."""
+    vectors = np.ascontiguousarray(vectors + 0.0)  # no negative zeros: equal vectors have equal bytes
+    _, first, group = np.unique(vectors.view(f"V{vectors.itemsize * vectors.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    vectors = vectors[first]
     norms = np.sqrt((vectors * vectors).sum(1))
     unit = vectors / norms[:, None]
     directions = _directions(vectors.shape[1])
     tree = Tree(unit @ directions)
-    vectors, unit, norms, ids = vectors[tree.order], unit[tree.order], norms[tree.order], ids[tree.order]
+    vectors, unit, norms = vectors[tree.order], unit[tree.order], norms[tree.order]
+    point = np.argsort(tree.order)[group]  # the point of each row
+    members = ids[np.argsort(point, kind="stable")]
+    count = np.bincount(point, minlength=len(vectors))
+    begin = np.cumsum(count) - count
     limit = _quantile(confidence)
     for query_id, q in zip(query_ids, queries, strict=True):
         own = q / math.sqrt((q * q).sum())
         leaves, far = tree.leaves(own @ directions)
+        mine = point[np.searchsorted(ids, query_id) : np.searchsorted(ids, query_id, "right")]
         best, kth, at, step = [], -np.inf, 0, 2
-        while at < len(leaves) and not (len(best) and kth > -np.inf and far[at] > limit * max(0.0, 2 - 2 * kth)):
+        # projections of nearly equal vectors differ by rounding, so a bound of 0 needs a tolerance
+        while at < len(leaves) and not (len(best) and kth > -np.inf and far[at] > limit * max(0.0, 2 - 2 * kth) + 1e-9):
             rows = np.concatenate([np.arange(tree.starts[i], tree.stops[i]) for i in leaves[at : at + step]])
             at, step = at + step, min(step * 2, 16)
-            rows = rows[ids[rows] != query_id]
+            left = count[rows]
+            for p in mine:
+                left = left - (rows == p)
+            rows, left = rows[left > 0], np.minimum(left[left > 0], k)
             near = unit[rows] @ own
-            best.append((rows, near))
-            every = np.concatenate([x for _, x in best])
+            best.append((rows, near, left))
+            every = np.concatenate([np.repeat(n, m) for _, n, m in best])
             if len(every) >= k:
                 kth = np.partition(every, len(every) - k)[len(every) - k]
-                keep = [(r[n >= kth - 1e-9], n[n >= kth - 1e-9]) for r, n in best]
+                keep = [(r[n >= kth - 1e-9], n[n >= kth - 1e-9], m[n >= kth - 1e-9]) for r, n, m in best]
                 best = [x for x in keep if len(x[0])]
-        if not best:
+        if not any(len(r) for r, _, _ in best):
             continue
-        rows = np.concatenate([r for r, _ in best])
+        rows = np.concatenate([r for r, _, _ in best])
         exact = (vectors[rows] * q).sum(1) / (norms[rows] * math.sqrt((q * q).sum()))
-        order = np.lexsort((ids[rows], -exact))[:k]
-        for i in order:
-            yield int(query_id), int(ids[rows[i]]), float(exact[i])
+        # of each point the k smallest ids, which may be those beyond the query's own
+        own_ids = [members[begin[r] : begin[r] + count[r]] for r in rows]
+        own_ids = [np.concatenate([x[: np.searchsorted(x, query_id)][:k], x[np.searchsorted(x, query_id, "right") :][:k]])[:k] for x in own_ids]
+        found, exact = np.concatenate(own_ids), np.repeat(exact, [len(x) for x in own_ids])
+        for i in np.lexsort((found, -exact))[:k]:
+            yield int(query_id), int(found[i]), float(exact[i])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, confidence: float = CONFIDENCE) -> DataFrame:
