@@ -176,3 +176,12 @@ def test_tools(spark):
     body = '{"content":[{"type":"text","text":"Hi"},{"type":"tool_use","id":"t","name":"fetch","input":{"url":"u"}}],"stop_reason":"tool_use","usage":{"input_tokens":3,"output_tokens":2,"cache_read_input_tokens":4}}'
     a = spark.createDataFrame([(body,)], "b string").select(replies.anthropic_body(F.col("b")).alias("r")).first().r
     assert (a.output, a.finish_reason, a.usage.prompt_tokens, a.tool_calls[0].arguments, a.error) == ("Hi", "tool_calls", 7, '{"url":"u"}', None)
+
+
+def test_contained_quotes_of_any_length(spark):
+    pages = [(1, "The Quick  brown fox jumps over the lazy dog"), (2, "quickly, the lazy\ndog slept"), (3, ""), (4, None), (5, "a b c d e f")]
+    quotes = [(1, "quick"), (2, "the lazy"), (3, "uick brown fo"), (4, "jumps over the lazy"), (5, "k brown fox jumps over the l"), (6, "QUICK"), (7, ""), (8, None), (9, "zebra"), (10, "a b c d e"), (11, "c d"), (12, "dog slept well")]
+    found = grounding.contained_quotes(spark.createDataFrame(pages, "page_id long, text string"), spark.createDataFrame(quotes, "quote_id long, quote string")).collect()
+    plain = lambda t: " ".join(t.lower().split())
+    want = [(i, j) for i, t in pages for j, q in quotes if t and q and plain(q) in plain(t)]
+    assert sorted(map(tuple, found)) == sorted(want) and {1, 2, 3, 4, 5, 6, 10, 11} == {j for _, j in want}

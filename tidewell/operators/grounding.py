@@ -86,8 +86,9 @@ def verdicts(bullets: DataFrame, cited: DataFrame, given: DataFrame, by: str = "
 def contained_quotes(pages: DataFrame, quotes: DataFrame, k: int = 3) -> DataFrame:
     """Pairs (page_id, quote_id) where a normalised quote stands in a normalised page, without a key to join on.
 
-    Pages and quotes meet on the hash of a quote's first k words, so a page meets only quotes it may hold;
-    a quote of fewer than k inner words has no such key and is not looked for. A contains test confirms.
+    Pages and quotes meet on the hash of a quote's first k inner words, so a page meets only quotes it may hold, and
+    a contains test confirms. The distinct quotes of fewer than k inner words have no such key; they are broadcast and
+    tested on each page in one scan.
     """
     norm = lambda c: T.normal_text(F.col(c))
     q = quotes.select("quote_id", norm("quote").alias("q")).where("q <> ''")
@@ -100,4 +101,6 @@ def contained_quotes(pages: DataFrame, quotes: DataFrame, k: int = 3) -> DataFra
     word = p.select("page_id", F.split("p", " ").alias("w")).select("page_id", F.explode(F.array_distinct(grams)).alias("key"))
     met = word.join(q.where("key IS NOT NULL").select("key", "quote_id"), "key").select("page_id", "quote_id").distinct()
     long = met.join(p, "page_id").join(q.select("quote_id", "q"), "quote_id").where(F.contains("p", "q")).select("page_id", "quote_id")
-    return long
+    short = q.where("key IS NULL").groupBy("q").agg(F.collect_list("quote_id").alias("ids"))
+    held = p.join(F.broadcast(short), F.contains("p", "q")).select("page_id", F.explode("ids").alias("quote_id"))
+    return long.unionByName(held)
