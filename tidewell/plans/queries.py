@@ -279,11 +279,13 @@ g AS (SELECT b.answer_id, ord, coalesce(contains(trim(regexp_replace(lower(p.tex
 SELECT answer_id, count(*)::BIGINT AS bullets, count(*) FILTER (WHERE cited)::BIGINT AS cited, count(*) FILTER (WHERE cited AND hit)::BIGINT AS exact, 0::BIGINT AS partial, count(*) FILTER (WHERE cited AND NOT hit)::BIGINT AS none FROM g GROUP BY answer_id
 """)
 def bullet_support(spark, d):
-    """AGG-14, JN-03, JN-05, TXT-22..26: benchmark items as quoted bullets, documents as cited pages (two of three fetched)."""
+    """AGG-14, JN-03, JN-05, TXT-22..26: benchmark items as quoted bullets, every document as a cited page: ten answers for each thirty ids, three pages an answer. The SQL has only the first thirty ids."""
     url = lambda n: F.concat(F.lit("https://www.site.example.com/d/"), n.cast("string"), F.lit("/"))
-    b = table(spark, d, "benchmark")
-    bullets = b.select((F.col("item_id") % 10).alias("answer_id"), F.col("item_id").alias("ord"), F.lit("plain words").alias("text"), F.col("text").alias("quote"), F.array(url((F.col("item_id") % 10) * 3 + F.col("item_id") % 3)).alias("links"))
-    fetched = table(spark, d, "documents").where("doc_id < 30 AND doc_id % 3 <> 2").select(F.floor(F.col("doc_id") / 3).alias("answer_id"), F.col("doc_id").alias("pos"), F.regexp_replace(url(F.col("doc_id")), "www.", "").alias("url"), F.col("text").alias("markdown"))
+    docs = table(spark, d, "documents")
+    b = table(spark, d, "benchmark").crossJoin(docs.select(F.floor(F.col("doc_id") / 30).alias("part")).distinct())
+    answer = F.col("part") * 10 + F.col("item_id") % 10
+    bullets = b.select(answer.alias("answer_id"), F.col("item_id").alias("ord"), F.lit("plain words").alias("text"), F.col("text").alias("quote"), F.array(url(answer * 3 + F.col("item_id") % 3)).alias("links"))
+    fetched = docs.select(F.floor(F.col("doc_id") / 3).alias("answer_id"), F.col("doc_id").alias("pos"), F.regexp_replace(url(F.col("doc_id")), "www.", "").alias("url"), F.col("text").alias("markdown"))
     return grounding.counters(grounding.graded_bullets(bullets, fetched))
 
 
