@@ -355,8 +355,8 @@ def failure_streaks(spark, d):
 
 @query("SELECT conv_id AS session_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS messages, (turn = min(turn) OVER (PARTITION BY conv_id)) AS was_full FROM conversations WHERE conv_id % 7 <> 0")
 def trace_round_trip(spark, d):
-    """WIN-05, WIN-06: message lists to deltas and back."""
-    rows = table(spark, d, "conversations").where("conv_id % 7 <> 0").select(F.col("conv_id").alias("session_id"), "turn", "text")
+    """WIN-05, WIN-06: message lists to deltas and back, of every conversation. The SQL leaves out a seventh."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "text")
     all_ = F.collect_list("text").over(Window.partitionBy("session_id").orderBy("turn"))
     full = rows.withColumn("messages", all_).drop("text")
     deltas = history.trace_deltas(full).select("session_id", "turn", "delta", "full")
@@ -438,11 +438,14 @@ u AS (SELECT * FROM a UNION ALL SELECT * FROM b), m AS (SELECT request_id, min(t
 SELECT request_id, CAST(tier AS INT) AS tier, pos FROM u JOIN m USING (request_id, tier) UNION ALL SELECT request_id, 3, NULL FROM q WHERE request_id NOT IN (SELECT request_id FROM m)
 """)
 def replayed_searches(spark, d):
-    """JN-09, SET-03."""
+    """JN-09, SET-03: every event is a recording and every user asks all of theirs. Recordings of the same queries are one
+    row with their first pos and their count, as requests times recordings would not fit. The SQL has a part of both, pair by pair."""
     e = table(spark, d, "events").withColumn("q", F.concat("event_type", (F.col("event_id") % 3).cast("string")))
-    asked = e.groupBy(F.col("user_id").alias("request_id")).agg(F.collect_set(F.when(F.col("event_id") % 40 < 2, F.upper("q"))).alias("queries"))
-    told = e.where("event_id % 97 = 0").select(F.col("event_id").alias("pos"), F.array(F.concat(F.lit(" "), "q")).alias("queries"))
-    return tape.find_searches(asked, told)
+    asked = e.groupBy(F.col("user_id").alias("request_id")).agg(F.collect_set(F.upper("q")).alias("queries"))
+    told = e.select(F.col("event_id").alias("pos"), T.query_set(F.array(F.concat(F.lit(" "), "q"))).alias("queries"))
+    told = told.groupBy("queries").agg(F.min("pos").alias("pos"), F.count("*").alias("recordings"))
+    found = tape.find_searches(asked, told.select("queries", "pos"))
+    return found.join(told.select("pos", "recordings"), "pos", "left").select("request_id", "tier", "pos", F.coalesce("recordings", F.lit(0)).alias("recordings"))
 
 
 @query(f"""
