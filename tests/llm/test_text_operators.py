@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def components(sets):
 
 @pytest.mark.parametrize("rare", [1, 32])
 def test_ngram_join(docs, data, rare, monkeypatch, empty):
-    monkeypatch.setattr(ngram_join, "RARE_LEVEL", int(ngram_join._level(__import__("numpy").array([rare]))[0]))
+    monkeypatch.setattr(ngram_join, "RARE_LEVEL", int(ngram_join._level(np.array([rare]))[0]))
     monkeypatch.setattr(ngram_join, "LIST", 3)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     got = {r.doc_id: r for r in ngram_join.near_duplicates(docs).collect()}
@@ -160,7 +161,7 @@ def test_substring_dedup_ids(spark):
 @pytest.mark.parametrize("n", [1, 2, 7, 50])
 def test_ordered_blocks(spark, n):
     frame = spark.createDataFrame([(None,), *[(i * i,) for i in range(200)]], "doc_id long")
-    out = census.ordered_blocks(frame, n).orderBy(F.col("doc_id").asc_nulls_first()).collect()
+    out = census.ordered_blocks(frame.withColumn("text", F.lit("x")), n).where("doc_id IS NOT NULL").orderBy("doc_id").collect()
     blocks = [r._block for r in out]
     assert blocks == sorted(blocks) and len(set(blocks)) <= n and (n < 3 or len(set(blocks)) > n // 2)
 
@@ -196,17 +197,86 @@ def test_lm_scoring(docs, data, empty):
     mu = 10.0
     got = {r.doc_id: r for r in lm_scoring.score(docs, mu).collect()}
     seq = {i: [*re.findall(BLANK, t or ""), None] for i, t in data}
-    c, c2, begun = Counter(), Counter(), 0
+    c, c2, c3, begun = Counter(), Counter(), Counter(), 0
     for i, t in seq.items():
         if zlib.crc32(str(i).encode()) % 10:
             c.update(t)
             c2.update(zip([0, *t[:-1]], t, strict=True))
+            c3.update(zip([0, *t[:-2]], t[:-1], t[1:], strict=False))
             begun += 1
     n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    states = {0: begun} | dict(c)
+
+    def arc(h, w):
+        """The automaton by its rules, arc by arc: weight of w from the state h, and the state it leads to."""
+        if len(h) == 2:
+            p2 = 10 ** arc(h[1:], w)
+            return math.log10((c3[*h, w] + mu * p2) / (c2[h] + mu)) if c3[*h, w] else math.log10(mu / (c2[h] + mu)) + arc(h[1:], w)
+        p = (c[w] + 0.1) / (n + 0.1 * (v + 1))
+        if not h:
+            return math.log10(p)
+        return math.log10((c2[h[0], w] + mu * p) / (states[h[0]] + mu)) if c2[h[0], w] else math.log10(mu / (states[h[0]] + mu)) + math.log10(p)
+
     for i, t in seq.items():
-        s = sum(math.log10((c2[h, w] + mu * p(w)) / ((begun if h == 0 else c[h]) + mu)) for h, w in zip([0, *t[:-1]], t, strict=True))
+        s, state = 0.0, (0,)
+        for k, w in enumerate(t):
+            s += arc(state, w)
+            before = 0 if k == 0 else t[k - 1]
+            state = (before, w) if c2[before, w] else (w,) if c[w] else ()
         g = got[i]
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (zlib.crc32(str(i).encode()) % 10 == 0, len(t), sum(c[w] > 0 for w in t), n)
-        assert abs(g.base_score - sum(math.log10(p(w)) for w in t)) < 1e-6 and abs(g.score - s) < 1e-6
+        assert abs(g.base_score - sum(arc((), w) for w in t)) < 1e-6 and abs(g.score - s) < 1e-6
     assert lm_scoring.score(empty).count() == 0
+
+
+def test_lm_scoring_odd_ids(spark):
+    frame = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b c"), (3, "a b c"), (4, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.held_out, r.n_tokens) for r in lm_scoring.score(frame).collect()]
+    assert sorted(got, key=str) == sorted([(None, True, 3), (None, True, 3), (3, False, 4), (3, False, 4), (4, False, 1)], key=str)
+
+
+@pytest.mark.parametrize(("n", "fan_bits"), [(1, 6), (5, 6), (8, 2), (16, 2), (32, 2), (33, 1)])
+def test_census(spark, n, fan_bits):
+    """Counts, first blocks and totals for any tree; the rows sent grow with blocks times levels, not with their square."""
+    r = random.Random(n)
+    values = [(i, r.randrange(40) ** 3 * 0x123456789ABCDEF % 2**63) for i in range(400)]
+    frame = spark.createDataFrame([(v, i * n // 400) for i, v in values], f"v long, {census.BLOCK} int")
+
+    def keys_of(table):
+        keys, counts = np.unique(table.column("v").to_numpy().astype(np.uint64), return_counts=True)
+        return [(keys, counts.astype(np.uint32))]
+
+    def heard(truths):
+        def run(table, said):
+            keys = keys_of(table)[0][0]
+            answer = census.told(said, 0, keys, n, truths=truths, fan_bits=fan_bits)
+            both = census.totals(said, 0)
+            block = table.column(census.BLOCK)[0].as_py()
+            columns = [[block] * len(keys), keys.astype(np.int64), answer.astype(np.int64), [both[0]] * len(keys), [both[1]] * len(keys)]
+            return pa.table([pa.array(c, pa.int32() if k == 0 else pa.int64()) for k, c in enumerate(columns)], names=["b", "v", "a", "n", "k"])
+
+        return run
+
+    schema = "b int, v long, a long, n long, k long"
+    blocks = [i * n // 400 for i, _ in values]
+    count, first = Counter(v for _, v in values), {}
+    for (_, v), b in zip(values, blocks, strict=True):
+        first.setdefault(v, b)
+    said = census.census(frame, keys_of, n, lambda sums: sums, fan_bits=fan_bits)
+    got = frame.groupBy(census.BLOCK).cogroup(said.groupBy("grp")).applyInArrow(heard(False), schema).collect()
+    assert {(x.b, x.v) for x in got} == {(b, v) for (_, v), b in zip(values, blocks, strict=True)}
+    assert all((x.a, x.n, x.k) == (count[x.v], 400, len(count)) for x in got)
+    again = census.census(frame, keys_of, n, fan_bits=fan_bits)
+    got = frame.groupBy(census.BLOCK).cogroup(again.groupBy("grp")).applyInArrow(heard(True), schema).collect()
+    assert all(x.a == (first[x.v] < x.b) for x in got)
+    levels, bits = census.shape(n, fan_bits)
+    assert said.count() == n << bits and (n << bits) * levels <= n * 2**fan_bits * (1 + math.log2(n) / fan_bits)
+
+
+def test_packed_keys():
+    r = np.random.default_rng(3)
+    for size in (0, 1, 2, 1000):
+        for high in (3, 2**20, 2**64 - 1):
+            for low in (0, 16):
+                keys = np.unique(r.integers(0, high, size, dtype=np.uint64, endpoint=True) >> np.uint64(low) << np.uint64(low))
+                assert (census.unpack(census.pack(keys)) == keys).all()

@@ -47,12 +47,17 @@ CRC32 = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAS
 
 SQL["op10_lm_scoring"] = rf"""
 WITH d AS (SELECT doc_id, {CRC32} % 10 = 0 AS held_out, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') || [chr(10)] AS w FROM documents),
-tok AS (SELECT doc_id, held_out, w[i] AS t, CASE WHEN i = 1 THEN chr(9) ELSE w[i - 1] END AS p FROM (SELECT doc_id, held_out, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+tok AS (SELECT doc_id, held_out, w[i] AS t, CASE WHEN i = 1 THEN chr(9) ELSE w[i - 1] END AS p, CASE WHEN i = 1 THEN '' WHEN i = 2 THEN chr(9) ELSE w[i - 2] END AS q
+        FROM (SELECT doc_id, held_out, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 c1 AS (SELECT t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY t), c2 AS (SELECT p, t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY p, t),
+c3 AS (SELECT q, p, t, count(*) AS c FROM tok WHERE NOT held_out AND q <> '' GROUP BY q, p, t),
 st AS (SELECT t AS p, c FROM c1 UNION ALL SELECT chr(9), count(*) FROM d WHERE NOT held_out),
 n AS (SELECT sum(c)::DOUBLE AS n, count(*) AS v FROM c1),
-x AS (SELECT doc_id, held_out, coalesce(c1.c, 0) AS c, coalesce(c2.c, 0) AS cc, coalesce(st.c, 0) AS s, (coalesce(c1.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)) AS pr
-      FROM tok LEFT JOIN c1 ON tok.t = c1.t LEFT JOIN c2 ON tok.p = c2.p AND tok.t = c2.t LEFT JOIN st ON tok.p = st.p, n)
+x AS (SELECT doc_id, held_out, coalesce(c1.c, 0) AS c, tok.q AS q, (coalesce(c1.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)) AS pr,
+             (coalesce(c2.c, 0) + 10.0::DOUBLE * pr) / (coalesce(st.c, 0) + 10.0::DOUBLE) AS p2,
+             CASE WHEN tok.q = '' THEN p2 ELSE (coalesce(c3.c, 0) + 10.0::DOUBLE * p2) / (coalesce(cq.c, 0) + 10.0::DOUBLE) END AS p3
+      FROM tok LEFT JOIN c1 ON tok.t = c1.t LEFT JOIN c2 ON tok.p = c2.p AND tok.t = c2.t LEFT JOIN st ON tok.p = st.p
+      LEFT JOIN c3 ON tok.q = c3.q AND tok.p = c3.p AND tok.t = c3.t LEFT JOIN c2 cq ON tok.q = cq.p AND tok.p = cq.t, n)
 SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(*) FILTER (WHERE c > 0)::BIGINT AS n_known, (SELECT CAST(n AS BIGINT) FROM n) AS train_tokens,
-       round(fsum(log10(pr)), 6) AS base_score, round(fsum(log10((cc + 10.0::DOUBLE * pr) / (s + 10.0::DOUBLE))), 6) AS score FROM x GROUP BY doc_id, held_out
+       fsum(log10(pr)) AS base_score, fsum(log10(p3)) AS score FROM x GROUP BY doc_id, held_out
 """

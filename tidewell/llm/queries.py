@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import functions as F
-
 from . import oracles, quality
 from .decontamination import contamination
 from .license_scan import scan
@@ -64,7 +62,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_ngram_join, op4_substring_dedup, op5_pii, op6_mixing, op7_quality, op8_warc, op9_decontamination, op10_lm_scoring)}

@@ -6,8 +6,8 @@ window that an earlier block holds is repeated, and only windows first met in th
 need a comparison of ids there. The answer to a block is one bit for each window it sent.
 
 Cases: null or empty text has no words and stays; documents shorter than a window stay; rows
-with equal doc_id never remove each other's words; a null doc_id is neither smaller nor larger
-than any, so such a row keeps its words; further columns are not used; an empty table gives none.
+with equal doc_id never remove each other's words (they meet in one block); a null doc_id is neither
+smaller nor larger than any, so such a row keeps its words and may be in any block; further columns are not used; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import census, tokens
-from .shared import partitions
+from .shared import lean, partitions
 
 WINDOW = 50
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
@@ -45,18 +45,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     def keys(table: pa.Table):
         return [(np.unique(_windows(table, window)[3]), None)]
 
-    def repeated(keys: np.ndarray, _: np.ndarray, sizes: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        again = np.zeros(len(keys), dtype=bool)
-        again[order[1:]] = keys[order[1:]] == keys[order[:-1]]
-        return again, 0, 0
-
-    said = census.answer(census.ask(blocks, keys, n), repeated, packed=True)
+    said = census.census(blocks, keys, n)
 
     def cut(table: pa.Table, said: pa.Table) -> pa.Table:
         table, words, at, hashes, ids = _windows(table, window)
         unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        earlier = census.told(said, 0, unique, n, packed=True)
+        earlier = census.told(said, 0, unique, n, truths=True)
         gone = at[earlier[which] | (ids > ids[first][which])] if len(at) else at
         marks = np.zeros(len(words.hash) + 1, dtype=np.int64)
         marks[gone + 1 if len(gone) else gone] = 1
@@ -79,4 +73,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
             names=["doc_id", "n_words", "n_removed", "kept_sha256", "text"],
         )
 
-    return blocks.groupBy(census.BLOCK).cogroup(said.groupBy(census.BLOCK)).applyInArrow(cut, RESULT)
+    return blocks.groupBy(census.BLOCK).cogroup(said.groupBy("grp")).applyInArrow(lean(cut), RESULT)

@@ -20,8 +20,9 @@ import pyarrow as pa
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD1B54A32D192ED03 | 1
-#: Bytes handled at once: small enough for the CPU's cache, whatever the batch size.
+#: Bytes, and words, handled at once: small enough for the CPU's cache, whatever the batch size.
 CHUNK = 1 << 19
+SLICE = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,23 +56,28 @@ RULES = {rule: (_word_bytes(rule), _byte_values(rule == "alnum")) for rule in ("
 
 
 class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, extended on demand."""
+    """Powers of an odd number and of its inverse modulo 2**64; tables of up to `most` are kept, longer ones are made for one use."""
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=U)
+    def __init__(self, base: int, most: int):
+        self.bases, self.most = (base, pow(base, -1, 1 << 64)), most
+        self.kept = (np.ones(1, dtype=U),) * 2
+
+    @staticmethod
+    def _made(base: int, n: int) -> np.ndarray:
+        steps = np.full(n, base, dtype=U)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base, dtype=U)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
+        if n > self.most:
+            return tuple(self._made(b, n) for b in self.bases)
+        if len(self.kept[0]) < n:
+            size = min(self.most, 1 << (n - 1).bit_length())
+            self.kept = tuple(self._made(b, size) for b in self.bases)
+        return self.kept
 
 
-_bytes_powers, _words_powers = _Powers(_BASE), _Powers(_STEP)
+_bytes_powers, _words_powers = _Powers(_BASE, 2 * CHUNK), _Powers(_STEP, 2 * SLICE)
 
 
 @dataclass
@@ -162,11 +168,16 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    up, down = _words_powers.get(len(hashes))
-    total = np.empty(len(hashes) + 1, dtype=U)
-    total[0] = 0
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[:n] + U(k))
+    out = np.empty(n, dtype=U)
+    for a in range(0, n, SLICE):
+        part = hashes[a : a + SLICE + k - 1]
+        up, down = _words_powers.get(len(part))
+        total = np.empty(len(part) + 1, dtype=U)
+        total[0] = 0
+        np.cumsum(part * up[: len(part)], out=total[1:])
+        m = len(part) - k + 1
+        out[a : a + m] = mix((total[k:] - total[:-k]) * down[:m] + U(k))
+    return out
 
 
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
