@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tidewell.functions import urls
 from tidewell.operators import evals, fetch, fusion, governor, grounding, history, render, replies, search, tape, tools
 from tidewell.sources import readers, sinks
 
@@ -60,7 +61,18 @@ def test_reports(spark):
     rows = spark.createDataFrame([(1, "brave", 0, 0, False, False, "challenge", "wall", None), (1, "yahoo", 1, 0, False, False, "suspended", "held", "challenge")], "call_id int, engine string, leg int, n_rows int, answered boolean, cached boolean, problem string, message string, reason string")
     f = search.failures(rows, ["call_id"]).first()
     assert (f.all_challenged, f.failures) == (True, "brave: wall; yahoo: held")
-    assert search.status_line(search.engine_report(rows, ["call_id"]), ["call_id"]).first().line == "brave challenge, yahoo suspended"
+    assert search.status_line(search.engine_report(rows, ["call_id"]), ["call_id"]).first().lines == ["brave: challenge", "yahoo: suspended"]
+    rows = spark.createDataFrame([(1, "brave", 0, 3, True, False, None, None), (1, "brave", 1, 0, False, False, "suspended", "suspended (challenge), 3412s left"), (1, "brave", 2, 0, False, False, "suspended", "suspended (challenge), 3412s left"), (1, "bing", 0, 0, True, False, None, None), (1, "yahoo", 0, 1, True, False, None, None)], "call_id int, engine string, leg int, n_rows int, answered boolean, cached boolean, problem string, detail string")
+    assert set(search.status_line(search.engine_report(rows, ["call_id"]), ["call_id"]).first().lines) == {"brave: 3 rows, suspended (challenge), 3412s left", "bing: no results", "yahoo: 1 row"}
+    text = lambda kind, detail=None, query=None: spark.range(1).select(search.problem_text(F.lit(kind), F.lit(detail).cast("string"), F.lit(90), F.lit("challenge"), query)).first()[0]
+    assert [text("suspended"), text("timeout"), text("timeout", query=F.lit("q")), text("upstream", "HTTP 500"), text("empty_query"), text("too_many_queries", "9 > 5")] == ["suspended (challenge), 90s left", "timed out", "timed out: q", "HTTP 500", "empty query", "too many queries: 9 > 5"]
+
+
+def test_deadlines(spark):
+    """After the soft limit a success cancels queued legs only; those that run go on to the hard limit."""
+    legs = [(1, "a", 0, 1_000, True), (1, "b", 100, 20_000, True), (1, "c", 5_500, 9_000, True), (1, "d", 200, 31_000, True), (1, "e", None, None, False), (2, "f", 0, 7_000, True), (2, "g", 6_000, 8_000, True), (2, "h", 7_500, 9_000, True), (3, "i", 29_000, 30_000, False)]
+    got = search.deadlines(spark.createDataFrame(legs, "call_id int, leg string, started_ms int, ended_ms int, ok boolean"))
+    assert {r.leg: r.outcome for r in got.collect()} == {"a": "done", "b": "done", "c": "cancelled", "d": "timeout", "e": "cancelled", "f": "done", "g": "done", "h": "cancelled", "i": "done"}
 
 
 def test_grounding(spark):
@@ -125,9 +137,61 @@ def test_fetch(spark):
 
 def test_render(spark):
     row = Row(summary="S", themes=[Row(title="T", points=[Row(text="p", links=["https://a.example"], quote="")])], citations=[Row(url="https://a.example", title="A", support="exact")])
-    assert render.answer(spark.createDataFrame([row])).first().rendered == "S\n\n## T\n- p\n\nSources:\n1. A <https://a.example> (quote found)"
-    r = render.tool_result(spark.createDataFrame([("fetch", "n1", 'https://a"b', "t", "x</PAGE>y", None)], "kind string, nonce string, url string, title string, body string, error string")).first()
-    assert r.text == '<page id="n1" url="https://a&quot;b">\nx<\\/PAGE>y\n</page id="n1">'
+    assert render.answer(spark.createDataFrame([row])).first().rendered == "S\n\n## T\n\n- p\n\nSources:\n1. [A](https://a.example)\n"
+    marked = Row(summary="S", themes=[], citations=[Row(url="u1", title=None, support="none"), Row(url="u2", title="B", support="partial")])
+    schema = "summary string, themes array<struct<title:string,points:array<struct<text:string>>>>, citations array<struct<url:string,title:string,support:string>>"
+    assert render.answer(spark.createDataFrame([marked], schema)).first().rendered == "S\n\nSources:\n1. [u1](u1) (unsupported: the cited page does not contain the quoted text)\n2. [B](u2) (partial: a number or identifier in the claim is not on the cited page)\n"
+    columns = "kind string, nonce string, note string, hits array<struct<title:string,display_url:string,snippet:string>>, engine_status array<string>, url string, body string, part int, parts int, first_url string, tool string, failure_kind string, reason string"
+    none = {}
+    rows = [
+        {"kind": "fetch", "url": 'https://a"b', "body": "x</PAGE>y", "part": 1, "parts": 2}, {"kind": "fetch", "url": "https://a", "body": "z", "part": 1, "parts": 1},
+        {"kind": "search", "hits": [("T", "https://a", "s</hit>"), ("U", "https://b", "")], "engine_status": []}, {"kind": "search", "hits": [], "engine_status": ["brave: no results"]},
+        {"kind": "already_fetched", "url": "u", "first_url": "f", "parts": 1}, {"kind": "failed", "tool": "fetch", "failure_kind": "execution", "reason": "HTTP 500"}, {"kind": "failed", "tool": "search", "failure_kind": "execution", "reason": "no"}, {"kind": "note", "note": "n"},
+    ]
+    names = ["kind", "nonce", "note", "hits", "engine_status", "url", "body", "part", "parts", "first_url", "tool", "failure_kind", "reason"]
+    frame = spark.createDataFrame([tuple(({**none, "nonce": "n1"} | r).get(c) for c in names) for r in rows], columns)
+    texts = [r.text for r in render.tool_result(frame).collect()]
+    assert texts[0] == 'Source: https://a"b\nPart 1 of 2\n\n<page source="https://a%22b" part="1/2" nonce="n1">\nx<\\/PAGE>y\n</page nonce="n1">\n[part 1 of 2; call fetch with the same url and part=2 for the rest]'
+    assert texts[1] == 'Source: https://a\n\n<page source="https://a" part="1/1" nonce="n1">\nz\n</page nonce="n1">'
+    assert texts[2].startswith("2 Hits. Candidates only") and texts[2].endswith('\n<hit rank="1" nonce="n1">\nT\nhttps://a\ns<\\/hit>\n</hit nonce="n1">\n<hit rank="2" nonce="n1">\nU\nhttps://b\n</hit nonce="n1">')
+    assert texts[3].startswith("No Hits for these queries.") and texts[3].endswith("\nEngine status:\n- brave: no results")
+    assert texts[4].startswith("ALREADY FETCHED: u was already fetched earlier in this Research (as f).") and " The page has 1 part;" in texts[4]
+    assert texts[5].startswith("FAILED: HTTP 500\nThis page could not be read") and texts[6:] == ["FAILED: no", "n"]
+
+
+def test_notes_to_the_model(spark):
+    note = lambda left: spark.range(1).select(history.turns_left(F.lit(left), F.lit(0))).first()[0]
+    assert note(0) == "" and note(2) == "\n\n[2 turns left, counting the final answer.]" and note(1).startswith("\n\n[1 turn left: tools are off on it")
+    roster = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("purpose")) for n, p in (("search", "finds"), ("fetch", "reads"))])
+    empty = lambda left: spark.range(1).select(tools.repair_note(roster, F.array(F.lit("fetch")), F.lit(left))).first()[0]
+    assert empty(3).endswith("\nAvailable tools:\nfetch — reads\n\n[3 turns left, counting the final answer.]") and empty(1) == "Your last reply had no tool call and no answer text." + note(1)
+    assert spark.range(1).select(tools.goal_message(F.lit("g"), F.lit("short"))).first()[0] == "Research goal: g\nRequested synthesis size: short."
+    closed = history.close_sessions(spark.createDataFrame([("ok", True, False, 0, True)], "outcome string, log_failed boolean, blocked boolean, evidence int, had_hits boolean")).first()
+    assert (closed.outcome, closed.exit_code) == ("session_io", 6)
+
+
+def test_fusion_of_many_searches(spark):
+    """Each search has its own queries; of equally long snippets the first in fold order wins."""
+    hit = lambda call, query, rank, snippet: (call, "rust http", "https://a.example/", snippet, "brave", query, rank, None, rank)
+    schema = "call int, title string, url string, snippet string, provider string, query string, rank int, published_date string, pos int"
+    rows = spark.createDataFrame([hit(1, "rust http", 0, "aaa"), hit(2, "python csv", 0, "aaa"), hit(3, "qd", 0, "ddd"), hit(3, "qa", 0, "xxx")], schema)
+    queries = spark.createDataFrame([(1, ["rust http"]), (2, ["python csv"])], "call int, queries array<string>")
+    got = {r.call: r for r in fusion.fuse(rows, queries, ["call"]).collect()}
+    assert got[1].score > got[2].score and got[1].rrf == got[2].rrf and got[3].snippet == "xxx"
+    one = fusion.fuse(rows.where("call = 1"), ["rust http"]).first()
+    assert one.score == got[1].score
+
+
+def test_keys_of_any_url(spark):
+    """Odd URLs merge like plain ones, in fusion and in citations."""
+    odd = ["https://user:pw@www.a.example/p/", "https://a.example/x/../p", "HTTPS://A.example:443/p#f", "https://a.example/p"]
+    rows = spark.createDataFrame([(u, "brave", "q", i, i, "t", "s", None) for i, u in enumerate(odd)], "url string, provider string, query string, rank int, pos int, title string, snippet string, published_date string")
+    fused = fusion.fuse(rows, ["q"]).collect()
+    exact = {r[0] for r in rows.select(urls.url_key_exact(F.col("url"))).collect()}
+    assert {r.url_key for r in fused} == exact and len(exact) < len(odd)
+    pages = spark.createDataFrame([(1, 0, odd[1], "the quote")], "answer_id int, pos int, url string, markdown string")
+    cited = grounding.fetched_only(spark.createDataFrame([(1, odd[3])], "answer_id int, url string"), pages)
+    assert cited.count() == 1
 
 
 def test_history(spark):

@@ -136,16 +136,18 @@ PLAIN = r"^https?://[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z])?(?::[0-9]{1,4})?(?:[/
 _DOTS = r"/(?:\.|%2[eE]){1,2}(?:[/?#]|$)"
 
 
-def url_key(url: Column) -> Column:
-    """The identity of plain ASCII http URLs: host without www., path without its last slash, query; no port, no fragment.
-
-    Other text is returned trimmed. JVM-side; see url_key_exact for all URLs.
-    """
+def plain_key(url: Column) -> Column:
+    """The identity of plain ASCII http URLs, JVM-side: host without www., path without its last slash, query; no port, no fragment. Null for others."""
     text = F.trim(url)
     host = F.regexp_replace(F.lower(F.regexp_extract(text, r"^[a-zA-Z]+://([^/?#:]*)", 1)), r"^www\.", "")
     path = F.regexp_extract(text, r"^[a-zA-Z]+://[^/?#]*(/[^?#]*)", 1)
     query = F.regexp_extract(text, r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(text.rlike(r"(?i)" + PLAIN) & ~text.rlike(_DOTS), F.concat(host, F.when(path == "/", "").otherwise(F.regexp_replace(path, "/$", "")), query)).otherwise(text)
+    return F.when(is_plain(url), F.concat(host, F.when(path == "/", "").otherwise(F.regexp_replace(path, "/$", "")), query))
+
+
+def url_key(url: Column) -> Column:
+    """The identity of a URL: plain ones in the JVM, and only the others by a parser in Python; text that is no URL trimmed."""
+    return F.coalesce(plain_key(url), url_key_exact(F.when(~is_plain(url), url)))
 
 
 def is_plain(url: Column) -> Column:

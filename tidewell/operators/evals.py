@@ -210,6 +210,15 @@ def numbered(texts: Column) -> Column:
     return F.array_join(F.transform(texts, lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t)), "\n")
 
 
+def claim_prompt(goal: Column, pages: Column, bullets: Column, instructions: str) -> Column:
+    """The check of bullets (theme, text, pages: numbers from 1) against numbered pages (url, text, already clipped); how to judge is a parameter."""
+    page = lambda p, i: F.concat(F.lit("<<<PAGE P"), (i + 1).cast("string"), F.lit(" "), p["url"], F.lit("\n"), p["text"], F.lit("\nPAGE>>>\n\n"))
+    cites = lambda b: F.array_join(F.transform(b["pages"], lambda n: F.concat(F.lit("P"), n.cast("string"))), ", ")
+    bullet = lambda b, i: F.concat((i + 1).cast("string"), F.lit(". ["), b["theme"], F.lit("] "), b["text"], F.lit("\n   cites: "), cites(b), F.lit("\n"))
+    listed = lambda values, one: F.array_join(F.transform(values, one), "")
+    return F.concat(F.lit("Research question:\n"), goal, F.lit("\n\nFetched pages:\n\n"), listed(pages, page), F.lit("Bullets of the answer, each with the pages it cites:\n"), listed(bullets, bullet), F.lit("\n" + instructions))
+
+
 def judge_prompt(goal: Column, nuggets: Column, answer: Column) -> Column:
     return F.concat(F.lit("Goal: "), goal, F.lit("\n\nFacts:\n"), numbered(nuggets), F.lit("\n\nAnswer:\n"), answer)
 
@@ -217,4 +226,4 @@ def judge_prompt(goal: Column, nuggets: Column, answer: Column) -> Column:
 def clipped_page(page: Column, pages: Column, total: int = 500_000, most: int = 150_000) -> Column:
     """A page's text within its share of the room for all pages."""
     cap = F.least(F.lit(most), F.floor(F.lit(total) / F.greatest(pages, F.lit(1))).cast("int"))
-    return F.when(F.char_length(page) <= cap, page).otherwise(F.concat(F.substring(page, F.lit(1), cap), F.lit("\n[page cut]")))
+    return F.when(F.char_length(page) <= cap, page).otherwise(F.concat(F.substring(page, F.lit(1), cap), F.lit("\n[page cut here]")))

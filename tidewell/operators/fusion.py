@@ -21,18 +21,27 @@ def _lookup(values: dict, key: Column, default=None) -> Column:
     return out if default is None else F.coalesce(out, F.lit(default))
 
 
-def query_places(queries: list[str]) -> Column:
+#: Column of each call's queries, where they differ.
+ASKED = "_asked"
+
+
+def _queries(queries: list[str] | DataFrame | None) -> Column:
+    if isinstance(queries, DataFrame):
+        return F.coalesce(ASKED, F.array().cast("array<string>"))
+    return F.array(*[F.lit(q) for q in queries or []]).cast("array<string>")
+
+
+def query_places(queries: list[str] | DataFrame | None) -> Column:
     """Place of the column query among queries; others follow, ordered by text."""
-    if not queries:
-        return F.struct(F.lit(0).alias("at"), F.col("query").alias("text"))
-    at = F.array_position(F.array(*[F.lit(q) for q in queries]), F.col("query"))
+    asked = _queries(queries)
+    at = F.array_position(asked, F.col("query"))
     known = at > 0
-    return F.struct(F.when(known, at - 1).otherwise(len(queries)).cast("int").alias("at"), F.when(known, "").otherwise(F.col("query")).alias("text"))
+    return F.struct(F.when(known, at - 1).otherwise(F.size(asked)).cast("int").alias("at"), F.when(known, "").otherwise(F.col("query")).alias("text"))
 
 
-def keyed_hits(hits: DataFrame, queries: list[str], exact_urls: bool = False) -> DataFrame:
+def keyed_hits(hits: DataFrame, queries: list[str]) -> DataFrame:
     """Hits with url_key, leg and fold order; rows without a key are dropped."""
-    key = U.url_key_exact(F.col("url")) if exact_urls else U.url_key(F.col("url"))
+    key = U.url_key(F.col("url"))
     priority = _lookup(PRIORITY, F.col("provider"), 99)
     out = hits.withColumn("url_key", key).withColumn("priority", priority).withColumn("leg", F.struct("priority", query_places(queries).alias("query")))
     return out.where(F.trim("url_key") != "").withColumn("fold", F.struct("leg", "pos"))
@@ -48,13 +57,16 @@ def rrf(legs: Column) -> Column:
     return F.aggregate(F.array_sort(legs), F.lit(0.0), lambda total, x: total + x["weight"] / (F.lit(RRF_K) + x["rank"].cast("double") + F.lit(1.0)))
 
 
-def fuse(hits: DataFrame, queries: list[str] | None = None, by: list[str] | None = None, exact_urls: bool = False) -> DataFrame:
+def fuse(hits: DataFrame, queries: list[str] | DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """One row for each URL: representatives, providers, queries, best_rank, hit_count, published_date and score.
 
-    by: columns that separate independent searches. Two aggregates on nested keys; Catalyst shuffles once on the URL's key when it can.
+    by: columns that separate independent searches. queries: those of the one search, or a row (by, queries) for each. Two aggregates on nested keys; Catalyst shuffles once on the URL's key when it can.
     """
     by = by or []
-    rows = keyed_hits(hits, queries or [], exact_urls)
+    if isinstance(queries, DataFrame):
+        hits = hits.join(queries.select(*by, F.col("queries").alias(ASKED)), by, "left")
+        by = [*by, ASKED]
+    rows = keyed_hits(hits, queries)
     first = F.struct("rank", "fold")
     snippet = F.coalesce("snippet", F.lit(""))
     legs = rows.groupBy(*by, "url_key", "leg").agg(
@@ -68,20 +80,20 @@ def fuse(hits: DataFrame, queries: list[str] | None = None, by: list[str] | None
         F.count("*").alias("hits"),
     )
     legs = legs.withColumn("weight", _lookup(WEIGHT, F.col("provider"), 1.0))
-    lowest = F.struct(F.octet_length("snippet").alias("n"), (-F.col("leg.priority")).alias("a"), (-F.col("leg.query.at")).alias("b"))
+    longest = F.struct((-F.octet_length("snippet")).alias("n"), "leg")  # of equal ones the first in fold order
     groups = legs.groupBy(*by, "url_key").agg(
         F.min_by("best", "best_at").alias("best"),
         F.min("rank").alias("best_rank"),
-        F.max_by("snippet", lowest).alias("snippet"),
+        F.min_by("snippet", longest).alias("snippet"),
         F.min_by("date", F.when(F.col("date").isNotNull(), F.col("leg"))).alias("published_date"),
         F.transform(F.array_sort(F.collect_set(F.struct(F.col("leg.priority").alias("p"), "provider"))), lambda x: x["provider"]).alias("providers"),
         F.array_sort(F.collect_set("query")).alias("queries"),
         F.sum("hits").alias("hit_count"),
         rrf(F.collect_list(F.struct("rank", "weight"))).alias("rrf"),
     )
-    terms = F.array(*[T.query_terms(F.lit(q)) for q in queries or []]) if queries else F.array().cast("array<array<string>>")
+    terms = F.transform(_queries(queries), T.query_terms)
     out = groups.select(*by, "url_key", F.col("best.title").alias("title"), F.col("best.url").alias("display_url"), "snippet", "providers", "queries", "best_rank", "hit_count", "published_date", "rrf")
-    return out.withColumn("score", F.col("rrf") * T.coverage(terms, F.col("title"), F.col("display_url"), F.col("snippet")))
+    return out.withColumn("score", F.col("rrf") * T.coverage(terms, F.col("title"), F.col("display_url"), F.col("snippet"))).drop(ASKED)
 
 
 ORDER = [F.desc, F.desc, F.asc, F.asc]

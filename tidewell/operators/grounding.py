@@ -59,10 +59,10 @@ def page_aliases(pages: DataFrame, by: list[str]) -> DataFrame:
 
 
 def mark_fetched(hits: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
-    """hits (url, title) with fetched, and a mark before the title of pages already read."""
+    """hits (url, title) with fetched, and a mark behind the title of pages already read."""
     keys = page_aliases(pages, by).select(*by, "url_key").withColumn("fetched", F.lit(True))
     out = hits.withColumn("url_key", U.url_key(F.col("url"))).join(keys, [*by, "url_key"], "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
-    return out.withColumn("title", F.when(F.col("fetched"), F.concat(F.lit("[already fetched] "), "title")).otherwise(F.col("title")))
+    return out.withColumn("title", F.when(F.col("fetched"), F.concat("title", F.lit(" (already fetched)"))).otherwise(F.col("title")))
 
 
 def local_pages(bullets: DataFrame, pages: DataFrame, by: str = "answer_id") -> DataFrame:

@@ -91,8 +91,10 @@ def dispatch_plan(calls: DataFrame, by: list[str], cap: int) -> DataFrame:
 
 
 def turns_left(budget: Column, used: Column) -> Column:
+    """The note behind the newest tool result of a turn; nothing when no turn is left."""
     left = budget - used
-    return F.when(left <= 0, "No turns left: answer now.").when(left == 1, "1 turn left.").otherwise(F.format_string("%d turns left.", left))
+    last = "\n\n[1 turn left: tools are off on it, so your next reply must be the final answer inside <answer></answer> tags.]"
+    return F.when(left <= 0, "").when(left == 1, last).otherwise(F.concat(F.lit("\n\n["), left.cast("string"), F.lit(" turns left, counting the final answer.]")))
 
 
 def evidence_urls(evidence: DataFrame, by: list[str]) -> DataFrame:
@@ -112,12 +114,12 @@ def final_reserve(request_ms: Column, run_ms: Column) -> Column:
 
 def close_sessions(sessions: DataFrame) -> DataFrame:
     """sessions (outcome, log_failed, blocked, evidence, had_hits) with the final outcome and exit code."""
-    outcome = F.when((F.col("outcome") == "ok") & F.col("log_failed"), "io").when((F.col("outcome") == "ok") & F.col("blocked") & (F.col("evidence") == 0) & ~F.col("had_hits"), "search_blocked").otherwise(F.col("outcome"))
+    outcome = F.when((F.col("outcome") == "ok") & F.col("log_failed"), "session_io").when((F.col("outcome") == "ok") & F.col("blocked") & (F.col("evidence") == 0) & ~F.col("had_hits"), "search_blocked").otherwise(F.col("outcome"))
     return sessions.withColumn("outcome", outcome).withColumn("exit_code", exit_code(F.col("outcome")))
 
 
 # Outcomes of a run and the exit codes they give.
-EXIT_CODES = {"ok": 0, "not_configured": 2, "gateway_exhausted": 3, "tool_failure": 4, "budget_exhausted": 5, "io": 6, "search_blocked": 7, "gateway_rejected": 8, "deadline_exceeded": 9, "interrupted": 130}
+EXIT_CODES = {"ok": 0, "not_configured": 2, "gateway_exhausted": 3, "tool_failure": 4, "budget_exhausted": 5, "session_io": 6, "search_blocked": 7, "gateway_rejected": 8, "deadline_exceeded": 9, "interrupted": 130}
 
 
 def exit_code(outcome: Column) -> Column:

@@ -176,32 +176,36 @@ def error_provider(kind: Column, provider: Column) -> Column:
     return F.when(~kind.isin("empty_query", "too_many_queries", "all_failed"), provider)
 
 
-def problem_text(kind: Column, detail: Column, remaining: Column, reason: Column) -> Column:
+def problem_text(kind: Column, detail: Column, remaining: Column, reason: Column, query: Column | None = None) -> Column:
+    """What went wrong with a leg; a timeout names its query, or none in the line of an engine."""
     return (
-        F.when(kind == "suspended", F.concat(F.lit("suspended "), T.short_duration(remaining), F.lit(" ("), reason, F.lit(")")))
-        .when(detail.isNotNull(), F.concat(kind, F.lit(": "), detail))
-        .otherwise(kind)
+        F.when(kind == "suspended", F.concat(F.lit("suspended ("), reason, F.lit("), "), remaining.cast("string"), F.lit("s left")))
+        .when(kind == "timeout", F.lit("timed out") if query is None else F.concat(F.lit("timed out: "), query))
+        .when(kind == "empty_query", "empty query")
+        .when(kind == "too_many_queries", F.concat(F.lit("too many queries: "), detail))
+        .otherwise(F.coalesce(detail, kind))
     )
 
 
 def engine_report(outcomes: DataFrame, by: list[str]) -> DataFrame:
-    """outcomes (engine, leg, n_rows, answered, cached, problem) -> rows, legs answered and cached, problems in first-seen order, status."""
-    problems = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("problem").isNotNull(), F.struct("leg", "problem")))), lambda x: x["problem"]))
+    """outcomes (engine, leg, n_rows, answered, cached, problem, detail if known) -> rows, legs answered and cached, problems and details in first-seen order, status."""
+    listed = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("problem").isNotNull(), F.struct("leg", c)))), lambda x: x[c]))
+    detail = F.coalesce("detail", "problem") if "detail" in outcomes.columns else F.col("problem")
+    outcomes, problems = outcomes.withColumn("detail", detail), listed("problem")
     out = outcomes.groupBy(*by, "engine").agg(
-        F.sum("n_rows").alias("rows"), F.count_if("answered").alias("answered_legs"), F.count_if(F.col("answered") & F.col("cached")).alias("cached_legs"), problems.alias("problems")
+        F.sum("n_rows").alias("rows"), F.count_if("answered").alias("answered_legs"), F.count_if(F.col("answered") & F.col("cached")).alias("cached_legs"), problems.alias("problems"), listed("detail").alias("details")
     )
     status = F.when(F.col("rows") > 0, "rows").when(F.col("answered_legs") > 0, "no_results").otherwise(F.coalesce(F.get("problems", F.lit(0)), F.lit("error")))
     return out.withColumn("status", status)
 
 
 def status_line(report: DataFrame, by: list[str]) -> DataFrame:
-    """Engines that answered, then those that did not, in one line for each call."""
-    cell = F.when(F.col("status").isin("rows", "no_results"), F.concat_ws(" ", "engine", F.col("rows").cast("string"))).otherwise(F.concat_ws(" ", "engine", "status"))
-    good = F.col("status").isin("rows", "no_results")
-    rows = report.withColumn("_p", F.struct(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p]), F.col("engine")), F.lit(99)).alias("p"), cell.alias("cell"))).withColumn("_good", good)
-    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.col("_p")))), lambda x: x["cell"]), ", ")
-    out = rows.groupBy(*by).agg(listed(F.col("_good")).alias("a"), listed(~F.col("_good")).alias("b"))
-    return out.select(*by, F.concat_ws("; ", F.nullif("a", F.lit("")), F.nullif("b", F.lit(""))).alias("line"))
+    """lines of each call, one for each engine in priority order: rows or no results if it answered, then its distinct problems."""
+    rows = F.when(F.col("rows") == 0, "no results").otherwise(T.plural(F.col("rows"), "row", "rows"))
+    parts = F.concat(F.when(F.col("answered_legs") > 0, F.array(rows)).otherwise(F.array().cast("array<string>")), "details")
+    place = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p]), F.col("engine")), F.lit(99))
+    cell = F.struct(place.alias("p"), "engine", F.concat("engine", F.lit(": "), F.array_join(parts, ", ")).alias("line"))
+    return report.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["line"]).alias("lines"))
 
 
 def failures(outcomes: DataFrame, by: list[str]) -> DataFrame:
@@ -218,16 +222,16 @@ def search_stats(outcomes: DataFrame, merged: DataFrame, by: list[str]) -> DataF
 
 
 def deadlines(legs: DataFrame, soft_ms: int = 5000, hard_ms: int = 30000) -> DataFrame:
-    """legs (call_id, queued_ms, started_ms, ended_ms, ok) -> outcome: done, cancelled or timeout.
+    """legs (call_id, started_ms, ended_ms, ok) -> outcome: done, cancelled or timeout.
 
-    After the soft limit, once any leg has succeeded, legs not started are cancelled; after it a success ends the
-    wait for legs still running; at the hard limit the rest time out.
+    From the soft limit on, as soon as any leg has succeeded, legs still queued are cancelled; they have sent nothing.
+    Legs that have started go on to the hard limit.
     """
     first_ok = F.min(F.when(F.col("ok"), F.col("ended_ms"))).over(Window.partitionBy("call_id"))
     cut = F.least(F.greatest(F.lit(soft_ms), F.coalesce(first_ok, F.lit(hard_ms))), F.lit(hard_ms))
     out = legs.withColumn("cut_ms", cut)
-    outcome = F.when(F.col("ended_ms") <= F.col("cut_ms"), "done").when(F.col("started_ms").isNull() | (F.col("started_ms") > F.col("cut_ms")), "cancelled").otherwise("timeout")
-    return out.withColumn("outcome", outcome)
+    queued = F.col("started_ms").isNull() | (F.col("started_ms") > F.col("cut_ms"))
+    return out.withColumn("outcome", F.when(queued, "cancelled").when(F.col("ended_ms") <= hard_ms, "done").otherwise("timeout"))
 
 
 def stop_pages(pages: DataFrame, leg: list[str], limit: int = 5, first: int = 10, later: int = 7, cap: int = 20) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lazy import arrow
+from .history import turns_left
 from .search import fetch_arguments, search_arguments
 
 #: JSON schemas of the two tools.
@@ -29,13 +30,18 @@ def dispatch(calls: DataFrame) -> DataFrame:
     return out.withColumn("failure", failure).withColumn("route", F.when(failure.isNull(), F.col("name"))).drop("_s", "_f")
 
 
-def allowed_tools(wanted: Column, allowed: Column) -> Column:
-    return F.array_intersect(wanted, allowed)
+def allowed_tools(tools: Column, allowed: Column) -> Column:
+    """Of the tools (name, purpose), in their order, those that are allowed."""
+    return F.filter(tools, lambda t: F.array_contains(allowed, t["name"]))
 
 
-def repair_note(tool: Column, allowed: Column) -> Column:
-    """What a model is told that asked for a tool it may not use."""
-    return F.concat(F.lit("The tool "), tool, F.lit(" is not available. Use one of: "), F.array_join(allowed, ", "), F.lit("."))
+def repair_note(tools: Column, allowed: Column, left: Column) -> Column:
+    """What a model is told that replied with neither a call nor an answer; on the last turns it has no tools to choose from."""
+    note = turns_left(left, F.lit(0))
+    roster = F.array_join(F.transform(allowed_tools(tools, allowed), lambda t: F.concat(t["name"], F.lit(" — "), t["purpose"])), "\n")
+    empty = F.lit("Your last reply had no tool call and no answer text.")
+    more = F.concat(F.lit(" Continue the research with a tool call, or reply with the final answer inside <answer></answer> tags.\nAvailable tools:\n"), roster)
+    return F.concat(empty, F.when(left <= 1, "").otherwise(more), note)
 
 
 def result_fields(results: DataFrame) -> DataFrame:
@@ -50,8 +56,8 @@ def message(role: str, content: Column, **more: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"), *[c.alias(k) for k, c in more.items()], F.char_length(content).alias("chars"))
 
 
-def goal_message(goal: Column, today: Column) -> Column:
-    return F.concat(F.lit("Goal: "), goal, F.lit("\nToday is "), F.date_format(today, "yyyy-MM-dd"), F.lit("."))
+def goal_message(goal: Column, size: Column) -> Column:
+    return F.concat(F.lit("Research goal: "), goal, F.lit("\nRequested synthesis size: "), size, F.lit("."))
 
 
 def system_prompt(template: str, values: dict[str, Column]) -> Column:

@@ -22,7 +22,7 @@ def _k():
 
 
 def hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event as a ranked hit: an engine for each type, eight queries, a hundred sites. HITS_SQL still has only the first twenty of a leg."""
+    """Every event as a ranked hit: an engine for each type, eight queries, a hundred sites."""
     e = table(spark, folder, "events").select("event_id", "ts", F.pmod("user_id", F.lit(8)).alias("u"), "event_type", _k().alias("k"))
     names = F.create_map(*[F.lit(x) for p in PROVIDER.items() for x in p])
     e = e.withColumn("provider", F.try_element_at(names, F.col("event_type"))).withColumn("query", F.concat(F.lit("q"), F.col("u").cast("string")))
@@ -42,7 +42,7 @@ e1 AS (SELECT *, CASE event_type WHEN 'error' THEN 'startpage' WHEN 'click' THEN
 e2 AS (SELECT *, row_number() OVER (PARTITION BY provider, query ORDER BY ts, event_id) - 1 AS rank FROM e1),
 hits AS (SELECT 'Page ' || k AS title, 'https://www.Site' || k || '.example.com/p/' || CASE WHEN k % 3 = 0 THEN '#top' ELSE '' END AS url,
                 'about ' || repeat('x', k % 7) AS snippet, provider, prio, query, u, rank, CASE WHEN k % 5 = 0 THEN strftime(ts, '%Y-%m-%d') END AS published_date,
-                'site' || k || '.example.com/p' AS url_key FROM e2 WHERE rank < 20)
+                'site' || k || '.example.com/p' AS url_key FROM e2)
 """
 
 
