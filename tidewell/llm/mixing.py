@@ -7,11 +7,12 @@ open probabilities p and q and sizes a and b move mass between them so that p a
 until one is 0 or 1; which of the two ends it is drawn so that each probability keeps its
 expectation. What is left open in one stretch of a source meets the rest of other stretches in a
 reduction tree, so a source of any size is worked on by many tasks. Large documents meet first, so what
-is open at the end is mostly a short one; the words taken differ from the target by less than one document. Random numbers are hashes of ids and the seed: reruns agree.
+is open at the end is mostly a short one; the words taken differ from the target by less than one document. Random numbers are
+hashes of doc_id, size, the number of a row among equal ones, and the seed: reruns agree, however files are split.
 
 Cases: null text has size 0 and takes nothing; a null source is a source, ordered last; a source
-without words gets target 0; rows of equal id and size count as separate documents whose order does not
-matter; an empty table gives none; further columns are not used.
+without words gets target 0; rows of equal id, source and size are told apart by a number only, so they are
+counted first and then written out, and do not meet in one task; an empty table gives none; further columns are not used.
 """
 
 from __future__ import annotations
@@ -83,74 +84,84 @@ def _settled(p: float) -> float:
     return 0.0 if p < 1e-12 else 1.0 if p > 1 - 1e-12 else p
 
 
+CARRIED = ["doc_id", "occ", "size", "p", "source", "source_size", "target", "whole"]
+ROWS = "grp string, doc_id long, occ long, size long, p double, source string, source_size long, target double, whole long"
+TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64(), pa.float64(), pa.int64()]
+
+
 def _reduce(level: int):
-    """Rows (grp, ord, row, size, p) sorted by group: settles all but one document of each group."""
+    """Rows sorted by group: settles all but one document of each group."""
 
     def run(batches):
-        group, held = None, None
+        group, held, rest = None, None, None
         for batch in batches:
-            rows, ps = [], []
-            for g, r, s, p in zip(*[batch.column(c).to_pylist() for c in ("grp", "row", "size", "p")], strict=True):
+            out = []
+            for g, doc, occ, size, p, *more in zip(*[batch.column(c).to_pylist() for c in ["grp", *CARRIED]], strict=True):
                 if g != group:
                     if held is not None:
-                        rows.append((group, *held[:2]))
-                        ps.append(held[2])
+                        out.append((group, *held[0], *held[1:], *rest))
                     group, held = g, None
-                here = (r, s, p)
+                here = ((doc, occ), size, p)
                 if held is None:
-                    held = here
+                    held, rest = here, more
                     continue
-                one, two = _pivot(held, here, _uniform(SEED, level, held[0], r))
+                one, two = _pivot(held, here, _uniform(SEED, level, *held[0], held[1], doc, occ, size))
+                kept = more
                 if 0.0 < one[2] < 1.0:
-                    one, two = two, one
-                rows.append((group, *one[:2]))
-                ps.append(one[2])
-                held = two
+                    one, two, rest, kept = two, one, more, rest
+                out.append((g, *one[0], *one[1:], *rest))
+                held, rest = two, kept
                 if not 0.0 < two[2] < 1.0:
-                    rows.append((group, *two[:2]))
-                    ps.append(two[2])
+                    out.append((g, *two[0], *two[1:], *rest))
                     held = None
-            if rows:
-                g, r, s = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(ps, pa.float64())], names=["grp", "row", "size", "p"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], names=["grp", *CARRIED])
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64()), pa.array([held[2]])], names=["grp", "row", "size", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((group, *held[0], *held[1:], *rest), TYPES, strict=True)], names=["grp", *CARRIED])
 
     return run
 
 
+def _numbered(sized: DataFrame) -> DataFrame:
+    """A row for each row of (doc_id, source, size), with its number occ among equal ones, whatever the order of the input."""
+    many = sized.groupBy("doc_id", "source", "size").count()
+    many = many.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / STRETCH))))
+    first = F.col("chunk") * STRETCH
+    return many.withColumn("occ", F.explode(F.sequence(first + 1, F.least("count", first + STRETCH)))).drop("count", "chunk")
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id, size, source, source_size, target, copies and taken of each document."""
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NO_WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = stored(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    sized = stored(_numbered(sized), "sizes")
     shares = targets(sized)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rate = sized.join(shares.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("rate", due)
     rate = rate.withColumn("whole", F.floor(F.col("rate") + F.lit(1e-12)).cast("long"))
-    rate = stored(rate.withColumn("part", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))), "rates")
-    stretches = F.ceil(F.col("n_docs") / STRETCH)
+    rate = stored(rate.withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))).drop("rate"), "rates")
+    is_open = (F.col("p") > 1e-12) & (F.col("size") > 0)
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    at = F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), stretches)
-    open_ = rate.where("part > 1e-12 AND size > 0").select(key.alias("source"), at.alias("at"), "row", "size", F.col("part").alias("p"))
+    at = F.pmod(F.xxhash64("doc_id", "size", "occ", F.lit(SEED)), F.ceil(F.col("n_docs") / STRETCH))
+    open_ = rate.where(is_open).select(key.alias("key"), at.alias("at"), *CARRIED)
     most = rate.agg(F.max("n_docs")).first()[0] or 0
-    settled, width, level = [], max(1, -(-most // STRETCH)), 0
+    done_ = [rate.where(~is_open).withColumn("p", F.lit(0.0)).select(*CARRIED)]
+    width, level = max(1, -(-most // STRETCH)), 0
     while True:
-        grp = F.concat("source", F.lit("\t"), F.col("at").cast("string"))
-        dealt = open_.withColumn("grp", grp).repartition("grp").sortWithinPartitions("grp", F.desc("size"), F.xxhash64("row", F.lit(SEED + level)), "row")
-        done = dealt.select("grp", "row", "size", "p").mapInArrow(_reduce(level), "grp string, row long, size long, p double")
-        done = stored(done, "rounded")
-        settled.append(done.where("p <= 0 OR p >= 1").select("row", "p"))
+        grp = F.concat("key", F.lit("\t"), F.col("at").cast("string"))
+        dealt = open_.withColumn("grp", grp).repartition("grp").sortWithinPartitions("grp", F.desc("size"), F.xxhash64("doc_id", "occ", F.lit(SEED + level)), "doc_id", "occ")
+        done = stored(dealt.select("grp", *CARRIED).mapInArrow(_reduce(level), ROWS), "rounded")
+        done_.append(done.where("p <= 0 OR p >= 1").select(*CARRIED))
         open_ = done.where("p > 0 AND p < 1").select(
-            F.expr("substring(grp, 1, length(grp) - length(substring_index(grp, '\t', -1)) - 1)").alias("source"),
-            F.floor(F.substring_index("grp", "\t", -1).cast("long") / FAN_IN).alias("at"), "row", "size", "p",
+            F.expr("substring(grp, 1, length(grp) - length(substring_index(grp, '\t', -1)) - 1)").alias("key"),
+            F.floor(F.substring_index("grp", "\t", -1).cast("long") / FAN_IN).alias("at"), *CARRIED,
         )
         level += 1
         if width <= 1:
             break
         width = -(-width // FAN_IN)
-    last = F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rounded = open_.select("row", (last < F.col("p")).cast("double").alias("p"))
-    for part in settled:
-        rounded = rounded.union(part)
-    all_ = rate.join(rounded, "row", "left").withColumn("copies", F.col("whole") + F.coalesce("p", F.lit(0.0)).cast("long"))
+    last = F.pmod(F.xxhash64("doc_id", "size", "occ", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    all_ = open_.withColumn("p", (last < F.col("p")).cast("double")).select(*CARRIED)
+    for part in done_:
+        all_ = all_.unionByName(part)
+    all_ = all_.withColumn("copies", F.col("whole") + F.col("p").cast("long"))
     return all_.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
