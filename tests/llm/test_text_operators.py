@@ -81,6 +81,33 @@ def test_license_scan(docs, data, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+@pytest.fixture(scope="module")
+def notices():
+    """Each template with other words around it, and notices whose one telling word has no template."""
+    own = [(label, f"Some words before it. {text} And more of them behind, as files have.") for label, text in license_scan.NOTICES]
+    strange = [
+        ("", "This work is licensed under a Creative Commons Attribution-NonCommercial-SharedSource-SA 4.0 International License."),
+        ("", "Licensed under the Apache License, Version 3.0."), ("", "This work is licensed under the GNU General Public License, version 5."),
+        ("agpl", "it is covered under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+        ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License."), ("", "This work is about a license of commons"),
+    ]
+    return own + strange
+
+
+def test_every_notice_gets_its_own_label(spark, notices):
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(notices)], "doc_id long, text string")).collect()
+    wrong = [(notices[r.doc_id], r.labels) for r in got if r.labels != notices[r.doc_id][0]]
+    assert not wrong and len(got) == len(notices) > 40
+
+
+def test_notices_beside_each_other(spark):
+    """Two licenses in one text are both found; a notice with a word put in is still found."""
+    mit, apache = license_scan.NOTICES[1][1], license_scan.NOTICES[5][1]
+    texts = [mit + " " + apache, apache.replace("compliance", "strict and full compliance"), " ".join(["Released under the MIT License."] * 500)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(3)] == ["apache-2,mit", "apache-2", "mit"] and got[2].n_base == 500
+
+
 def shingles(t):
     w = re.findall(BLANK, t or "")
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
