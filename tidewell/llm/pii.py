@@ -1,12 +1,15 @@
 """PII: surrogates for detected entities, in DataFrame and SQL expressions only.
 
-Entities are found by one pattern and get a type. Each distinct entity (type and canonical
-form: emails in lower case, numbers without separators, surnames of persons) gets a surrogate
-drawn by a keyed hash, so an entity has the same surrogate wherever and in whatever format it
-occurs. Surrogates keep the type and the format: character classes and separators, a card's brand and check
-digit, valid octets, a phone's country code, an email's last domain label, a secret's keyword (the rest is drawn whole), a person's title, with a first name
-of the same gender and a surname in the same script. All surrogates are
-compared with each other and with all entities; those that coincide are drawn again until none does.
+Entities are found by one pattern and get a type. Each distinct entity (type and canonical form: emails in
+lower case, numbers without separators, phones without the country code 1, the values of secrets, surnames
+and given names of persons) gets a surrogate drawn by a keyed hash, so an entity has the same surrogate
+wherever and in whatever format it occurs. Surrogates keep the type and the format: character classes and
+separators, a card's brand and check digit, valid octets, a phone's country code, an email's last domain
+label, a secret's keyword (the value is drawn whole), a person's title, with a given name of the same gender
+and names in the same script. A given name has the gender of the title before it, else of titles before it
+elsewhere, else of the list below. All surrogates are compared with each other and with all entities; those
+that coincide are drawn again until none does. Given names and surnames are compared each for themselves, so
+different full names stay different. Persons without a title are found by a given name of the list.
 
 Cases: null text stays null with no entities, empty text stays empty; repeated rows get the same text;
 equal entities in any rows get equal surrogates; texts without entities are not touched nor shuffled;
@@ -37,30 +40,44 @@ PATTERNS = {
 TITLES = {
     "f": ["Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra.", "Госпожа", "г-жа"],
     "m": ["Mr.", "Mr", "Herr", "Monsieur", "Señor", "Sr.", "Господин", "г-н"],
+    "x": ["Dr.", "Dr", "Doctor", "Prof.", "Prof", "Professor"],
 }
 FIRST = {
-    "f": {"latin": ["Anna", "Clara", "Elena", "Ida", "Julia", "Laura", "Maria", "Nora"], "cyrillic": ["Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Юлия"]},
-    "m": {"latin": ["Adam", "Bruno", "David", "Emil", "Hugo", "Leon", "Oscar", "Paul"], "cyrillic": ["Антон", "Борис", "Виктор", "Глеб", "Иван", "Олег", "Павел", "Юрий"]},
+    "f": {
+        "latin": ["Anna", "Barbara", "Carmen", "Clara", "Elena", "Elizabeth", "Emma", "Ida", "Jennifer", "Jessica", "Julia", "Karen", "Laura", "Linda", "Lucia", "Maria", "Marie", "Mary", "Nora", "Olivia", "Patricia", "Sabine", "Sarah", "Sophie", "Susan", "Ursula"],
+        "cyrillic": ["Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Юлия"],
+    },
+    "m": {
+        "latin": ["Adam", "Bruno", "Carlos", "Charles", "Daniel", "David", "Emil", "Hans", "Hugo", "James", "Jean", "John", "Juan", "Klaus", "Leon", "Matthew", "Michael", "Oscar", "Paul", "Pedro", "Peter", "Pierre", "Richard", "Robert", "Thomas", "William"],
+        "cyrillic": ["Антон", "Борис", "Виктор", "Глеб", "Иван", "Олег", "Павел", "Юрий"],
+    },
 }
+#: What drawn given names end in, so that those of different genders differ.
+ENDS = {"latin": {"f": "a", "m": "", "x": "i"}, "cyrillic": {"f": "а", "m": "", "x": "и"}}
 SYLLABLES = {
     "latin": ["bar", "cor", "den", "fal", "gar", "hol", "kel", "lin", "mar", "nor", "pel", "ran", "sol", "tam", "var", "wen"],
     "cyrillic": ["бар", "вол", "гор", "дан", "зар", "кел", "лин", "мар", "нор", "пел", "ран", "сол", "там", "фал", "хол", "чер"],
 }
-#: What a secret keeps, and the rest.
+#: What a secret keeps, and its value.
 WORD = r"(?s)^(AKIA|[A-Za-z_]+ ?[=:] ?[\"']?)(.*)$"
-PATTERNS["person"] = r"(?<![\p{L}0-9])(?:" + "|".join(t.replace(".", r"\.") for t in TITLES["f"] + TITLES["m"]) + r") \p{Lu}\p{Ll}{1,30}(?:[ \-]\p{Lu}\p{Ll}{1,30})?(?![\p{L}])"
+_ALL_TITLES = [t for g in TITLES.values() for t in g]
+_ALL_FIRST = [n for g in FIRST.values() for s in g.values() for n in s]
+_TITLE = "|".join(t.replace(".", r"\.") for t in _ALL_TITLES)
+_NAME = r"\p{Lu}\p{Ll}{1,30}"
+PATTERNS["person"] = rf"(?<![\p{{L}}0-9])(?:(?:{_TITLE}) {_NAME}(?:[ \-]{_NAME})?|(?:{'|'.join(_ALL_FIRST)}) {_NAME})(?![\p{{L}}])"
+#: Title, given name, what stands between, and surname.
+PERSON = rf"^(?:({_TITLE}) )?(?:([^ \-]+)([ \-]))?([^ \-]+)$"
 #: Characters that an entity of each type begins with; looked at first, so that most of a text costs one comparison.
-BEGINS = {"secret": "AapPsStT", "email": r"A-Za-z0-9._%+\-", "iban": "A-Z", "card": "3-6", "phone": r"0-9+(", "ssn": "0-9", "ip": "0-9", "person": "".join(sorted({t[0] for t in TITLES["f"] + TITLES["m"]}))}
+BEGINS = {"secret": "AapPsStT", "email": r"A-Za-z0-9._%+\-", "iban": "A-Z", "card": "3-6", "phone": r"0-9+(", "ssn": "0-9", "ip": "0-9", "person": "".join(sorted({t[0] for t in _ALL_TITLES + _ALL_FIRST}))}
 ANY = "|".join(f"(?=[{BEGINS[name]}])(?:{p})" for name, p in PATTERNS.items())
 #: The same without emails, for texts without an @.
 PLAIN = "|".join(f"(?=[{BEGINS[name]}])(?:{p})" for name, p in PATTERNS.items() if name != "email")
+HINT = rf"[=:]|(?<![\p{{L}}0-9])(?=[{BEGINS['person']}])(?:{_TITLE}|{'|'.join(_ALL_FIRST)}) \p{{Lu}}"
 
 
 def _found(text: Column) -> Column:
-    """Entities in order. Without digits and @ only secrets and persons can occur, which start with a word of a fixed list."""
-    word = F.contains(text, F.lit("AKIA")) | text.rlike(r"[=:]")
-    for t in TITLES["f"] + TITLES["m"]:
-        word = word | F.contains(text, F.lit(t + " "))
+    """Entities in order. Without digits and @ only secrets and persons can occur, which begin with a word of a fixed list."""
+    word = F.contains(text, F.lit("AKIA")) | text.rlike(HINT)
     whole = F.when(F.contains(text, F.lit("@")), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     plain = F.when(text.rlike("[0-9]") | word, F.regexp_extract_all(text, F.lit(PLAIN), F.lit(0)))
     return F.coalesce(whole, plain, F.when(text.isNotNull(), F.array().cast("array<string>")))
@@ -83,8 +100,10 @@ def _plain(x: Column) -> Column:
 def _canon(type_: Column, entity: Column) -> Column:
     return (
         F.when(type_ == "email", F.lower(entity))
+        .when((type_ == "phone") & _plain(entity).rlike("^1[0-9]{10}$"), F.expr("substring(regexp_replace(entity, '[^A-Za-z0-9]', ''), 2)"))
         .when(type_.isin("card", "phone", "ssn", "iban"), _plain(entity))
-        .when(type_ == "person", F.lower(F.regexp_extract(entity, r"([^ \-]+)$", 1)))
+        .when(type_ == "secret", F.regexp_extract(entity, WORD, 2))
+        .when(type_ == "person", F.lower(F.regexp_extract(entity, PERSON, 4)))
         .otherwise(entity)
     )
 
@@ -144,14 +163,22 @@ def _surrogate(key: str) -> Column:
     tail = _redrawn(F.substring(canon, -10, 10), stream)
     first = lambda i: (F.lit(2) + F.conv(F.substring(stream, 100 + 2 * i, 2), 16, 10).cast("int") % 8).cast("string")
     phone = F.concat(F.expr("substring(canon, 1, greatest(length(canon) - 10, 0))"), first(0), F.substring(tail, 2, 2), first(1), F.substring(tail, 5, 10))
-    word = F.regexp_extract(canon, WORD, 1)
-    rest = F.regexp_extract(canon, WORD, 2)
     # a secret may have no letter or digit, or few draws of its length may be free: every character is drawn, and more of them after eight attempts
-    longer = F.concat(rest, F.repeat(F.lit("a"), F.greatest(F.col("attempt") - 8, F.lit(0))))
-    secret = F.concat(word, _redrawn(longer, stream, rest.rlike("^[0-9a-f]+$"), others=True))
+    longer = F.concat(canon, F.repeat(F.lit("a"), F.greatest(F.col("attempt") - 8, F.lit(0))))
+    secret = _redrawn(longer, stream, canon.rlike("^[0-9a-f]+$"), others=True)
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     syllable = lambda i, s: F.element_at(F.array(*[F.lit(x) for x in SYLLABLES[s]]), F.conv(F.substring(stream, i + 1, F.lit(1)), 16, 10).cast("int") + 1)
-    surname = lambda s: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3) + F.col("attempt")), lambda i: syllable(i % 180, s)), "")
+    drawn = lambda s, n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n) + F.col("attempt")), lambda i: syllable(i % 180, s)), "")
+
+    def given(gender: str) -> Column:
+        """A name of the list at first, drawn ones when those are taken."""
+        out = F.lit(None).cast("string")
+        for s in SYLLABLES:
+            own = [n.lower() for g in (FIRST if gender == "x" else (gender,)) for n in FIRST[g][s]]
+            one = F.element_at(F.array(*[F.lit(n) for n in own]), F.conv(F.substring(stream, F.lit(1), F.lit(6)), 16, 10).cast("int") % len(own) + 1)
+            out = F.when(script == s, F.when(F.col("attempt") == 0, one).otherwise(F.concat(drawn(s, 1), F.lit(ENDS[s][gender])))).otherwise(out)
+        return out
+
     return (
         F.when(type_ == "email", email)
         .when(type_ == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
@@ -159,7 +186,10 @@ def _surrogate(key: str) -> Column:
         .when((type_ == "phone") & (F.length(canon) >= 10), phone)
         .when(type_ == "iban", F.concat(F.substring(canon, 1, 2), _redrawn(F.expr("substring(canon, 3)"), stream)))
         .when(type_ == "secret", secret)
-        .when(type_ == "person", F.when(script == "cyrillic", surname("cyrillic")).otherwise(surname("latin")))
+        .when(type_ == "person", F.when(script == "cyrillic", drawn("cyrillic", 3)).otherwise(drawn("latin", 3)))
+        .when(type_ == "given_f", given("f"))
+        .when(type_ == "given_m", given("m"))
+        .when(type_ == "given_x", given("x"))
         .otherwise(_redrawn(canon, stream))
     )
 
@@ -182,28 +212,51 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         table = stored(marked.withColumn("core", _surrogate(key)).drop("again"), "surrogates")
 
 
-def _formatted(key: str) -> Column:
+def _formatted() -> Column:
     """The surrogate core in the format of the entity it stands for."""
     entity, core, type_ = F.col("entity"), F.col("core"), F.col("type")
-    letters = _plain(core)
+    # a phone's country code is not part of its core
+    letters = F.concat(F.when(type_ == "phone", F.expr("substring(regexp_replace(entity, '[^A-Za-z0-9]', ''), 1, length(regexp_replace(entity, '[^A-Za-z0-9]', '')) - length(canon))")).otherwise(""), _plain(core))
 
     def one(i: Column) -> Column:
         c = F.substring(entity, i, F.lit(1))
         new = F.substring(letters, F.length(_plain(F.substring(entity, F.lit(1), i))), F.lit(1))
         return F.when(c.rlike("[A-Z]"), F.upper(new)).when(c.rlike("[a-z0-9]"), new).otherwise(c)
 
-    title = F.regexp_extract(entity, r"^([^ ]+) ", 1)
-    given = F.regexp_extract(entity, r"^[^ ]+ ([^ \-]+)([ \-])[^ \-]+$", 1)
-    between = F.regexp_extract(entity, r"^[^ ]+ ([^ \-]+)([ \-])[^ \-]+$", 2)
-    names = F.lit(None).cast("string")
-    for gender, scripts in FIRST.items():
-        for script, own in scripts.items():
-            draw = F.element_at(F.array(*[F.lit(x) for x in own]), F.pmod(F.xxhash64(F.lit(key), F.lower(given)), F.lit(len(own))).cast("int") + 1)
-            is_script = given.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~given.rlike(r"\p{IsCyrillic}")
-            names = F.when(title.isin(TITLES[gender]) & is_script, draw).otherwise(names)
-    person = F.concat(title, F.lit(" "), F.when(given != "", F.concat(names, between)).otherwise(F.lit("")), F.initcap(core))
+    title = F.regexp_extract(entity, PERSON, 1)
+    person = F.concat(title, F.when(title != "", " ").otherwise(""), F.coalesce(F.initcap("given_core"), F.lit("")), F.regexp_extract(entity, PERSON, 3), F.initcap(core))
+    secret = F.concat(F.regexp_extract(entity, WORD, 1), core)
     same_length = F.array_join(F.transform(_places(entity), one), "")
-    return F.when(type_ == "person", person).when(type_.isin("ip", "secret"), core).otherwise(same_length)
+    return F.when(type_ == "person", person).when(type_ == "secret", secret).when(type_ == "ip", core).otherwise(same_length)
+
+
+def _gender(title: Column, given: Column) -> tuple[Column, Column]:
+    """What a title says, and what the list says of a name."""
+    said, listed = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for g, scripts in FIRST.items():
+        said = F.when(title.isin(TITLES[g]), g).otherwise(said)
+        listed = F.when(given.isin([n.lower() for own in scripts.values() for n in own]), g).otherwise(listed)
+    return said, listed
+
+
+def _replacements(entities: DataFrame, key: str) -> DataFrame:
+    """Distinct entities with type and surrogate."""
+    found = entities.groupBy("entity").count().drop("count").withColumn("type", _type(F.col("entity"))).where("type IS NOT NULL")
+    found = found.withColumn("canon", _canon(F.col("type"), F.col("entity")))
+    is_person = F.col("type") == "person"
+    title, given = F.when(is_person, F.regexp_extract("entity", PERSON, 1)), F.when(is_person, F.nullif(F.lower(F.regexp_extract("entity", PERSON, 2)), F.lit("")))
+    found = found.withColumn("given", given)
+    said, listed = _gender(title, F.col("given"))
+    found = stored(found.withColumn("said", said).withColumn("listed", listed), "distinct-entities")
+    told = found.where("given IS NOT NULL").groupBy("given").agg(F.min("said").alias("low"), F.max("said").alias("high"))
+    found = found.join(told, "given", "left")
+    gender = F.coalesce("said", F.when(F.col("low") == F.col("high"), F.col("low")), "listed", F.lit("x"))
+    found = found.withColumn("given_type", F.when(F.col("given").isNotNull(), F.concat(F.lit("given_"), gender)))
+    names = found.where("given IS NOT NULL").select(F.col("given_type").alias("type"), F.col("given").alias("canon"))
+    cores = surrogates(found.select("type", "canon").unionByName(names), key)
+    given_cores = cores.select(F.col("type").alias("given_type"), F.col("canon").alias("given"), F.col("core").alias("given_core"))
+    found = found.join(cores, ["type", "canon"]).join(given_cores, ["given_type", "given"], "left")
+    return stored(found.select("entity", "type", _formatted().alias("surrogate")), "replacements")
 
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> tuple[DataFrame, str]:
@@ -215,10 +268,8 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> tuple[DataFrame, str]:
     nothing = F.array().cast("array<struct<type:string,entity:string,surrogate:string>>")
     dirty = marked.where(some).withColumn(c["id"], F.sha2("text", 256))
     lists = dirty.select(F.col(c["id"]).alias("id"), F.col(c["entities"]).alias("e")).groupBy("id").agg(F.first("e").alias("e"))
-    each = lists.select("id", F.posexplode("e").alias("at", "entity")).withColumn("type", _type(F.col("entity")))
-    each = stored(each.withColumn("canon", _canon(F.col("type"), F.col("entity"))), "entities")
-    drawn = each.join(surrogates(each.where("type IS NOT NULL").select("type", "canon"), key), ["type", "canon"], "left")
-    drawn = drawn.withColumn("surrogate", F.when(F.col("type").isNull(), F.col("entity")).otherwise(_formatted(key)))
+    each = stored(lists.select("id", F.posexplode("e").alias("at", "entity")), "entities")
+    drawn = each.join(_replacements(each, key), "entity", "left").withColumn("surrogate", F.coalesce("surrogate", "entity"))
     new = drawn.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "type", "entity", "surrogate"))).alias("found"))
     new = new.select(F.col("id").alias(c["id"]), F.transform("found", lambda x: F.struct(x["type"].alias("type"), x["entity"].alias("entity"), x["surrogate"].alias("surrogate"))).alias(c["found"]))
     pieces = F.transform(F.split("text", ANY, -1), lambda p, i: F.concat(p, F.coalesce(F.get(F.col(c["found"]), i)["surrogate"], F.lit(""))))
