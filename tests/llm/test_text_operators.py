@@ -193,11 +193,11 @@ def test_ordered_blocks(spark, n):
     assert blocks == sorted(blocks) and len(set(blocks)) <= n and (n < 3 or len(set(blocks)) > n // 2)
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 20, 200])
-def test_decontamination(spark, docs, data, part_bytes, empty):
+@pytest.mark.parametrize(("part_bytes", "group_bytes"), [(1 << 20, 1 << 20), (200, 1 << 20), (100, 300)])
+def test_decontamination(spark, docs, data, part_bytes, group_bytes, empty):
     items = [(1, " ".join(data[8][1].split()[3:20]) if len(data[8][1].split()) > 20 else data[5][1][:300]), (2, data[5][1][:400]), (3, "same SAME same"), (4, None), (5, "..."), (None, "one two"), (2, "cc by nc")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r for r in decontamination.contamination(docs, bench, part_bytes=part_bytes).collect()}
+    got = {r.doc_id: r for r in decontamination.contamination(docs, bench, part_bytes=part_bytes, group_bytes=group_bytes).collect()}
     windows = {}
     for item, t in items:
         w = re.findall(ALNUM, lower(t))
@@ -215,11 +215,26 @@ def test_decontamination(spark, docs, data, part_bytes, empty):
         g = got[i]
         assert (g.n_words, g.n_hit, g.n_items, g.items, g.contaminated) == (len(w), len(hit), len(ids), names, bool(hit))
         assert g.items_sha256 == hashlib.sha256(names.encode()).hexdigest()
-    clean = {r.doc_id for r in decontamination.keep_clean(docs, bench, part_bytes=part_bytes).collect()}
+    clean = {r.doc_id for r in decontamination.keep_clean(docs, bench, part_bytes=part_bytes, group_bytes=group_bytes).collect()}
     assert clean == {i for i in got if not got[i].contaminated}
     assert decontamination.contamination(empty, bench).count() == 0 and decontamination.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_hot_suffixes():
+    """Many windows that end in the same words cost no more than others; a window of equal hashes but other words is no hit."""
+    r = random.Random(4)
+    items = [(i, " ".join([f"w{r.randrange(10**6)}" for _ in range(30)] + ["the end"])) for i in range(3000)] + [(-1, "the " * 300)]
+    search = decontamination.searchers(items)
+    assert sum(len(s.begins) for s in search) == 3000 * 23 + 1
+    text = decontamination.Text(pa.array(["the " * 100_000 + items[5][1] + " the end" * 50_000, items[7][1].upper()]))
+    first, which = search[0].find(text)
+    inside = text.words.room()[first] >= 10
+    assert inside.sum() == (100_000 - 9) + 23 + 23
+    text.bytes = text.bytes.copy()
+    text.bytes[text.start[-1]] = ord("x")  # the last word, under its old hash
+    assert (text.words.room()[search[0].find(text)[0]] >= 10).sum() == inside.sum() - 1
+
+
 def test_lm_scoring(docs, data, empty):
     mu = 10.0
     got = {r.doc_id: r for r in lm_scoring.score(docs, mu).collect()}

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .shared import lean_batches
 
 K = 3
 #: Diagonals at most so many words apart are one alignment.
@@ -148,7 +149,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """A row for each document (template null) and for each verified span: rid, doc_id, n_words, template, phrase, label, first, last, cover."""
     spark = docs.sparkSession
     table = spark.createDataFrame(templates(), TABLE)
-    grams = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(_emit, GRAMS)
+    grams = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(lean_batches(_emit), GRAMS)
     voted = grams.join(F.broadcast(table), ["gram", "words"], "left").where("pos < 0 OR template IS NOT NULL").withColumn("diagonal", F.col("pos") - F.col("place"))
     keys = ["rid", "doc_id", "n_words", "template", "phrase", "label", "grams", "full", "telling"]
     lines = voted.groupBy(*keys, "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.bit_or("mask").alias("mask"), F.first("tells").alias("tells"))

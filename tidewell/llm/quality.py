@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gam, tokens
+from .shared import lean_batches
 
 SAMPLE = 20_000
 FOLDS, HELD_OUT = 3, 1
@@ -128,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> gam.Gam:
             x = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    rows = known.mapInArrow(measure, "doc_id long, quality int, x array<double>").toArrow()
+    # a doc_id may have many rows: of those, too, at most sample are fitted
+    rows = known.mapInArrow(lean_batches(measure), "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id", "x"), "doc_id", "quality", "x").limit(sample).toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     order = np.lexsort(tuple(x.T[::-1]))  # rows with equal ids in an order of their own
@@ -144,14 +146,16 @@ def score(docs: DataFrame, model: gam.Gam) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s)], names=["doc_id", "held_out", "score"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _fold().eqNullSafe(F.lit(HELD_OUT)).alias("held_out"))
-    return source.mapInArrow(run, SCORED).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return source.mapInArrow(lean_batches(run), SCORED).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: gam.Gam) -> DataFrame:
-    """The rows of docs, all columns, that the model does not reject."""
+    """The rows of docs, all columns, that the model does not reject; all of them where labels of one kind only told nothing."""
+    if not model.pair_edges:
+        return docs
 
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(model.score(features(batch.column("text"))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean_batches(run), docs.schema)

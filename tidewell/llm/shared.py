@@ -63,6 +63,16 @@ def release() -> None:
     _trim(0)
 
 
+def lean_batches(work: Callable):
+    """A function of an iterator of batches that leaves no freed memory behind."""
+
+    def run(batches):
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def lean(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     """A function of one or two Arrow tables that leaves no freed memory behind."""
     if work.__code__.co_argcount == 1:
