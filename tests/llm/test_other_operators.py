@@ -74,6 +74,18 @@ TEXTS = [
 ]
 
 
+def test_neighbours_of_tiny_and_huge_vectors(spark):
+    """Squares that underflow or overflow give the same neighbours as the vectors in plain size."""
+    r = np.random.default_rng(6)
+    base = r.standard_normal((60, 6))
+    rows = {size: [(i, (v * (size if i % 2 else 1)).tolist()) for i, v in enumerate(base)] for size in (1.0, 2.0**-700, 2.0**600)}
+    out = {}
+    for size, values in rows.items():
+        frame = spark.createDataFrame(values, "vec_id long, embedding array<double>")
+        out[size] = sorted((x.query_id, x.rank, x.vec_id, round(x.score, 12)) for x in neighbours.nearest(frame, frame.where("vec_id % 10 < 2"), 5).collect())
+    assert out[1.0] == out[2.0**-700] == out[2.0**600] and len(out[1.0]) == 60
+
+
 def test_pii(spark):
     frame = spark.createDataFrame([(i, t, "t", 0) for i, t in TEXTS], "doc_id long, text string, types string, n_entities int")
     got = pii.redact(frame).collect()

@@ -146,7 +146,7 @@ def searchers(items: list[tuple], window: int = WINDOW) -> list[Searcher]:
 
 
 def _hits(parts: list[list[tuple]], window: int):
-    """A function of a column that gives, of each part, its rows and (text, searcher, first words, windows) of what occurs within a row."""
+    """A function of a column that gives, of each part, its rows and (text, searcher, first words, windows) of what occurs within a row; and how a batch is cut for it."""
     kept = [searchers(parts[0], window)] if len(parts) == 1 else None
 
     def run(column):
@@ -158,15 +158,21 @@ def _hits(parts: list[list[tuple]], window: int):
                 inside = room[first] >= s.length
                 yield rows, text, s, first[inside], which[inside]
 
-    return run
+    def cut(batches):
+        for batch in batches:
+            # searchers that are built anew for each piece are worth a large one
+            for a, b in tokens.pieces(batch.column("text"), 1 << (21 if kept else 25)):
+                yield batch.slice(a, b - a)
+
+    return run, cut
 
 
 def _pass(docs: DataFrame, parts: list[list[tuple]], window: int, again: bool) -> DataFrame:
     """Adds to marks and items what occurs of these parts; the text is passed on only if another pass follows."""
 
     def search(batches):
-        hits = _hits(parts, window)
-        for batch in batches:
+        hits, cut = _hits(parts, window)
+        for batch in cut(batches):
             column = batch.column("text")
             counts, hit, items = np.zeros(batch.num_rows, np.int64), None, {}
             for rows, text, s, first, which in hits(column):
@@ -226,8 +232,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part
     for parts, _ in _groups(benchmark, window, part_bytes, group_bytes):
 
         def run(batches, parts=parts):
-            hits = _hits(parts, window)
-            for batch in batches:
+            hits, cut = _hits(parts, window)
+            for batch in cut(batches):
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for _, text, _, first, _ in hits(batch.column("text")):
                     clean[np.searchsorted(text.first, first, "right") - 1] = False

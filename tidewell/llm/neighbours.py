@@ -8,7 +8,7 @@ stops when a vector as near as the k-th best so far would, with probability CONF
 
 Every row is in one block's tree; packed blocks of queries go to every block of rows, and the
 best of each block are merged. Nearness is the cosine in double precision on the original
-vectors; ties go to the smaller id.
+vectors (very large or small ones are scaled by a power of two, which is exact); ties go to the smaller id.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take no part; vectors of
 another length than the query's are no candidates; rows that share the query's id are its own; other repeated rows are candidates each; of several
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import lean, partitions
 
 DIMS = 8
 LEAF = 64
@@ -88,6 +88,12 @@ class Tree:
         return order, far[order]
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors whose squares would under- or overflow, times a power of two: exact, and no cosine changes."""
+    exponent = np.frexp(np.abs(vectors).max(1))[1]
+    return np.where((np.abs(exponent) > 300)[:, None], np.ldexp(vectors, -exponent[:, None]), vectors)
+
+
 def _search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, confidence: float):
     """The k nearest rows found for each query: lists of (query_id, vec_id, score). ids ascend; equal vectors are one point of the tree with the ids of all."""
     vectors = np.ascontiguousarray(vectors + 0.0)  # no negative zeros: equal vectors have equal bytes
@@ -163,14 +169,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, confidence: floa
             length = rows.column("length")[0].as_py()
             ids = rows.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            matrix = _matrix(rows, length)[order]
+            matrix = _scaled(_matrix(rows, length))[order]
             query_ids = np.concatenate([np.frombuffer(b, np.int64) for b in asked.column("ids").to_pylist()])
             queries = np.concatenate([np.frombuffer(b, np.float64).reshape(-1, length) for b in asked.column("matrix").to_pylist()])
-            found = list(_search(ids[order], matrix, query_ids, queries, k, confidence))
+            found = list(_search(ids[order], matrix, query_ids, _scaled(queries), k, confidence))
         columns = list(zip(*found, strict=True)) or [[], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = rows.groupBy("block", "length").cogroup(asked.groupBy("block", "length")).applyInArrow(search, FOUND)
+    found = rows.groupBy("block", "length").cogroup(asked.groupBy("block", "length")).applyInArrow(lean(search), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

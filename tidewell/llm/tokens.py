@@ -114,6 +114,16 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def pieces(column, most: int = 1 << 21):
+    """(first, last) ranges of rows of at most about so many bytes, one row at least."""
+    _, offsets = column_bytes(column)
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield at, min(stop, n)
+        at = min(stop, n)
+
+
 def tokenise(column, rule: str, spans: bool = False) -> Words:
     """The words of every row of a string column."""
     inside, values = RULES[rule]

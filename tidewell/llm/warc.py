@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import work_folder
+from .shared import lean_batches, work_folder
 
 #: Payload bytes of one file, and of the records that its dictionary is built from.
 FILE_BYTES = 24 << 20
@@ -40,11 +40,16 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _digests(batches):
-    for batch in batches:
-        bodies = [(x or "").encode() for x in batch.column("html").to_pylist()]
-        columns = [batch.column(c) for c in ("page_id", "url", "html")]
-        yield pa.RecordBatch.from_arrays(columns + [pa.array([digest(b) for b in bodies], pa.string()), pa.array([len(b) for b in bodies], pa.int64())], names=["page_id", "url", "html", "digest", "n_bytes"])
+def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI, also under the names that Hadoop has for it."""
+    for ours, theirs in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "file:///dbfs/")):
+        if uri.startswith(ours):
+            uri = theirs + uri[len(ours) :].lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
+def _record_id(page_id, sha: str, revisit: bool) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {sha} {revisit}')}>"
 
 
 def _line(text: str) -> str:
@@ -54,10 +59,10 @@ def _line(text: str) -> str:
 def record(page_id, url, payload: bytes, sha: str, refers_to, revisit: bool) -> bytes:
     """One WARC/1.1 record. The page's id travels as a header of its own."""
     n = len(payload)
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {sha} {revisit}')}>"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, sha, revisit)}"]
     head += ["WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_line(url or '')}", f"WARC-Payload-Digest: sha1:{sha}", f"X-Page-Id: {'' if page_id is None else page_id}", f"X-Payload-Length: {n}"]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {'' if refers_to is None else refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, sha, False)}", f"X-Refers-To-Page-Id: {'' if refers_to is None else refers_to}"]
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {n}\r\n\r\n".encode() + (b"" if revisit else payload)
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -109,7 +114,7 @@ def unpack(content: bytes):
 
 def _write(folder: str):
     def run(batches):
-        store, root = pafs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         store.create_dir(root, recursive=True)
         waiting, size, done = [], 0, []
 
@@ -126,7 +131,7 @@ def _write(folder: str):
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first", "revisit")]
             for page, url, html, sha, first, revisit in zip(*columns, strict=True):
-                waiting.append(record(page, url, (html or "").encode(), sha, first, revisit))
+                waiting.append(record(page, url, (html or "").encode(), base64.b32encode(bytes.fromhex(sha)).decode(), first, revisit))
                 size += len(waiting[-1])
                 if size >= FILE_BYTES:
                     flush()
@@ -142,13 +147,13 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) ->
     """Writes the archives, one record for each row, and returns path, n_records and n_bytes of each file."""
     spark = pages.sparkSession
     folder = folder or work_folder(spark, "warc")
-    hashed = pages.select("page_id", "url", "html").mapInArrow(_digests, "page_id long, url string, html string, digest string, n_bytes long")
-    light = pages.select("page_id", F.lit(None).cast("string").alias("url"), "html").mapInArrow(_digests, "page_id long, url string, html string, digest string, n_bytes long")
-    firsts = light.groupBy("digest").agg(F.min("page_id").alias("first"))
+    payload = F.coalesce(F.col("html"), F.lit(""))
+    hashed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n_bytes"))
+    firsts = hashed.groupBy("digest").agg(F.min("page_id").alias("first"))
     linked = hashed.join(firsts, "digest")
     revisit = (F.col("n_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = linked.select("page_id", "url", "html", "digest", "first", revisit.alias("revisit"))
-    files = rows.mapInArrow(_write(folder), "path string, n_records long, n_bytes long")
+    files = rows.mapInArrow(lean_batches(_write(folder)), "path string, n_records long, n_bytes long")
     manifest = f"{folder}-files"
     files.write.parquet(manifest)  # files of attempts that did not count are not listed
     return spark.read.schema(files.schema).parquet(manifest)
@@ -160,7 +165,7 @@ def read(files: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                store, name = pafs.FileSystem.from_uri(path)
+                store, name = _store(path)
                 with store.open_input_file(name) as f:
                     content = f.read()
                 rows = []
@@ -179,7 +184,7 @@ def read(files: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return files.select("path").mapInArrow(run, RECORDS)
+    return files.select("path").mapInArrow(lean_batches(run), RECORDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
