@@ -109,9 +109,12 @@ def error_detail(body: Column, most: int = 300) -> Column:
 
 
 def retry_after_seconds(header: Column, now: Column) -> Column:
-    """Seconds of a Retry-After header: a number, or an HTTP date from now, rounded up."""
-    date = F.try_to_timestamp(F.regexp_extract(header, r"^[A-Za-z]{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(F.trim(header).try_cast("bigint"), F.greatest(F.lit(0), F.ceil((F.unix_micros(date) - F.unix_micros(now)) / 1_000_000)))
+    """Seconds of a Retry-After header: a whole number, or an HTTP date from now, rounded up and 0 if it is over; null for other text."""
+    text = F.trim(header)
+    number = F.when(text.rlike(r"^\+?[0-9]+$"), text.try_cast("bigint"))
+    date = F.try_to_timestamp(F.regexp_extract(text, r"^[A-Za-z]{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    left = F.ceil((F.unix_micros(date) - F.unix_micros(now)) / 1_000_000)
+    return F.coalesce(number, F.when(date.isNotNull(), F.greatest(F.lit(0), left)))
 
 
 def group_messages(messages: DataFrame, by: str = "request_id") -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M
@@ -12,26 +10,9 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import cache, evals, fusion, governor, grounding, history, render, replies, search, tape
 from ..operators import fetch as pages_
+from .registry import ORACLE_SQL, QUERIES, query, r9
 from .tables import HITS_SQL, LOG_SQL, RUNS_SQL, engine_log, hits, millis, runs, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r9(c):
-    return F.round(c, 9)
-
-
 # --- fusion of ranked hits ---
 
 FUSED_SQL = f"""
@@ -664,3 +645,6 @@ def progress_lines(spark, d):
     data = F.when(t == "error", F.when(n(2) == 0, retry).otherwise(failed)).when(t == "view", F.when(n(4).isin(0, 2), turn).when(n(4) == 1, replied).otherwise(step)).when(t == "click", found).when(t == "signup", page).otherwise(F.when(n(2) == 0, checked).otherwise(done))
     rows = table(spark, d, "events").select("event_id", F.col("user_id").alias("session_id"), i.alias("seq"), type_.alias("type"), data.alias("data"))
     return render.progress(rows).select("event_id", "line", "tone", "status")
+
+
+from . import logs, rules  # noqa: E402, F401  (they register theirs)

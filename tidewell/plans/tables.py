@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +87,11 @@ log AS (SELECT 'e' || (user_id % 6) AS engine, epoch_us(ts) // 1000 AS ts, event
   CASE WHEN event_type <> 'error' THEN NULL WHEN k % 4 = 0 THEN 3600 WHEN k % 20 = 7 THEN 3600 WHEN k % 4 IN (1, 2) THEN 180 ELSE 30 END AS secs,
   CASE WHEN event_type <> 'error' THEN NULL WHEN k % 4 = 0 THEN 'challenge' WHEN k % 20 = 7 THEN 'retry_after' WHEN k % 4 = 1 THEN 'http_403' WHEN k % 4 = 2 THEN 'http_429' ELSE 'upstream' END AS why FROM l0)
 """
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or on this machine where Spark runs here alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(base or f'file://{tempfile.gettempdir()}/tidewell').rstrip('/')}/{name}-{uuid.uuid4().hex}"
