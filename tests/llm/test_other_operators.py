@@ -54,7 +54,7 @@ def test_neighbours_of_many_copies():
     ids[1:3] = ids[0]  # an id may be repeated
     asked = [next(i for i in g.permutation(len(rows)) if np.array_equal(rows[i], v)) for v in kinds]
     found = defaultdict(list)
-    for q, i, _ in neighbours._search(ids, rows, ids[asked], rows[asked], 5, neighbours.CONFIDENCE):
+    for q, i, _ in neighbours.Block(ids, rows, 5, neighbours.CONFIDENCE).nearest(ids[asked], rows[asked]):
         found[q].append(i)
     for a in asked:
         # copies and threefold vectors score alike but for rounding

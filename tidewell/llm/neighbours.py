@@ -6,8 +6,8 @@ DIMS degrees of freedom. Each block of rows has a kd-tree over the projections o
 the tree's leaves by their distance from its own projection, verifies the vectors in them, and
 stops when a vector as near as the k-th best so far would, with probability CONFIDENCE, have been met already.
 
-Every row is in one block's tree; packed blocks of queries go to every block of rows, and the
-best of each block are merged. Nearness is the cosine in double precision on the original
+Every row is in one block's tree; packs of queries stream past every block of rows, so that a task holds one
+block and never all queries, and the best of each block are merged. Nearness is the cosine in double precision on the original
 vectors (very large or small ones are scaled by a power of two, which is exact); ties go to the smaller id.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take no part; vectors of
@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lean, partitions
+from .shared import lean_batches, partitions
 
 DIMS = 8
 LEAF = 64
 CONFIDENCE = 0.995
 SEED = 71
-QUERIES = 1024
+#: Bytes of queries in a row, so that an Arrow batch of ten thousand rows stays small.
+PACK = 8192
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -94,35 +95,45 @@ def _scaled(vectors: np.ndarray) -> np.ndarray:
     return np.where((np.abs(exponent) > 300)[:, None], np.ldexp(vectors, -exponent[:, None]), vectors)
 
 
-def _search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, confidence: float):
-    """The k nearest rows found for each query: lists of (query_id, vec_id, score). ids ascend; equal vectors are one point of the tree with the ids of all."""
-    vectors = np.ascontiguousarray(vectors + 0.0)  # no negative zeros: equal vectors have equal bytes
-    _, first, group = np.unique(vectors.view(f"V{vectors.itemsize * vectors.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    vectors = vectors[first]
-    norms = np.sqrt((vectors * vectors).sum(1))
-    unit = vectors / norms[:, None]
-    directions = _directions(vectors.shape[1])
-    tree = Tree(unit @ directions)
-    vectors, unit, norms = vectors[tree.order], unit[tree.order], norms[tree.order]
-    point = np.argsort(tree.order)[group]  # the point of each row
-    members = ids[np.argsort(point, kind="stable")]
-    count = np.bincount(point, minlength=len(vectors))
-    begin = np.cumsum(count) - count
-    limit = _quantile(confidence)
-    for query_id, q in zip(query_ids, queries, strict=True):
+class Block:
+    """Rows of one block under a kd-tree. ids ascend; equal vectors are one point of the tree with the ids of all."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, confidence: float):
+        vectors = np.ascontiguousarray(vectors + 0.0)  # no negative zeros: equal vectors have equal bytes
+        _, first, group = np.unique(vectors.view(f"V{vectors.itemsize * vectors.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        vectors = vectors[first]
+        norms = np.sqrt((vectors * vectors).sum(1))
+        unit = vectors / norms[:, None]
+        self.directions = _directions(vectors.shape[1])
+        self.tree = Tree(unit @ self.directions)
+        order = self.tree.order
+        self.ids, self.vectors, self.unit, self.norms = ids, vectors[order], unit[order], norms[order]
+        self.point = np.argsort(order)[group]  # the point of each row
+        self.members = ids[np.argsort(self.point, kind="stable")]
+        self.count = np.bincount(self.point, minlength=len(vectors))
+        self.begin = np.cumsum(self.count) - self.count
+        self.k, self.limit = k, _quantile(confidence)
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray):
+        """The k nearest rows found for each query: (query_id, vec_id, score)."""
+        for query_id, q in zip(query_ids, queries, strict=True):
+            yield from self._one(query_id, q)
+
+    def _one(self, query_id: int, q: np.ndarray):
+        tree, ids, k = self.tree, self.ids, self.k
         own = q / math.sqrt((q * q).sum())
-        leaves, far = tree.leaves(own @ directions)
-        mine = point[np.searchsorted(ids, query_id) : np.searchsorted(ids, query_id, "right")]
+        leaves, far = tree.leaves(own @ self.directions)
+        mine = self.point[np.searchsorted(ids, query_id) : np.searchsorted(ids, query_id, "right")]
         best, kth, at, step = [], -np.inf, 0, 2
         # projections of nearly equal vectors differ by rounding, so a bound of 0 needs a tolerance
-        while at < len(leaves) and not (len(best) and kth > -np.inf and far[at] > limit * max(0.0, 2 - 2 * kth) + 1e-9):
+        while at < len(leaves) and not (len(best) and kth > -np.inf and far[at] > self.limit * max(0.0, 2 - 2 * kth) + 1e-9):
             rows = np.concatenate([np.arange(tree.starts[i], tree.stops[i]) for i in leaves[at : at + step]])
             at, step = at + step, min(step * 2, 16)
-            left = count[rows]
+            left = self.count[rows]
             for p in mine:
                 left = left - (rows == p)
             rows, left = rows[left > 0], np.minimum(left[left > 0], k)
-            near = unit[rows] @ own
+            near = self.unit[rows] @ own
             best.append((rows, near, left))
             every = np.concatenate([np.repeat(n, m) for _, n, m in best])
             if len(every) >= k:
@@ -130,11 +141,11 @@ def _search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
                 keep = [(r[n >= kth - 1e-9], n[n >= kth - 1e-9], m[n >= kth - 1e-9]) for r, n, m in best]
                 best = [x for x in keep if len(x[0])]
         if not any(len(r) for r, _, _ in best):
-            continue
+            return
         rows = np.concatenate([r for r, _, _ in best])
-        exact = (vectors[rows] * q).sum(1) / (norms[rows] * math.sqrt((q * q).sum()))
+        exact = (self.vectors[rows] * q).sum(1) / (self.norms[rows] * math.sqrt((q * q).sum()))
         # of each point the k smallest ids, which may be those beyond the query's own
-        own_ids = [members[begin[r] : begin[r] + count[r]] for r in rows]
+        own_ids = [self.members[self.begin[r] : self.begin[r] + self.count[r]] for r in rows]
         own_ids = [np.concatenate([x[: np.searchsorted(x, query_id)][:k], x[np.searchsorted(x, query_id, "right") :][:k]])[:k] for x in own_ids]
         found, exact = np.concatenate(own_ids), np.repeat(exact, [len(x) for x in own_ids])
         for i in np.lexsort((found, -exact))[:k]:
@@ -152,35 +163,64 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, confidence: floa
 
     rows = clean(vectors).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     one = clean(queries).groupBy("id").agg(F.min("x").alias("x")).withColumn("length", F.size("x"))
-    pack = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
-    def packed(table: pa.Table) -> pa.Table:
-        length = table.column("length")[0].as_py()
-        ids, flat = table.column("id").to_numpy(), _matrix(table, length)
-        out = [(length, ids[i : i + QUERIES].tobytes(), flat[i : i + QUERIES].tobytes()) for i in range(0, len(ids), QUERIES)]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["length", "ids", "matrix"])
+    def packed(batches):
+        for batch in batches:
+            lengths = batch.column("length").to_numpy()
+            for a, b in _runs(lengths):
+                length, part = int(lengths[a]), batch.slice(a, b - a)
+                ids, flat, size = part.column("id").to_numpy(), _matrix(part, length), max(1, PACK // (8 * length))
+                out = [(length, ids[i : i + size].tobytes(), flat[i : i + size].tobytes()) for i in range(0, len(ids), size)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["length", "ids", "matrix"])
 
-    asked = one.withColumn("pack", pack).groupBy("pack", "length").applyInArrow(packed, "length int, ids binary, matrix binary")
+    asked = one.select("id", "length", "x").sortWithinPartitions("length").mapInArrow(packed, "length int, ids binary, matrix binary")
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
-    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        found = []
-        if rows.num_rows and asked.num_rows:
-            length = rows.column("length")[0].as_py()
-            ids = rows.column("id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            matrix = _scaled(_matrix(rows, length))[order]
-            query_ids = np.concatenate([np.frombuffer(b, np.int64) for b in asked.column("ids").to_pylist()])
-            queries = np.concatenate([np.frombuffer(b, np.float64).reshape(-1, length) for b in asked.column("matrix").to_pylist()])
-            found = list(_search(ids[order], matrix, query_ids, _scaled(queries), k, confidence))
-        columns = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = rows.groupBy("block", "length").cogroup(asked.groupBy("block", "length")).applyInArrow(lean(search), FOUND)
+    def search(batches):
+        key, held, block = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("block", "length", "pack")], axis=1)
+            for a, b in _runs(keys):
+                (number, length, pack), part = keys[a].tolist(), batch.slice(a, b - a)
+                if key != (number, length):
+                    key, held, block = (number, length), [], None
+                if not pack:
+                    held.append((part.column("id").to_numpy(), _matrix(part, length)))
+                    continue
+                if not held:
+                    continue  # queries without a row of their length in this block
+                if block is None:
+                    ids = np.concatenate([x for x, _ in held])
+                    order = np.argsort(ids, kind="stable")
+                    block = Block(ids[order], _scaled(np.concatenate([x for _, x in held]))[order], k, confidence)
+                    held = [True]  # the block keeps its own arrays
+                found = []
+                for some, matrix in zip(part.column("ids").to_pylist(), part.column("matrix").to_pylist(), strict=True):
+                    found += block.nearest(np.frombuffer(some, np.int64), _scaled(np.frombuffer(matrix, np.float64).reshape(-1, length)))
+                    if len(found) >= 20_000:
+                        yield _found(found)
+                        found = []
+                yield _found(found)
+
+    # the rows of a block come first and are held; the packs of queries then stream past them
+    both = rows.withColumn("pack", F.lit(0)).unionByName(asked.withColumn("pack", F.lit(1)), allowMissingColumns=True)
+    both = both.repartition("block", "length").sortWithinPartitions("block", "length", "pack")
+    found = both.mapInArrow(lean_batches(search), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _matrix(table: pa.Table, length: int) -> np.ndarray:
-    values = table.column("x").combine_chunks()
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+def _found(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    differs = (keys[1:] != keys[:-1]).reshape(len(keys) - 1, -1).any(1) if len(keys) > 1 else np.zeros(0, bool)
+    ends = [*(np.flatnonzero(differs) + 1).tolist(), len(keys)]
+    return [(a, b) for a, b in zip([0, *ends[:-1]], ends, strict=True) if a < b]
+
+
+def _matrix(batch: pa.RecordBatch, length: int) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
