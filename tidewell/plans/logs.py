@@ -657,3 +657,26 @@ def nugget_flags(spark, d):
     flags = F.transform(F.sequence(F.lit(0), i % 3), lambda k: (i + k) % 2 == 0)
     judged = table(spark, d, "labels").select(i.alias("goal_id"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("repeat"), flags.alias("flags"))
     return evals.zipped_flags(goals, judged).select("goal_id", "repeat", "text", "flag")
+
+
+@query("SELECT event_id, true AS gap_ok, true AS wait_ok, CASE WHEN event_id % 2 = 0 THEN least(event_id % 100, 60)::DOUBLE END AS stated FROM events")
+def waits(spark, d):
+    """FN-05, ADD-19: random gaps and waits stay within their bounds; a stated wait wins, sixty seconds at most."""
+    i = F.col("i")
+    least, attempt = i % 7 * 100, (i % 9 + 1).cast("int")
+    gap, wait = governor.jittered_gap(least, least + i % 3), governor.backoff(attempt)
+    rows = events(spark, d).select("event_id", gap.between(least, least + i % 3).alias("gap_ok"), wait.between(0, F.least(F.pow(F.lit(2), attempt - 1), F.lit(8))).alias("wait_ok"), governor.backoff(attempt, i % 100).alias("stated"))
+    return rows.select("event_id", "gap_ok", "wait_ok", F.when(F.col("event_id") % 2 == 0, F.col("stated")).alias("stated"))
+
+
+@query(rf"""
+WITH {WORDS_SQL}, m AS (SELECT doc_id, concat_ws(chr(10) || chr(10), '# Head ' || doc_id, nullif(t, ''), 'See [the **bold** page](https://a.example/' || doc_id || ') & `x < y`.', '- one' || chr(10) || '- two', '```' || chr(10) || 'x = 1' || chr(10) || chr(10) || '  y' || chr(10) || '```', '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 \| 3 |') AS m FROM w)
+SELECT doc_id, length(m) >= 200 AS kept, m AS markdown FROM m
+""")
+def main_content(spark, d):
+    """HTM-04, HTM-05, HTM-06, TXT-33, TXT-34, SET-05: pages with menus, scripts and styles around a heading, text, a link, code, a list and a table, as Markdown."""
+    i = F.col("doc_id")
+    head = '<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><main><h1>Head '
+    rest = '">the <b>bold</b> page</a> &amp; <code>x &lt; y</code>.</p><ul><li>one</li><li>two</li></ul><pre><code>x = 1\n\n  y</code></pre><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2 | 3</td></tr></table></main><footer>foot</footer></body></html>'
+    html = text_of(head, i, "</h1><p>", F.col("t"), '</p><p>See <a href="https://a.example/', i, rest)
+    return fetch.markdown_pages(_words(spark, d).select("doc_id", html.alias("html"))).select("doc_id", "kept", "markdown")

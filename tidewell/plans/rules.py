@@ -433,3 +433,11 @@ def prompts(df):
 def gated_requests(df):
     """STR-10: suspended before throttled."""
     return governor.gate(df)
+
+
+@cases("setting string", "engines string", [
+    (None, "brave,yahoo,duckduckgo,bing,cratesio"), ("", "brave,yahoo,duckduckgo,bing,cratesio"), ("zzz", "brave,yahoo,duckduckgo,bing,cratesio"), ("bing, DDG", "duckduckgo,bing"), ("google,Brave , yahoo,brave", "brave,yahoo"), ("startpage", "startpage"),
+])
+def engine_choices(df):
+    """PRJ-04, SRT-06: engines of a setting by priority, unknown names left out."""
+    return df.withColumn("engines", F.array_join(search.enabled_engines(F.col("setting")), ","))
