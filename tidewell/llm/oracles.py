@@ -43,7 +43,13 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS B
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-CRC32 = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT), lambda s, b: list_reduce([xor(s, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)"
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, spelled out."""
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda s, b: list_reduce([xor(s, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)"
+
+
+CRC32 = crc32("CAST(doc_id AS VARCHAR)")
 
 SQL["op10_lm_scoring"] = rf"""
 WITH d AS (SELECT doc_id, {CRC32} % 10 = 0 AS held_out, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') || [chr(10)] AS w FROM documents),
@@ -61,3 +67,39 @@ x AS (SELECT doc_id, held_out, coalesce(c1.c, 0) AS c, tok.q AS q, (coalesce(c1.
 SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(*) FILTER (WHERE c > 0)::BIGINT AS n_known, (SELECT CAST(n AS BIGINT) FROM n) AS train_tokens,
        fsum(log10(pr)) AS base_score, fsum(log10(p3)) AS score FROM x GROUP BY doc_id, held_out
 """
+
+_ADD = lambda cost, letter, v: f"lpad(CAST(CAST(substr({v}, 1, 12) AS BIGINT) + ({cost}) AS VARCHAR), 12, '0') || '{letter}' || substr({v}, 13)"
+_ROW = lambda q, keep, new: f"least({_ADD(2, 'D', f'v{q}')}, CASE WHEN gone THEN '9' ELSE {keep} END, CASE WHEN gone THEN '9' ELSE {_ADD('1 + more', 'R', f'v{new}')} END) AS w{q}"
+_KEEP = lambda letter, to: f"CASE WHEN r = '{letter}' THEN {_ADD('more', 'K', f'v{to}')} ELSE '9' END"
+
+# Cheapest edits from the end of each conversation: of each state (nothing yet, after system, user, assistant) the cost
+# in twelve digits and the letters, so that the least text is the cheapest edit and the first in ASCII order.
+SQL["op11_conversation_repair"] = rf"""
+WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations),
+x AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+             CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS c FROM b),
+y AS (SELECT conv_id, turn, role, text, substr(role, 1, 1) AS r, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, c) AS i,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, c) AS nth FROM x),
+rows AS (SELECT conv_id, turn, role, text, r, i, bare = '' AS blank, bare <> '' AND nth > 1 AS duplicate,
+                bare <> '' AND nth = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated,
+                i > 1 AND lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r NOT IN ('su', 'ua', 'au') AS illegal FROM y),
+cols AS (SELECT *, blank OR duplicate AS gone, CASE WHEN truncated THEN 5 ELSE 0 END AS more FROM rows),
+n AS (SELECT conv_id, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+             count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE illegal) AS illegal FROM rows GROUP BY conv_id),
+e AS (SELECT conv_id, n + 1 AS i, '000000000000' AS v0, '000000000010II' AS v1, '000000000005I' AS v2, '000000000000' AS v3 FROM n
+  UNION ALL
+  SELECT conv_id, i, least(w0, {_ADD(5, 'I', 'w2')}), least(w1, {_ADD(5, 'I', 'w2')}), least(w2, {_ADD(5, 'I', 'w3')}), least(w3, {_ADD(5, 'I', 'w2')})
+  FROM (SELECT c.conv_id, c.i, {_ROW(0, f"least({_KEEP('s', 1)}, {_KEEP('u', 2)})", 2)}, {_ROW(1, _KEEP('u', 2), 2)}, {_ROW(2, _KEEP('a', 3), 3)}, {_ROW(3, _KEEP('u', 2), 2)}
+        FROM e JOIN cols c ON c.conv_id IS NOT DISTINCT FROM e.conv_id AND c.i = e.i - 1)),
+found AS (SELECT conv_id, CAST(substr(v0, 1, 12) AS BIGINT) AS cost, substr(v0, 13) AS audit FROM e WHERE i = 1),
+l AS (SELECT conv_id, j, substr(audit, CAST(j AS INT), 1) AS letter, length(replace(substr(audit, 1, CAST(j AS INT)), 'I', '')) AS i, length(replace(substr(audit, 1, CAST(j AS INT)), 'D', '')) AS o,
+             length(replace(audit, 'D', '')) AS whole FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM found)),
+t AS (SELECT l.conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (o + whole) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS s
+      FROM l LEFT JOIN rows ON rows.conv_id IS NOT DISTINCT FROM l.conv_id AND rows.i = l.i WHERE letter <> 'D' GROUP BY l.conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(s, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM d.conv_id
+LEFT JOIN found ON found.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id
+"""

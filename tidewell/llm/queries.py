@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles, quality
+from .conversations import damage, repair
 from .decontamination import contamination
 from .license_scan import scan
 from .lm_scoring import score
@@ -65,5 +66,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_ngram_join, op4_substring_dedup, op5_pii, op6_mixing, op7_quality, op8_warc, op9_decontamination, op10_lm_scoring)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(_table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_ngram_join, op4_substring_dedup, op5_pii, op6_mixing, op7_quality, op8_warc, op9_decontamination, op10_lm_scoring, op11_conversation_repair)}
 ORACLE_SQL = oracles.SQL
