@@ -103,3 +103,22 @@ SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM d.conv_id
 LEFT JOIN found ON found.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id
 """
+
+_CENTS = lambda x: f"coalesce(CAST(floor(100 * {x} + 0.5) AS BIGINT), 0)"
+
+SQL["op12_point_in_time"] = rf"""
+WITH s AS (SELECT row_number() OVER () AS q, sale_id, client_id, epoch_us(sold_at) AS sold, epoch_us(sold_at) + {crc32("coalesce(CAST(sale_id AS VARCHAR), '')")} % 259200 * 1000000 AS t,
+                  epoch_us(arrived_at) + 14400000000 AS known, {_CENTS("total")} AS cents FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+c AS (SELECT client_id, click_id, epoch_us(ts) AS ts, epoch_us(arrived_at) + 14400000000 AS known, kind, {_CENTS("value")} AS cents FROM (SELECT DISTINCT click_id, ts, arrived_at, client_id, kind, value, props FROM clicks)),
+l AS (SELECT client_id, sold, known, item_id, epoch_us(shipped_at) AS shipped, {_CENTS("amount")} AS cents FROM sale_lines JOIN s USING (sale_id)),
+w AS (SELECT s.*, d, t - d * 86400000000 AS low FROM s, (SELECT unnest([2, 14]) AS d)),
+fc AS (SELECT w.q, d, count(*) AS n_clicks, count(*) FILTER (WHERE kind = 'purchase') AS n_purchases, sum(c.cents) AS click_cents, max(row(ts, click_id)) AS last
+       FROM w JOIN c ON c.client_id = w.client_id WHERE ts > low AND ts <= t AND c.known <= t GROUP BY w.q, d),
+fs AS (SELECT w.q, d, count(*) AS n_sales, sum(o.cents) AS sale_cents FROM w JOIN s o ON o.client_id = w.client_id WHERE o.sold > low AND o.sold <= w.t AND o.known <= w.t GROUP BY w.q, d),
+fl AS (SELECT w.q, d, count(*) AS n_lines, count(DISTINCT item_id) AS n_items, sum(l.cents) AS line_cents
+       FROM w JOIN l ON l.client_id = w.client_id WHERE l.sold > low AND l.sold <= t AND l.known <= t AND shipped <= t GROUP BY w.q, d)
+SELECT w.sale_id, CAST(w.d AS INT) AS d, CAST(w.t AS BIGINT) AS t_us, EXISTS (SELECT 1 FROM s o WHERE o.client_id = w.client_id AND o.sold > w.t AND o.sold <= w.t + 604800000000) AS label,
+       coalesce(n_clicks, 0) AS n_clicks, coalesce(n_purchases, 0) AS n_purchases, CAST(coalesce(click_cents, 0) AS BIGINT) AS click_cents, struct_extract(last, 2) AS last_click_id,
+       coalesce(n_sales, 0) AS n_sales, CAST(coalesce(sale_cents, 0) AS BIGINT) AS sale_cents, coalesce(n_lines, 0) AS n_lines, coalesce(n_items, 0) AS n_items, CAST(coalesce(line_cents, 0) AS BIGINT) AS line_cents
+FROM w LEFT JOIN fc ON fc.q = w.q AND fc.d = w.d LEFT JOIN fs ON fs.q = w.q AND fs.d = w.d LEFT JOIN fl ON fl.q = w.q AND fl.d = w.d
+"""

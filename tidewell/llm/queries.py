@@ -13,6 +13,7 @@ from .mixing import copies
 from .neighbours import nearest
 from .ngram_join import near_duplicates
 from .pii import redact
+from .point_in_time import feature_table
 from .substring_dedup import remove_repeats
 from .warc import read, write
 
@@ -70,5 +71,9 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(_table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_ngram_join, op4_substring_dedup, op5_pii, op6_mixing, op7_quality, op8_warc, op9_decontamination, op10_lm_scoring, op11_conversation_repair)}
+def op12_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feature_table(*[_table(spark, sf_dir, t) for t in ("sales", "clicks", "sale_lines")])
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_ngram_join, op4_substring_dedup, op5_pii, op6_mixing, op7_quality, op8_warc, op9_decontamination, op10_lm_scoring, op11_conversation_repair, op12_point_in_time)}
 ORACLE_SQL = oracles.SQL
