@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles, quality
+from . import language_id, oracles, quality
 from .conversations import damage, repair
 from .decontamination import contamination
 from .license_scan import scan
@@ -75,5 +75,10 @@ def op12_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_table(*[_table(spark, sf_dir, t) for t in ("sales", "clicks", "sale_lines")])
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_ngram_join, op4_substring_dedup, op5_pii, op6_mixing, op7_quality, op8_warc, op9_decontamination, op10_lm_scoring, op11_conversation_repair, op12_point_in_time)}
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_ngram_join, op4_substring_dedup, op5_pii, op6_mixing, op7_quality, op8_warc, op9_decontamination, op10_lm_scoring, op11_conversation_repair, op12_point_in_time, op13_language_id)}
 ORACLE_SQL = oracles.SQL
