@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean_batches, partitions, stored
+from .shared import few_samples, lean_batches, partitions, stored
 
 #: Rows of a partition at most, on average.
 ROWS = 400_000
@@ -169,7 +169,8 @@ def _lines(lines: DataFrame, sales: DataFrame, windows: list[int], n: int) -> Da
     met = met.withColumn("at", F.greatest("sale_at", "shipped")).where(F.col("at") < F.col("ts") + max(windows))
     met = met.groupBy("client", "item", "at", "ts").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
     dealt = met.repartitionByRange(n, "client", "item", "at", "ts").sortWithinPartitions("client", "item", "at", "ts").withColumn("pid", F.spark_partition_id())
-    pieces = stored(dealt.mapInArrow(lean_batches(partial(_pieces, windows)), PIECES), "pieces")
+    with few_samples(lines.sparkSession, n):
+        pieces = stored(dealt.mapInArrow(lean_batches(partial(_pieces, windows)), PIECES), "pieces")
     points = _axis(pieces.where(F.col("kind") == LINE), **{c: F.col(c) for c in ("client", "at", "ts", "n", "cents", "kind")})
     ends = pieces.where((F.col("kind") == QUERY) & F.col("item").isNotNull()).groupBy("client", "item", "pid").agg(F.max("ts").alias("before"))
     before = carried(ends, ["client", "item"], {"before": F.max}, n)
@@ -335,8 +336,9 @@ def _upper_levels(edges: DataFrame, spans: DataFrame, windows: list[int], n: int
     order = ["client", "level", "node", "latest", "point"]
     both = points.unionByName(asks).withColumn("point", (F.col("kind") != QUERY).cast("int")).drop("pid")
     m = max(partitions(edges.sparkSession), -(-rows * (len(windows) + 1) // ROWS))
-    dealt = both.repartitionByRange(m, *order, "ts", "n", "cents", "qid").sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
-    met = stored(dealt.mapInArrow(lean_batches(_met), CROSS), "upper")
+    dealt = both.repartitionByRange(m, *order, F.xxhash64("ts", "n", "cents", "qid")).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
+    with few_samples(edges.sparkSession, m):
+        met = stored(dealt.mapInArrow(lean_batches(_met), CROSS), "upper")
     keys = ["client", "level", "node"]
     before = carried(met.where("qid < 0").dropDuplicates([*keys, "pid"]).select(*keys, "pid", *SUMS), keys, {c: F.sum for c in SUMS}, m)
     more = met.where("qid >= 0 AND first").select("qid", "w", *keys, "pid").join(before, [*keys, "pid"]).select("qid", "w", *SUMS)
@@ -359,8 +361,9 @@ def feature_table(sales: DataFrame, clicks: DataFrame, lines: DataFrame, days: t
     )
     of_sales = sold.select("client", F.explode(own).alias("x")).select("client", "x.*").where("at IS NOT NULL").select(*AXIS)
     axis = reduce(DataFrame.unionByName, [_clicks(clicks, delay, max(windows)), of_sales, _lines(lines, sold, windows, n)])
-    dealt = axis.repartitionByRange(n, "client", "at", "is_query", "kind", "ts", "id", "cents").sortWithinPartitions("client", "at", "is_query").withColumn("pid", F.spark_partition_id())
-    marks = stored(dealt.mapInArrow(lean_batches(partial(_swept, windows)), _marks(windows)), "marks")
+    dealt = axis.repartitionByRange(n, "client", "at", "is_query", F.xxhash64("kind", "ts", "id", "cents")).sortWithinPartitions("client", "at", "is_query").withColumn("pid", F.spark_partition_id())
+    with few_samples(spark, n):
+        marks = stored(dealt.mapInArrow(lean_batches(partial(_swept, windows)), _marks(windows)), "marks")
     found = _result_columns(windows)
     answered = marks.where(F.col("kind") == QUERY).select("edge", "qid", "client", "pid", F.col("id").alias("sale_id"), F.col("at").alias("t_us"), "last", *found)
 

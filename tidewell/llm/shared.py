@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting by which the shuffle files of an execution go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting for the keys that a range exchange samples to the driver for each partition, and how many it takes here.
+SAMPLES, LEAST_SAMPLES, ALL_SAMPLES = "spark.sql.execution.rangeExchange.sampleSizePerPartition", 15, 3000
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -46,6 +49,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def few_samples(spark: SparkSession, n: int) -> Iterator[None]:
+    """While this is open, a range exchange over n partitions sends about ALL_SAMPLES keys to the driver, not 100 a partition."""
+    before = spark.conf.get(SAMPLES, None)
+    spark.conf.set(SAMPLES, str(max(LEAST_SAMPLES, min(100, ALL_SAMPLES // n))))
+    try:
+        yield
+    finally:
+        spark.conf.unset(SAMPLES) if before is None else spark.conf.set(SAMPLES, before)
+
+
 def _libc():
     try:
         trim = ctypes.CDLL("libc.so.6").malloc_trim
