@@ -107,19 +107,29 @@ def identifier_on(page: Column, name: Column) -> Column:
     return F.contains(page, name) | ((last != "") & (F.length(last) < F.length(bare)) & F.contains(page, last))
 
 
-def support(quote: Column, tokens: Column, page: Column) -> Column:
-    """none, partial or exact: whether the quote stands on the page, and all that the bullet states too."""
-    wanted, shown, bare = normal_text(quote), normal_text(page), plain_text(page)
-    numbers, codes = page_numbers(page), F.regexp_extract_all(bare, F.lit(CODE), F.lit(0))
+def page_forms(page: Column) -> Column:
+    """struct(shown, bare, numbers, codes): the forms of a page that claims are tested on."""
+    bare = plain_text(page)
+    return F.struct(normal_text(page).alias("shown"), bare.alias("bare"), page_numbers(page).alias("numbers"), F.array_distinct(F.regexp_extract_all(bare, F.lit(CODE), F.lit(0))).alias("codes"))
+
+
+def support_of(claim: Column, page: Column) -> Column:
+    """none, partial or exact for a claim (wanted: its normalised quote, tokens) on page_forms."""
+    tokens = claim["tokens"]
     all_ = (
-        F.forall(tokens["identifiers"], lambda x: identifier_on(bare, x))
-        & F.forall(tokens["codes"], lambda x: F.array_contains(codes, x))
-        & F.forall(tokens["numbers"], lambda x: F.exists(numbers, lambda n: numbers_match(x, n)))
+        F.forall(tokens["identifiers"], lambda x: identifier_on(page["bare"], x))
+        & F.forall(tokens["codes"], lambda x: F.array_contains(page["codes"], x))
+        & F.forall(tokens["numbers"], lambda x: F.exists(page["numbers"], lambda n: numbers_match(x, n)))
     )
-    found = (wanted != "") & F.contains(shown, wanted)
+    found = (claim["wanted"] != "") & F.contains(page["shown"], claim["wanted"])
     return F.when(~F.coalesce(found, F.lit(False)), "none").when(all_, "exact").otherwise("partial")
 
 
+def support(quote: Column, tokens: Column, page: Column) -> Column:
+    """none, partial or exact: whether the quote stands on the page, and all that the bullet states too."""
+    return support_of(F.struct(normal_text(quote).alias("wanted"), tokens.alias("tokens")), page_forms(page))
+
+
 def challenge_page(html: Column, marks: list[str]) -> Column:
     head = F.lower(F.substring(html, 1, 20000))
     out = F.lit(False)

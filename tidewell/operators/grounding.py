@@ -1,7 +1,8 @@
 """Grounding: are an answer's bullets supported by the pages they cite?
 
 bullets: answer_id, ord, text, quote, links (array). pages: answer_id, pos, url, markdown. Equi-joins on
-the URL's key; the text tests run once for each (bullet, page) pair on the joined rows.
+the URL's key. A page is brought into the forms that tests need once, before the join; only the tests themselves
+run for each (bullet, page) pair.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from .containment import contained
 from .fusion import first_wins
 
 GRADE = ["unchecked", "none", "partial", "exact"]
@@ -23,9 +25,10 @@ def _grade(support: Column) -> Column:
 def bullet_pages(bullets: DataFrame, pages: DataFrame, by: str = "answer_id") -> DataFrame:
     """A row for each distinct link of a bullet to a fetched page: link, at (place of the link) and support."""
     links = bullets.select(by, "ord", "text", "quote", F.posexplode(F.array_distinct("links")).alias("at", "link")).withColumn("url_key", U.url_key(F.col("link")))
-    kept = first_wins(pages.withColumn("url_key", U.url_key(F.col("url"))), [by, "url_key"], "pos").select(by, "url_key", "markdown")
-    joined = links.join(kept, [by, "url_key"]).withColumn("tokens", T.claim_tokens(F.col("text")))
-    return joined.withColumn("support", T.support(F.col("quote"), F.col("tokens"), F.col("markdown"))).drop("markdown", "tokens")
+    links = links.withColumn("claim", F.struct(T.normal_text(F.col("quote")).alias("wanted"), T.claim_tokens(F.col("text")).alias("tokens")))
+    kept = first_wins(pages.withColumn("url_key", U.url_key(F.col("url"))), [by, "url_key"], "pos").select(by, "url_key", T.page_forms(F.col("markdown")).alias("page"))
+    joined = links.join(kept, [by, "url_key"])
+    return joined.withColumn("support", T.support_of(F.col("claim"), F.col("page"))).drop("claim", "page")
 
 
 def graded_bullets(bullets: DataFrame, pages: DataFrame, by: str = "answer_id") -> DataFrame:
@@ -83,24 +86,8 @@ def verdicts(bullets: DataFrame, cited: DataFrame, given: DataFrame, by: str = "
     return out.withColumn("verdict", F.coalesce("verdict", F.lit("uncited"))).drop("n", "has")
 
 
-def contained_quotes(pages: DataFrame, quotes: DataFrame, k: int = 3) -> DataFrame:
-    """Pairs (page_id, quote_id) where a normalised quote stands in a normalised page, without a key to join on.
-
-    Pages and quotes meet on the hash of a quote's first k inner words, so a page meets only quotes it may hold, and
-    a contains test confirms. The distinct quotes of fewer than k inner words have no such key; they are broadcast and
-    tested on each page in one scan.
-    """
-    norm = lambda c: T.normal_text(F.col(c))
-    q = quotes.select("quote_id", norm("quote").alias("q")).where("q <> ''")
-    # inner words of the quote are whole words of the page; the first and last may be parts of longer ones
-    inner = F.slice(F.split("q", " "), F.lit(2), F.greatest(F.size(F.split("q", " ")) - 2, F.lit(0)))
-    key = F.when(F.size(inner) >= k, F.array_join(F.slice(inner, 1, k), " "))
-    q = q.withColumn("key", key)
-    p = pages.select("page_id", norm("text").alias("p"))
-    grams = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get("w", i + j) for j in range(1, k)]))
-    word = p.select("page_id", F.split("p", " ").alias("w")).select("page_id", F.explode(F.array_distinct(grams)).alias("key"))
-    met = word.join(q.where("key IS NOT NULL").select("key", "quote_id"), "key").select("page_id", "quote_id").distinct()
-    long = met.join(p, "page_id").join(q.select("quote_id", "q"), "quote_id").where(F.contains("p", "q")).select("page_id", "quote_id")
-    short = q.where("key IS NULL").groupBy("q").agg(F.collect_list("quote_id").alias("ids"))
-    held = p.join(F.broadcast(short), F.contains("p", "q")).select("page_id", F.explode("ids").alias("quote_id"))
-    return long.unionByName(held)
+def contained_quotes(pages: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Pairs (page_id, quote_id) where a normalised quote stands in a normalised page, whatever its length."""
+    normal = quotes.select("quote_id", T.normal_text(F.col("quote")).alias("phrase")).where("phrase <> ''")
+    texts = pages.select(F.col("page_id").alias("key"), T.normal_text(F.col("text")).alias("text"))
+    return contained(texts, normal).join(normal, "phrase").select(F.col("key").alias("page_id"), "quote_id")

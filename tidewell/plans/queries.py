@@ -255,10 +255,39 @@ def summary_table(spark, d):
 # --- grounding ---
 
 
-@query("SELECT d.doc_id AS page_id, b.item_id AS quote_id FROM documents d JOIN benchmark b ON contains(regexp_replace(lower(d.text), '\\s+', ' ', 'g'), regexp_replace(lower(b.text), '\\s+', ' ', 'g'))")
+SPACE_SQL = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def normal_sql(text: str) -> str:
+    """T.normal_text in SQL."""
+    plain = r"translate(regexp_replace(" + text + r", '!?\[([^\]]*)\]\([^)\s]*(?:\s+\"[^\"]*\")?\)', '\1', 'g'), ".replace('\\"', '"')
+    return f"lower(replace(trim(regexp_replace({plain}'{T._FROM}{T._GONE}', repeat(chr(39), 5) || repeat(chr(34), 7) || '-------'), '{SPACE_SQL}+', ' ', 'g')), '…', '...'))"
+
+
+def _documents_as_pages(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
+
+
+@query(f"WITH p AS (SELECT doc_id, {normal_sql('text')} AS t FROM documents), q AS (SELECT item_id, {normal_sql('text')} AS q FROM benchmark WHERE text <> '') SELECT doc_id AS page_id, item_id AS quote_id FROM p JOIN q ON contains(t, q)")
 def quotes_on_pages(spark, d):
-    """JN-17, TXT-21: benchmark items that stand in documents, found by their inner words."""
-    return grounding.contained_quotes(table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")))
+    """JN-17, TXT-21: benchmark items that stand in documents, by automata."""
+    return grounding.contained_quotes(_documents_as_pages(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")))
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, {normal_sql('text')} AS t FROM documents),
+w AS (SELECT item_id, 4 * item_id + n AS quote_id, array_to_string(list_slice(string_split(text, ' '), 1 + item_id % 5, item_id % 5 + n), ' ') AS q FROM benchmark, (SELECT unnest([1, 2, 3, 4]) AS n)),
+c AS (SELECT -1 - item_id AS quote_id, substr(text, CAST(1 + item_id % 7 AS INT), CAST(4 + item_id % 17 AS INT)) AS q FROM benchmark),
+q AS (SELECT quote_id, {normal_sql('q')} AS q FROM (SELECT quote_id, q FROM w UNION ALL SELECT * FROM c))
+SELECT doc_id AS page_id, quote_id FROM p JOIN q ON contains(t, q) WHERE q <> ''
+""")
+def short_quotes_on_pages(spark, d):
+    """JN-17, TXT-26: quotes of one to four words, and pieces cut inside words, on every document."""
+    b, i = table(spark, d, "benchmark"), F.col("item_id")
+    words = b.select("item_id", F.split("text", " ").alias("w"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("n"))
+    words = words.select((i * 4 + F.col("n")).alias("quote_id"), F.array_join(F.slice("w", (i % 5 + 1).cast("int"), F.col("n")), " ").alias("quote"))
+    pieces = b.select((-1 - i).alias("quote_id"), F.substr("text", (i % 7 + 1).cast("int"), (i % 17 + 4).cast("int")).alias("quote"))
+    return grounding.contained_quotes(_documents_as_pages(spark, d), words.unionByName(pieces))
 
 
 @query(r"""
@@ -271,8 +300,10 @@ def bullet_support(spark, d):
     """AGG-14, JN-03, JN-05, TXT-22..26: benchmark items as quoted bullets, every document as a cited page: ten answers for each thirty ids, three pages an answer."""
     url = lambda n: F.concat(F.lit("https://www.site.example.com/d/"), n.cast("string"), F.lit("/"))
     docs = table(spark, d, "documents")
-    b = table(spark, d, "benchmark").crossJoin(docs.select(F.floor(F.col("doc_id") / 30).alias("part")).distinct())
-    answer = F.col("part") * 10 + F.col("item_id") % 10
+    parts = docs.select(F.floor(F.col("doc_id") / 30).alias("part")).distinct()
+    answers = parts.select("part", F.explode(F.expr("sequence(0L, 9L)")).alias("tenth"))
+    b = table(spark, d, "benchmark").withColumn("tenth", F.col("item_id") % 10).join(answers, "tenth")
+    answer = F.col("part") * 10 + F.col("tenth")
     bullets = b.select(answer.alias("answer_id"), F.col("item_id").alias("ord"), F.lit("plain words").alias("text"), F.col("text").alias("quote"), F.array(url(answer * 3 + F.col("item_id") % 3)).alias("links"))
     fetched = docs.select(F.floor(F.col("doc_id") / 3).alias("answer_id"), F.col("doc_id").alias("pos"), F.regexp_replace(url(F.col("doc_id")), "www.", "").alias("url"), F.col("text").alias("markdown"))
     return grounding.counters(grounding.graded_bullets(bullets, fetched))
@@ -285,13 +316,7 @@ def page_facts(spark, d):
     return table(spark, d, "documents").select("doc_id", n.alias("numbers"), F.size(T.claim_tokens(F.col("text"))["codes"]).alias("codes"))
 
 
-SPACE_SQL = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-
-
-@query(
-    r"""SELECT doc_id, lower(replace(trim(regexp_replace(translate(regexp_replace(text, '!?\[([^\]]*)\]\([^)\s]*(?:\s+"[^"]*")?\)', '\1', 'g'), """
-    + f"""'{T._FROM}{T._GONE}', repeat(chr(39), 5) || repeat(chr(34), 7) || '-------'), '{SPACE_SQL}+', ' ', 'g')), '…', '...')) AS normal FROM documents"""
-)
+@query(f"SELECT doc_id, {normal_sql('text')} AS normal FROM documents")
 def normal_texts(spark, d):
     """TXT-21, TXT-02, TXT-08: every document."""
     return table(spark, d, "documents").select("doc_id", T.normal_text(F.col("text")).alias("normal"))
