@@ -87,11 +87,12 @@ DATA = (
 )
 
 
-def progress(events: DataFrame) -> DataFrame:
-    """events (session_id, seq, type, data as JSON text) with line, tone (normal, warn, bad, good) and status.
+def lines(events: DataFrame, checked: Column) -> DataFrame:
+    """events (session_id, seq, type, data as JSON text) with line, tone (normal, warn, bad, good), status and counts.
 
-    line is permanent and null for events without one; status is what the step that an event starts is doing. The last
-    line of a session repeats its last verification.
+    line is permanent and null for events without one; status is what the step that an event starts is doing; counts are
+    those of a verification. checked: the last counts of an event's session, which its last line repeats. No event is
+    looked at beside another, so this holds for streams too.
     """
     rows = events.withColumn("_d", F.from_json("data", DATA))
     d = F.col("_d")
@@ -103,10 +104,6 @@ def progress(events: DataFrame) -> DataFrame:
     queries = F.array_join(F.transform(F.coalesce(d["queries"], empty), lambda q: F.concat(F.lit('"'), T.clip(q, 60), F.lit('"'))), ", ")
     asked = F.when(queries == "", "search").otherwise(F.concat(F.lit("search "), queries))
     counts = _join(T.plural(n("bullets"), "bullet", "bullets"), ": ", number("cited"), " cited, ", number("exact"), " exact, ", number("partial"), " partial, ", number("none"), " none")
-    rows = rows.withColumn("_checked", F.when(t == "answer.verified", counts))
-    last = F.last("_checked", ignorenulls=True).over(Window.partitionBy("session_id").orderBy("seq"))
-    rows = rows.withColumn("_checked", last)
-
     calls, usage = F.size(F.coalesce(d["tool_calls"], empty)), lambda c: F.coalesce(d["usage"][c], F.lit(0))
     made = F.when(calls == 0, "answer").otherwise(T.plural(calls, "tool call", "tool calls"))
     spent = _join(F.when(usage("prompt_tokens") > 0, _join(T.compact(usage("prompt_tokens")), " in, ")).otherwise(""), T.compact(usage("completion_tokens")), " out tokens")
@@ -122,7 +119,7 @@ def progress(events: DataFrame) -> DataFrame:
     what = F.when(d["tool"].isNotNull(), _join(d["tool"], " call")).otherwise("empty reply")
     failed = _join(what, " failed (", s("kind", "?"), "): ", T.clip(s("reason", "no reason"), 160), " [failure ", number("consecutive_failures"), " of ", number("max_repairs"), " allowed]")
     good = s("outcome", "?") == "ok"
-    end = F.when(good, F.coalesce(_join(", ", F.col("_checked")), F.lit(""))).otherwise(F.coalesce(_join(": ", T.clip(d["error"], 300)), F.lit("")))
+    end = F.when(good, F.coalesce(_join(", ", checked), F.lit(""))).otherwise(F.coalesce(_join(": ", T.clip(d["error"], 300)), F.lit("")))
     finished = _join("finished: ", s("outcome", "?"), ", ", number("turns_used"), "/", number("turn_budget"), " turns, ", T.compact(usage("total_tokens")), " tokens", end)
     final = (t == "turn.started") & F.coalesce(d["final_turn"], F.lit(False))
     line = (
@@ -146,4 +143,11 @@ def progress(events: DataFrame) -> DataFrame:
         .when(t == "fetch.started", _join("fetching ", s("url", "?"), "..."))
     )
     tone = F.when(F.col("line").isNull(), F.lit(None)).when(bad, "bad").when(warn, "warn").when(t == "session.finished", "good").otherwise("normal")
-    return rows.withColumn("line", line).withColumn("tone", tone).withColumn("status", status).drop("_d", "_checked")
+    return rows.withColumn("line", line).withColumn("tone", tone).withColumn("status", status).withColumn("counts", F.when(t == "answer.verified", counts)).drop("_d")
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """lines of events, with the last verification of each session so far."""
+    counted = lines(events, F.lit(None).cast("string")).select(*events.columns, "counts")
+    last = F.last("counts", ignorenulls=True).over(Window.partitionBy("session_id").orderBy("seq"))
+    return lines(counted.withColumn("_checked", last).drop("counts"), F.col("_checked")).drop("_checked", "counts")

@@ -647,6 +647,11 @@ FROM v
 """)
 def progress_lines(spark, d):
     """PRJ-31, ADD-16, STR-03: events of ten kinds as lines, with tone and the status of the step they start."""
+    return render.progress(progress_events(spark, d)).select("event_id", "line", "tone", "status")
+
+
+def progress_events(spark, d):
+    """Every event of the table as an event of a session."""
     i, t = F.col("event_id"), F.col("event_type")
     n = lambda m: i % m
     obj = lambda **c: F.to_json(F.struct(*[v.alias(k) for k, v in c.items()]))
@@ -668,8 +673,7 @@ def progress_lines(spark, d):
     view = F.when(n(4).isin(0, 2), "turn.started").when(n(4) == 1, "model.replied").when(n(3) == 0, "search.started").otherwise("fetch.started")
     type_ = F.when(t == "error", F.when(n(2) == 0, "model.retry").otherwise("tool.failed")).when(t == "view", view).when(t == "click", "search.finished").when(t == "signup", "fetch.finished").otherwise(F.when(n(2) == 0, "answer.verified").otherwise("session.finished"))
     data = F.when(t == "error", F.when(n(2) == 0, retry).otherwise(failed)).when(t == "view", F.when(n(4).isin(0, 2), turn).when(n(4) == 1, replied).otherwise(step)).when(t == "click", found).when(t == "signup", page).otherwise(F.when(n(2) == 0, checked).otherwise(done))
-    rows = table(spark, d, "events").select("event_id", F.col("user_id").alias("session_id"), i.alias("seq"), type_.alias("type"), data.alias("data"))
-    return render.progress(rows).select("event_id", "line", "tone", "status")
+    return table(spark, d, "events").select("event_id", F.col("user_id").alias("session_id"), i.alias("seq"), type_.alias("type"), data.alias("data"))
 
 
-from . import logs, rules  # noqa: E402, F401  (they register theirs)
+from . import live, logs, rules  # noqa: E402, F401  (they register theirs)

@@ -1,19 +1,13 @@
-"""Streaming forms: event logs, engine health, progress and replies."""
+"""Event logs as streams: windows, sessions of activity, and how long a failure suspends an engine."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.constants import LONGEST_SUSPENSION, SUSPENSION
 
 ENVELOPE = "v int, seq bigint, ts string, elapsed_ms bigint, session_id string, turn int, type string, data string"
-HEALTH = "engine string, ts long, ordinal long, decision string, until long, reason string"
-PROGRESS = "session_id string, seq long, status string, bullets long, exact long, tail string"
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -48,108 +42,3 @@ def seconds_for(kind: str, status, retry_after) -> tuple[int, str] | None:
     else:
         return None
     return out if out[0] > 0 else None
-
-
-class EngineHealth(StatefulProcessor):
-    """Suspension state of each engine. skip: rows inside a suspension are answered "suspended" and change nothing, as no request is made then."""
-
-    def __init__(self, skip: bool = True):
-        self.skip = skip
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("suspension", "until long, reason string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        until, reason = self.state.get() if self.state.exists() else (None, None)
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "ordinal"]).itertuples():
-            if self.skip and until is not None and until > r.ts:
-                out.append((key[0], r.ts, r.ordinal, "suspended", until, reason))
-                continue
-            if r.kind == "ok":
-                until = reason = None
-            elif found := seconds_for(r.kind, r.status, r.retry_after):
-                end = int(r.ts) + found[0] * 1000
-                if until is None or end > until:
-                    until, reason = end, found[1]
-            out.append((key[0], r.ts, r.ordinal, "ran", until, reason))
-        if until is None:
-            self.state.clear()
-        else:
-            self.state.update((until, reason))
-        yield pd.DataFrame(out, columns=["engine", "ts", "ordinal", "decision", "until", "reason"]).astype({"until": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
-def engine_health(log: DataFrame, skip: bool = True) -> DataFrame:
-    """log (engine, ts, ordinal, kind, status, retry_after) as a stream -> decision and suspension after each row."""
-    return log.groupBy("engine").transformWithStateInPandas(EngineHealth(skip), HEALTH, "Append", "None")
-
-
-class SessionProgress(StatefulProcessor):
-    """What each session is doing: the step in flight, the last verification, and the end of the text being streamed."""
-
-    IN_FLIGHT = {"model.started": "thinking", "search.started": "searching", "fetch.started": "fetching"}
-    ENDS = {"model.finished", "search.finished", "fetch.finished", "session.finished"}
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("progress", "status string, bullets long, exact long, tail string, attempt int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        import json
-
-        status, bullets, exact, tail, attempt = self.state.get() if self.state.exists() else ("", 0, 0, "", 1)
-        seq = 0
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            data = json.loads(r.data) if r.data else {}
-            seq = int(r.seq)
-            if r.type in self.IN_FLIGHT:
-                status = self.IN_FLIGHT[r.type]
-            elif r.type in self.ENDS:
-                status, tail = "", ""
-            elif r.type == "answer.verified":
-                bullets, exact = int(data.get("bullets", 0)), int(data.get("exact", 0))
-            elif r.type == "model.delta":
-                if data.get("attempt", 1) != attempt:
-                    attempt, tail = data.get("attempt", 1), ""
-                tail = (tail + data.get("text", "")).rpartition("\n")[2][-200:]
-        self.state.update((status, bullets, exact, tail, attempt))
-        yield pd.DataFrame([(key[0], seq, status, bullets, exact, tail)], columns=["session_id", "seq", "status", "bullets", "exact", "tail"])
-
-    def close(self) -> None:
-        pass
-
-
-def session_progress(events: DataFrame) -> DataFrame:
-    return events.groupBy("session_id").transformWithStateInPandas(SessionProgress(), PROGRESS, "Update", "None")
-
-
-class StreamLines(StatefulProcessor):
-    """Events of a byte stream cut anywhere: chunks in, data of finished events out."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("rest", "rest binary, seq long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        rest, seq = self.state.get() if self.state.exists() else (b"", 0)
-        rest = bytes(rest) + b"".join(bytes(c) for c in pd.concat(list(rows)).sort_values("chunk_seq").chunk)
-        whole = rest.replace(b"\r\n", b"\n") if not rest.endswith(b"\r") else rest[:-1].replace(b"\r\n", b"\n") + b"\r"
-        *blocks, rest = whole.split(b"\n\n")
-        out = []
-        for block in blocks:
-            data = [x[5:].removeprefix(b" ") if x.startswith(b"data:") else b"" for x in block.split(b"\n") if x.startswith(b"data:") or x == b"data"]
-            if data:
-                out.append((key[0], seq, b"\n".join(data).decode("utf-8", "replace")))
-                seq += 1
-        self.state.update((rest, seq))
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "data"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_events(chunks: DataFrame) -> DataFrame:
-    """chunks (stream_id, chunk_seq, chunk) as a stream -> stream_id, seq, data."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(StreamLines(), "stream_id string, seq long, data string", "Append", "None")
