@@ -37,11 +37,20 @@ def test_routes(spark, query, route):
 
 
 def test_arguments(spark):
-    cases = [('{"queries":["a"],"top_k":5}', None), ('{"queries":"[\\"a\\",\\"b\\"]"}', None), ('{"q":1}', "unknown argument: q"), ("[1]", "arguments must be a JSON object"), ('{"queries":["a"],"top_k":"x"}', "top_k must be an integer"), ('{"queries":["a"],"recency":"hour"}', "recency must be day, week, month or year")]
+    cases = [
+        ('{"queries":["a"],"top_k":5}', None), ('{"queries":"[\\"a\\",\\"b\\"]"}', None), ('{"q":1}', "Unknown argument `q`; allowed: queries, top_k, recency."), ("[1]", "Provide arguments as an object; got [1]."),
+        ('{"queries":["a"],"top_k":"x"}', 'Provide top_k as an integer 1-30; got "x".'), ('{"queries":["a"],"top_k":null}', "Provide top_k as an integer 1-30; got null."), ('{"queries":["a"],"top_k":-3}', "Provide top_k as an integer 1-30; got -3."), ('{"queries":["a"],"top_k":2.5}', "Provide top_k as an integer 1-30; got 2.5."),
+        ('{"queries":["a"],"top_k":99999999999}', None), ('{"queries":["a"],"recency":"hour"}', 'Provide recency as day|week|month|year; got "hour".'), ('{"queries":["a"],"recency":null}', None), ('{"queries":[1,2]}', "Provide queries as strings; got 1."), ('{"queries":["x",null]}', "Provide queries as strings; got null."),
+        ('{"queries":null}', "Provide queries as an array of strings; got null."), ('{"queries":"plain"}', 'Provide queries as an array of strings; got "plain".'), ("{}", "Provide queries as an array of 1-8 strings; got missing."), ('{"queries":[" "]}', "Provide at least one non-empty query."), ("{", "arguments are not valid JSON"), (None, "arguments are not valid JSON"), ("NaN", "arguments are not valid JSON"),
+    ]
     out = search.search_arguments(spark.createDataFrame([(a,) for a, _ in cases], "arguments string")).collect()
-    assert [r.error for r in out] == [e for _, e in cases] and out[1].queries == ["a", "b"]
-    fetch_ = search.fetch_arguments(spark.createDataFrame([('{"url":"https://a.example"}',), ('{"url":1}',), ('{"url":"x","part":0}',)], "arguments string")).collect()
-    assert [r.error for r in fetch_] == [None, "url must be a string", "part must be an integer from 1"]
+    assert [r.error for r in out] == [e for _, e in cases] and out[1].queries == ["a", "b"] and (out[8].top_k, out[0].top_k, out[10].top_k) == (30, 5, 15)
+    cases = [
+        ('{"url":"https://a.example"}', None, None), ('{"url":1}', None, "invalid url: 1 (expected absolute http(s) URL)"), ('{"url":"x","part":0}', None, "invalid part: 0 (expected an integer >= 1)"), ('{"url":"x","part":null}', None, None), ('{"url":"x","part":3}', 3, None),
+        ('{"url":"x","part":4294967297}', None, "invalid part: 4294967297 (expected an integer >= 1)"), ('{"url":"x","part":true}', None, "invalid part: true (expected an integer >= 1)"), ('{"url":""}', None, None), ("{}", None, "invalid url:  (expected absolute http(s) URL)"), ('["u"]', None, 'invalid url: ["u"] (expected absolute http(s) URL)'),
+    ]
+    fetch_ = search.fetch_arguments(spark.createDataFrame([(a,) for a, *_ in cases], "arguments string")).collect()
+    assert [(r.part, r.error) for r in fetch_] == [(p, e) for _, p, e in cases]
     v = search.valid_search(spark.createDataFrame([([" a ", ""], None), ([" "], 99), (["x" * 501], 3)], "queries array<string>, top_k int")).collect()
     assert [(r.top_k, r.error) for r in v] == [(15, None), (30, "empty_query"), (3, "too_many_queries")]
 
@@ -69,10 +78,11 @@ def test_reports(spark):
 
 
 def test_deadlines(spark):
-    """After the soft limit a success cancels queued legs only; those that run go on to the hard limit."""
+    """After the soft limit a success cuts queued legs only; those that run go on to the hard limit."""
     legs = [(1, "a", 0, 1_000, True), (1, "b", 100, 20_000, True), (1, "c", 5_500, 9_000, True), (1, "d", 200, 31_000, True), (1, "e", None, None, False), (2, "f", 0, 7_000, True), (2, "g", 6_000, 8_000, True), (2, "h", 7_500, 9_000, True), (3, "i", 29_000, 30_000, False)]
     got = search.deadlines(spark.createDataFrame(legs, "call_id int, leg string, started_ms int, ended_ms int, ok boolean"))
-    assert {r.leg: r.outcome for r in got.collect()} == {"a": "done", "b": "done", "c": "cancelled", "d": "timeout", "e": "cancelled", "f": "done", "g": "done", "h": "cancelled", "i": "done"}
+    assert {r.leg: r.outcome for r in got.collect()} == {"a": "done", "b": "done", "c": "timeout", "d": "timeout", "e": "timeout", "f": "done", "g": "done", "h": "timeout", "i": "done"}
+    assert {r.leg for r in got.where("queued").collect()} == {"c", "e", "h"}
 
 
 def test_grounding(spark):
@@ -228,15 +238,15 @@ def test_tape(spark):
 def test_tools(spark):
     calls = spark.createDataFrame([("1", "search", '{"queries":["a"]}'), ("2", "fetch", "{"), ("3", "open", "{}"), ("4", "fetch", '{"url":5}')], "id string, name string, arguments string")
     out = {r.id: (r.route, r.failure) for r in tools.dispatch(calls).collect()}
-    assert out == {"1": ("search", None), "2": (None, "arguments are not JSON"), "3": (None, "unknown tool: open"), "4": (None, "url must be a string")}
+    assert out == {"1": ("search", None), "2": (None, "arguments are not valid JSON"), "3": (None, "unknown tool 'open'"), "4": (None, "invalid args for 'fetch': invalid url: 5 (expected absolute http(s) URL)")}
     assert [r[0] for r in spark.createDataFrame([('{"a":["xy",{"b":"é"}],"n":1}',), ("{",)], "t string").select(tools.string_chars(F.col("t"))).collect()] == [3, None]
     bad = spark.createDataFrame([(100, 200, 1, 1, "https://a", "openai"), (3000, 10, 1, 1, "https://a", "anthropic"), (10, None, 2, 2, "https://a", "openai")], "max_tokens int, thinking_budget int, max_attempts int, timeout_ms int, base_url string, format string")
     assert [r.problem for r in tools.setting_problems(bad).collect()] == ["max_tokens must exceed thinking_budget", "thinking_budget must be at least 1024", None]
     assert [r[0] for r in spark.createDataFrame([("ok-1",), (".x",), ("",), ("a" * 65,)], "n string").select(tools.session_id_ok(F.col("n"))).collect()] == [True, False, False, False]
     rows = spark.createDataFrame([(["q"], 2, [("brave", True, True), ("bing", False, False)])], "queries array<string>, hits int, engines array<struct<engine:string,answered:boolean,cached:boolean>>")
     assert json.loads(tools.search_payload(rows).first().data)["cached"] is True
-    events = spark.createDataFrame([("s", 1, "search.started", 1, "{}"), ("s", 2, "fetch.started", 2, "{}"), ("s", 3, "session.finished", None, '{"outcome":"ok"}')], "session_id string, seq int, type string, turn int, data string")
-    assert [(r.turn, r.searches, r.final, r.outcome) for r in tools.replayed_turns(events).orderBy("turn").collect()] == [(1, 1, False, None), (2, 0, True, "ok")]
+    events = spark.createDataFrame([("s", 1, "search.started", 1, "{}"), ("s", 2, "fetch.started", 2, "{}"), ("s", 0, "turn.started", 1, '{"final_turn":false}'), ("s", 4, "turn.started", 3, '{"final_turn":true}'), ("s", 3, "session.finished", None, '{"outcome":"ok"}')], "session_id string, seq int, type string, turn int, data string")
+    assert [(r.turn, r.searches, r.final, r.outcome) for r in tools.replayed_turns(events).orderBy("turn").collect()] == [(1, 1, False, None), (2, 0, False, None), (3, 0, True, "ok")]
     body = '{"content":[{"type":"text","text":"Hi"},{"type":"tool_use","id":"t","name":"fetch","input":{"url":"u"}}],"stop_reason":"tool_use","usage":{"input_tokens":3,"output_tokens":2,"cache_read_input_tokens":4}}'
     a = spark.createDataFrame([(body,)], "b string").select(replies.anthropic_body(F.col("b")).alias("r")).first().r
     assert (a.output, a.finish_reason, a.usage.prompt_tokens, a.tool_calls[0].arguments, a.error) == ("Hi", "tool_calls", 7, '{"url":"u"}', None)
@@ -249,3 +259,18 @@ def test_contained_quotes_of_any_length(spark):
     plain = lambda t: " ".join(t.lower().split())
     want = [(i, j) for i, t in pages for j, q in quotes if t and q and plain(q) in plain(t)]
     assert sorted(map(tuple, found)) == sorted(want) and {1, 2, 3, 4, 5, 6, 10, 11} == {j for _, j in want}
+
+
+def test_replay(spark):
+    """The same set of queries answers as recorded; else hits that a query found; else all, those with a page first."""
+    searches = spark.createDataFrame([(0, ["A ", "b"]), (1, ["b", "a", "a"]), (2, ["empty"])], "pos long, queries array<string>")
+    hits = [(0, i, f"https://h{i}.example/", ["a"] if i % 2 else ["b"]) for i in range(40)] + [(1, 0, "https://h7.example/", ["b"]), (1, 1, "https://late.example/", ["c"])]
+    pages = spark.createDataFrame([(True, "h38.example", None), (True, "x.example", "https://late.example/#p"), (False, "h0.example", None)], "is_page boolean, url_key string, final_url string")
+    asked = spark.createDataFrame([(1, ["B", "a"], 3), (2, ["b", "z"], 3), (3, ["z"], None), (4, ["c"], 5), (5, ["EMPTY"], 5), (6, ["a", "c", "b", "q"], 99)], "request_id int, queries array<string>, top_k int")
+    found = {}
+    for r in tape.replay(asked, searches, spark.createDataFrame(hits, "pos long, at long, url string, queries array<string>"), pages).orderBy("request_id", "rank").collect():
+        found.setdefault((r.request_id, r.tier), []).append(r.url and r.url[8:-9])
+    assert found[1, 1] == [f"h{i}" for i in range(40)]
+    assert found[2, 2] == ["h38", "h0", "h2"] and found[4, 2] == ["late"]
+    assert found[3, 3] == ["h38", "late", *[f"h{i}" for i in range(13)]] and found[5, 1] == [None]
+    assert found[6, 2] == ["h38", "late", *[f"h{i}" for i in range(28)]] and len(found) == 6

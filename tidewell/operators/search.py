@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import ALIASES, BUILTIN_ROOTS, CAN_LIMIT, DEFAULT_ENGINES, DEFAULT_TOP_K, ENGINES, ERROR_STATUS, FILLERS, MAX_QUERIES, MAX_QUERY_CHARS, MAX_TOP_K, PRIORITY, RECENCY
+from ..functions.lazy import arrow
 
 CRATE_WORDS = ["rust", "crate", "crates", "cargo", "crates.io"]
 
@@ -18,47 +22,133 @@ def engines(spark) -> DataFrame:
 
 
 def valid_search(calls: DataFrame) -> DataFrame:
-    """calls (queries array, top_k) with trimmed queries, top_k in range and error (null, empty_query or too_many_queries)."""
+    """calls (queries array, top_k) with trimmed queries, top_k in range, error (null, empty_query or too_many_queries) and, of the last, got and max: queries, or characters of one."""
     kept = F.filter(F.transform("queries", lambda q: F.regexp_replace(q, r"(?U)^\s+|\s+$", "")), lambda q: q != "")
     out = calls.withColumn("queries", kept)
-    long = F.exists("queries", lambda q: F.char_length(q) > MAX_QUERY_CHARS)
-    error = F.when(F.size("queries") == 0, "empty_query").when((F.size("queries") > MAX_QUERIES) | long, "too_many_queries")
+    long = F.get(F.filter(F.transform("queries", lambda q: F.char_length(q)), lambda n: n > MAX_QUERY_CHARS), F.lit(0))
+    many = F.size("queries") > MAX_QUERIES
+    error = F.when(F.size("queries") == 0, "empty_query").when(many | long.isNotNull(), "too_many_queries")
+    out = out.withColumn("got", F.when(many, F.size("queries")).otherwise(long)).withColumn("max", F.when(many, MAX_QUERIES).when(long.isNotNull(), MAX_QUERY_CHARS))
     return out.withColumn("top_k", F.greatest(F.lit(1), F.least(F.lit(MAX_TOP_K), F.coalesce("top_k", F.lit(DEFAULT_TOP_K))))).withColumn("error", error)
 
 
+NOT_JSON = "arguments are not valid JSON"
+
+
+class _Refused(Exception):
+    """Arguments that a tool does not take."""
+
+
+def _compact(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def _loaded(text: str | None):
+    try:
+        return json.loads(text or "", parse_constant=_no_constant)
+    except (ValueError, RecursionError):
+        raise _Refused(NOT_JSON) from None
+
+
+def _whole(value) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool) and 0 <= value < 1 << 64
+
+
+def _search_call(args) -> tuple[list[str], int, str | None]:
+    if not isinstance(args, dict):
+        raise _Refused(f"Provide arguments as an object; got {_compact(args)}.")
+    if extra := sorted(set(args) - {"queries", "top_k", "recency"}):
+        raise _Refused(f"Unknown argument `{extra[0]}`; allowed: queries, top_k, recency.")
+    if "queries" not in args:
+        raise _Refused(f"Provide queries as an array of 1-{MAX_QUERIES} strings; got missing.")
+    queries, top_k, recency = args["queries"], args.get("top_k"), args.get("recency")
+    if isinstance(queries, str):  # sometimes the array comes as text
+        try:
+            inner = json.loads(queries, parse_constant=_no_constant)
+        except (ValueError, RecursionError):
+            inner = None
+        if not isinstance(inner, list) or not all(isinstance(q, str) for q in inner):
+            raise _Refused(f"Provide queries as an array of strings; got {_compact(queries)}.")
+        queries = inner
+    if not isinstance(queries, list):
+        raise _Refused(f"Provide queries as an array of strings; got {_compact(queries)}.")
+    for q in queries:
+        if not isinstance(q, str):
+            raise _Refused(f"Provide queries as strings; got {_compact(q)}.")
+    if "top_k" in args and not _whole(top_k):
+        raise _Refused(f"Provide top_k as an integer 1-{MAX_TOP_K}; got {_compact(top_k)}.")
+    if recency is not None and (not isinstance(recency, str) or recency not in RECENCY):
+        raise _Refused(f"Provide recency as {'|'.join(RECENCY)}; got {_compact(recency)}.")
+    kept = [q.strip() for q in queries if q.strip()]
+    if not kept:
+        raise _Refused("Provide at least one non-empty query.")
+    for got, most in ((len(kept), MAX_QUERIES), *((len(q), MAX_QUERY_CHARS) for q in kept)):
+        if got > most:
+            raise _Refused(f"Provide at most {most} queries of at most {MAX_QUERY_CHARS} chars; got {got}.")
+    return kept, min(max(DEFAULT_TOP_K if top_k is None else top_k, 1), MAX_TOP_K), recency
+
+
+def _fetch_call(args) -> tuple[str, int | None]:
+    url = args.get("url") if isinstance(args, dict) else args
+    if not isinstance(args, dict) or not isinstance(url, str):
+        input_ = "" if isinstance(args, dict) and "url" not in args else _compact(url)
+        raise _Refused(f"invalid url: {input_} (expected absolute http(s) URL)")
+    part = args.get("part")
+    if part is not None and not (_whole(part) and 1 <= part < 1 << 32):
+        raise _Refused(f"invalid part: {_compact(part)} (expected an integer >= 1)")
+    return url, part
+
+
+def _checked(rule, width: int):
+    def check(arguments: pa.Array) -> list[tuple]:
+        out = []
+        for text in arguments.to_pylist():
+            try:
+                out.append((*rule(_loaded(text)), None))
+            except _Refused as e:
+                out.append((*[None] * width, str(e)))
+        return out
+
+    return check
+
+
+@arrow("struct<queries:array<string>,top_k:int,recency:string,error:string>")
+def _search_calls(arguments: pa.Array) -> pa.Array:
+    rows = _checked(_search_call, 3)(arguments)
+    kind = pa.struct([("queries", pa.list_(pa.string())), ("top_k", pa.int32()), ("recency", pa.string()), ("error", pa.string())])
+    return pa.array([dict(zip(("queries", "top_k", "recency", "error"), r, strict=True)) for r in rows], kind)
+
+
+@arrow("struct<url:string,part:bigint,error:string>")
+def _fetch_calls(arguments: pa.Array) -> pa.Array:
+    rows = _checked(_fetch_call, 2)(arguments)
+    return pa.array([dict(zip(("url", "part", "error"), r, strict=True)) for r in rows], pa.struct([("url", pa.string()), ("part", pa.int64()), ("error", pa.string())]))
+
+
 def search_arguments(calls: DataFrame, column: str = "arguments") -> DataFrame:
-    """Tool arguments as JSON text -> queries, top_k, recency and error. queries may be an array or an array as a JSON string."""
-    v = F.try_parse_json(F.col(column))
-    keys = F.json_object_keys(F.col(column))
-    unknown = F.array_join(F.filter(F.coalesce(keys, F.array().cast("array<string>")), lambda k: ~k.isin("queries", "top_k", "recency")), ", ")
-    direct = F.try_variant_get(v, "$.queries", "array<string>")
-    wrapped = F.from_json(F.try_variant_get(v, "$.queries", "string"), "array<string>")
-    kind = F.schema_of_variant(F.try_variant_get(v, "$.top_k", "variant"))
-    top_k = F.try_variant_get(v, "$.top_k", "int")
-    recency = F.try_variant_get(v, "$.recency", "string")
-    queries = F.coalesce(direct, wrapped)
-    error = (
-        F.when(v.isNull() | keys.isNull(), "arguments must be a JSON object")
-        .when(unknown != "", F.concat(F.lit("unknown argument: "), unknown))
-        .when(queries.isNull(), "queries must be an array of strings")
-        .when(kind.isNotNull() & (kind != "BIGINT") & (kind != "VOID"), "top_k must be an integer")
-        .when(recency.isNotNull() & ~recency.isin(*RECENCY), "recency must be day, week, month or year")
-    )
-    return calls.select("*", queries.alias("queries"), top_k.alias("top_k"), recency.alias("recency"), error.alias("error"))
+    """Tool arguments as JSON text -> queries (trimmed), top_k (in range), recency and error.
+
+    queries may be an array of strings or such an array as text. A wrong value of any kind is an error that shows it;
+    then the other columns are null.
+    """
+    return calls.withColumn("_c", _search_calls(F.col(column))).select(*calls.columns, "_c.*")
+
+
+def search_arguments_error(arguments: Column) -> Column:
+    return _search_calls(arguments)["error"]
+
+
+def fetch_arguments_error(arguments: Column) -> Column:
+    return _fetch_calls(arguments)["error"]
 
 
 def fetch_arguments(calls: DataFrame, column: str = "arguments") -> DataFrame:
-    """Tool arguments as JSON text -> url, part and error."""
-    v = F.try_parse_json(F.col(column))
-    kind = F.schema_of_variant(F.try_variant_get(v, "$.url", "variant"))
-    part_kind = F.schema_of_variant(F.try_variant_get(v, "$.part", "variant"))
-    url, part = F.try_variant_get(v, "$.url", "string"), F.try_variant_get(v, "$.part", "int")
-    error = (
-        F.when(v.isNull(), "arguments must be a JSON object")
-        .when(kind.isNull() | (kind != "STRING") | (F.trim(url) == ""), "url must be a string")
-        .when(part_kind.isNotNull() & ((part_kind != "BIGINT") | (part < 1)), "part must be an integer from 1")
-    )
-    return calls.select("*", url.alias("url"), F.coalesce(part, F.lit(1)).alias("part"), error.alias("error"))
+    """Tool arguments as JSON text -> url, part (null: none given) and error. Whether the URL is one is seen when it is fetched."""
+    return calls.withColumn("_c", _fetch_calls(F.col(column))).select(*calls.columns, "_c.*")
 
 
 def enabled_engines(setting: Column) -> Column:
@@ -177,7 +267,7 @@ def error_provider(kind: Column, provider: Column) -> Column:
 
 
 def problem_text(kind: Column, detail: Column, remaining: Column, reason: Column, query: Column | None = None) -> Column:
-    """What went wrong with a leg; a timeout names its query, or none in the line of an engine."""
+    """What went wrong with a leg; a timeout names its query, or none in the line of an engine. detail of too many queries: how many there are and may be, as "9 > 8"."""
     return (
         F.when(kind == "suspended", F.concat(F.lit("suspended ("), reason, F.lit("), "), remaining.cast("string"), F.lit("s left")))
         .when(kind == "timeout", F.lit("timed out") if query is None else F.concat(F.lit("timed out: "), query))
@@ -222,16 +312,16 @@ def search_stats(outcomes: DataFrame, merged: DataFrame, by: list[str]) -> DataF
 
 
 def deadlines(legs: DataFrame, soft_ms: int = 5000, hard_ms: int = 30000) -> DataFrame:
-    """legs (call_id, started_ms, ended_ms, ok) -> outcome: done, cancelled or timeout.
+    """legs (call_id, started_ms, ended_ms, ok) -> outcome (done or timeout) and queued: cut before it was sent.
 
-    From the soft limit on, as soon as any leg has succeeded, legs still queued are cancelled; they have sent nothing.
-    Legs that have started go on to the hard limit.
+    From the soft limit on, as soon as any leg has succeeded, legs still queued are cut; they have sent nothing, and
+    report a timeout like those that the hard limit ends. Legs that have started go on to the hard limit.
     """
     first_ok = F.min(F.when(F.col("ok"), F.col("ended_ms"))).over(Window.partitionBy("call_id"))
     cut = F.least(F.greatest(F.lit(soft_ms), F.coalesce(first_ok, F.lit(hard_ms))), F.lit(hard_ms))
     out = legs.withColumn("cut_ms", cut)
-    queued = F.col("started_ms").isNull() | (F.col("started_ms") > F.col("cut_ms"))
-    return out.withColumn("outcome", F.when(queued, "cancelled").when(F.col("ended_ms") <= hard_ms, "done").otherwise("timeout"))
+    out = out.withColumn("queued", F.col("started_ms").isNull() | (F.col("started_ms") > F.col("cut_ms")))
+    return out.withColumn("outcome", F.when(~F.col("queued") & (F.col("ended_ms") <= hard_ms), "done").otherwise("timeout"))
 
 
 def stop_pages(pages: DataFrame, leg: list[str], limit: int = 5, first: int = 10, later: int = 7, cap: int = 20) -> DataFrame:

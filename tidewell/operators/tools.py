@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
 from ..functions.lazy import arrow
 from .history import turns_left
-from .search import fetch_arguments, search_arguments
+from .search import NOT_JSON, fetch_arguments_error, search_arguments_error
 
 #: JSON schemas of the two tools.
 SCHEMAS = {
@@ -20,13 +21,12 @@ SCHEMAS = {
 
 
 def dispatch(calls: DataFrame) -> DataFrame:
-    """calls (id, name, arguments) with route (search, fetch or null) and failure: bad JSON, bad arguments or an unknown tool."""
-    parsed = F.try_parse_json("arguments")
-    s = search_arguments(calls.select("id", "arguments")).select("id", F.col("error").alias("_s"))
-    f = fetch_arguments(calls.select("id", "arguments")).select("id", F.col("error").alias("_f"))
-    out = calls.join(s, "id").join(f, "id")
-    bad = F.when(F.col("name") == "search", F.col("_s")).when(F.col("name") == "fetch", F.col("_f"))
-    failure = F.when(~F.col("name").isin(*SCHEMAS), F.concat(F.lit("unknown tool: "), "name")).when(parsed.isNull(), "arguments are not JSON").otherwise(bad)
+    """calls (id, name, arguments) with route (search, fetch or null) and failure: arguments that are not JSON, an unknown tool, or arguments that it does not take."""
+    out = calls.withColumn("_s", search_arguments_error(F.col("arguments"))).withColumn("_f", fetch_arguments_error(F.col("arguments")))
+    error = F.when(F.col("name") == "search", F.col("_s")).when(F.col("name") == "fetch", F.col("_f"))
+    bad = F.when(error.isNotNull(), F.concat(F.lit("invalid args for '"), "name", F.lit("': "), error))
+    unread = F.col("_f") == NOT_JSON
+    failure = F.when(unread, NOT_JSON).when(~F.coalesce(F.col("name").isin(*SCHEMAS), F.lit(False)), F.concat(F.lit("unknown tool '"), F.coalesce("name", F.lit("")), F.lit("'"))).otherwise(bad)
     return out.withColumn("failure", failure).withColumn("route", F.when(failure.isNull(), F.col("name"))).drop("_s", "_f")
 
 
@@ -44,11 +44,20 @@ def repair_note(tools: Column, allowed: Column, left: Column) -> Column:
     return F.concat(empty, F.when(left <= 1, "").otherwise(more), note)
 
 
-def result_fields(results: DataFrame) -> DataFrame:
-    """results (kind, url, error, part) with success, error_text, failure_kind and whether a page's first part came."""
+def result_fields(results: DataFrame, by: list[str]) -> DataFrame:
+    """results (pos, kind, url, error, cause: dispatch or execution) of runs (by) with success, error_text, failure_kind and first_page.
+
+    A blocked search has been carried out, so it fails as execution; a failed call keeps its own cause. first_page: the
+    first time that a run is handed a page, by its URL key.
+    """
     ok = F.col("kind").isin("search", "note", "fetch", "already_fetched")
-    kind = F.when(F.col("kind") == "blocked", "blocked").when(~ok, "failed")
-    return results.withColumn("success", ok).withColumn("error_text", F.when(~ok, F.coalesce("error", F.lit("unknown")))).withColumn("failure_kind", kind).withColumn("first_page", (F.col("kind") == "fetch") & (F.col("part") == 1))
+    blocked = F.col("kind") == "blocked"
+    text = F.when(blocked, F.concat(F.lit("search blocked: "), F.coalesce("error", F.lit("")))).when(~ok, F.coalesce("error", F.lit("")))
+    cause = F.when(blocked, "execution").when(~ok, F.col("cause"))
+    page = F.when(F.col("kind") == "fetch", U.url_key(F.col("url")))
+    first = page.isNotNull() & (F.row_number().over(Window.partitionBy(*by, "_page").orderBy("pos")) == 1)
+    out = results.withColumn("success", ok).withColumn("error_text", text).withColumn("failure_kind", cause).withColumn("_page", page)
+    return out.withColumn("first_page", first).drop("_page")
 
 
 def message(role: str, content: Column, **more: Column) -> Column:
@@ -101,12 +110,17 @@ def public_hits(hits: DataFrame) -> DataFrame:
 
 
 def replayed_turns(events: DataFrame, by: str = "session_id") -> DataFrame:
-    """Events (seq, type, turn, data) as turns: the tools called, repairs, tokens, whether the turn was the last, and how the session ended."""
+    """Events (seq, type, turn, data) as turns: the tools called, repairs, tokens, and how the session ended.
+
+    final: the loop told the model that the turn was its last (turn.started says so). outcome: on the last turn that there
+    is; interrupted if the session never finished.
+    """
     of = lambda t: F.count_if(F.col("type") == t)
-    turns = events.where("turn IS NOT NULL").groupBy(by, "turn").agg(F.min("seq").alias("first_seq"), of("search.started").alias("searches"), of("fetch.started").alias("fetches"), of("model.retry").alias("retries"), of("answer.verified").alias("answers"))
+    told = F.coalesce(F.bool_or((F.col("type") == "turn.started") & (F.get_json_object("data", "$.final_turn") == "true")), F.lit(False))
+    turns = events.where("turn IS NOT NULL").groupBy(by, "turn").agg(F.min("seq").alias("first_seq"), of("search.started").alias("searches"), of("fetch.started").alias("fetches"), of("model.retry").alias("retries"), of("answer.verified").alias("answers"), told.alias("final"))
     end = events.where("type = 'session.finished'").groupBy(by).agg(F.max_by(F.get_json_object("data", "$.outcome"), "seq").alias("outcome"))
     last = F.max("turn").over(Window.partitionBy(by))
-    return turns.withColumn("final", F.col("turn") == last).join(end, by, "left").withColumn("outcome", F.when(F.col("final"), F.coalesce("outcome", F.lit("interrupted"))))
+    return turns.withColumn("_last", F.col("turn") == last).join(end, by, "left").withColumn("outcome", F.when(F.col("_last"), F.coalesce("outcome", F.lit("interrupted")))).drop("_last")
 
 
 def _letters(value) -> int:

@@ -628,15 +628,18 @@ def public_hits(spark, d):
 
 
 @query("""
-WITH e AS (SELECT user_id, event_id, event_id // 20 AS turn, event_type AS t FROM events), g AS (SELECT user_id, turn, count(*) FILTER (WHERE t = 'view') AS searches, count(*) FILTER (WHERE t = 'click') AS fetches, count(*) FILTER (WHERE t = 'error') AS retries FROM e GROUP BY ALL)
-SELECT user_id, turn, searches, fetches, retries, turn = max(turn) OVER (PARTITION BY user_id) AS final, CASE WHEN final THEN CASE WHEN user_id % 2 = 0 THEN 'ok' ELSE 'interrupted' END END AS outcome FROM g
+WITH e AS (SELECT user_id, event_id, event_id // 20 AS turn, event_type AS t FROM events),
+g AS (SELECT user_id, turn, count(*) FILTER (WHERE t = 'view') AS searches, count(*) FILTER (WHERE t = 'click') AS fetches, count(*) FILTER (WHERE t = 'error') AS retries,
+             coalesce(bool_or(t = 'purchase' AND event_id % 4 = 0), false) AS final FROM e GROUP BY ALL)
+SELECT user_id, turn, searches, fetches, retries, final, CASE WHEN turn = max(turn) OVER (PARTITION BY user_id) THEN CASE WHEN user_id % 2 = 0 THEN 'ok' ELSE 'interrupted' END END AS outcome FROM g
 """)
 def replayed_turns(spark, d):
-    """STR-17, STR-18: the loop of a session from its events; a session without an end was interrupted."""
+    """STR-17, STR-18: the loop of a session from its events; a session without an end was interrupted, and the final turn is the one that was announced."""
     i = F.col("i")
-    names = {"view": "search.started", "click": "fetch.started", "error": "model.retry", "signup": "answer.verified", "purchase": "model.replied"}
+    names = {"view": "search.started", "click": "fetch.started", "error": "model.retry", "signup": "answer.verified", "purchase": "turn.started"}
     type_ = F.element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), F.col("event_type"))
-    rows = events(spark, d).select("user_id", i.alias("seq"), type_.alias("type"), F.floor(i / 20).alias("turn"), F.lit(None).cast("string").alias("data"))
+    data = F.when(F.col("event_type") == "purchase", F.to_json(F.struct((i % 4 == 0).alias("final_turn"))))
+    rows = events(spark, d).select("user_id", i.alias("seq"), type_.alias("type"), F.floor(i / 20).alias("turn"), data.alias("data"))
     ends = rows.where("user_id % 2 = 0").groupBy("user_id").agg(F.max("seq").alias("seq")).select("user_id", (F.col("seq") + 1).alias("seq"), F.lit("session.finished").alias("type"), F.lit(None).cast("long").alias("turn"), F.lit('{"outcome":"ok"}').alias("data"))
     return tools.replayed_turns(rows.unionByName(ends), "user_id").select("user_id", "turn", "searches", "fetches", "retries", "final", "outcome")
 

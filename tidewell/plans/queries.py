@@ -451,19 +451,30 @@ def page_outcomes(spark, d):
 
 
 @query("""
-WITH e AS (SELECT user_id AS request_id, event_id, event_type || (event_id % 3) AS q FROM events), t AS (SELECT q, min(event_id) AS pos, count(*) AS recordings FROM e GROUP BY q),
-a AS (SELECT DISTINCT request_id, q FROM e), n AS (SELECT request_id, count(*) AS n FROM a GROUP BY request_id)
-SELECT request_id, CAST(CASE WHEN n = 1 THEN 1 ELSE 2 END AS INT) AS tier, pos, CAST(recordings AS BIGINT) AS recordings FROM a JOIN t USING (q) JOIN n USING (request_id)
+WITH e AS (SELECT user_id, event_id, event_type || (event_id % 3) AS q, 'https://site' || json_extract(props, '$.k') || '.example/p' AS url, CAST(json_extract(props, '$.k') AS INT) % 4 = 1 AS page FROM events),
+sets AS (SELECT user_id AS pos, array_to_string(list_sort(list(DISTINCT q)), '|') AS k FROM e WHERE user_id % 2 = 0 GROUP BY user_id), firsts AS (SELECT k, min(pos) AS pos FROM sets GROUP BY k),
+asked AS (SELECT user_id AS request_id, CASE user_id % 4 WHEN 1 THEN [min(q)] WHEN 3 THEN ['nothing of the kind'] ELSE list_sort(list(DISTINCT q)) END AS qs, 3 + user_id % 9 AS top_k FROM e GROUP BY user_id),
+same AS (SELECT request_id, f.pos FROM asked JOIN firsts f ON f.k = array_to_string(qs, '|')),
+t1 AS (SELECT request_id, 1 AS tier, row_number() OVER (PARTITION BY request_id ORDER BY event_id) - 1 AS rank, url, 30000 AS top_k FROM same JOIN e ON e.user_id = same.pos),
+rest AS (SELECT * FROM asked WHERE request_id NOT IN (SELECT request_id FROM same)),
+rec AS (SELECT user_id AS pos, event_id, q, url, page FROM e WHERE user_id % 2 = 0),
+m AS (SELECT request_id, 2 AS tier, top_k, url, page, min(row(pos, event_id)) AS f FROM (SELECT request_id, top_k, unnest(qs) AS q FROM rest) r JOIN rec USING (q) GROUP BY ALL),
+p AS (SELECT request_id, 3 AS tier, top_k, url, page, f FROM (SELECT url, page, min(row(pos, event_id)) AS f FROM rec GROUP BY ALL), rest WHERE request_id NOT IN (SELECT request_id FROM m)),
+r AS (SELECT request_id, tier, row_number() OVER (PARTITION BY request_id ORDER BY page DESC, f) - 1 AS rank, url, top_k FROM (SELECT * FROM m UNION ALL SELECT * FROM p))
+SELECT request_id, CAST(tier AS INT) AS tier, CAST(rank AS INT) AS rank, url FROM (SELECT * FROM t1 UNION ALL SELECT * FROM r) WHERE rank < top_k
 """)
 def replayed_searches(spark, d):
-    """JN-09, SET-03: every event is a recording and every user asks all of theirs. Recordings of the same queries are one
-    row with their first pos and their count, as requests times recordings would not fit."""
+    """JN-09, SRT-04, SET-02, SET-03: every second user is a recorded search with all their events as hits; every user asks, for the same set of queries, for one of them, or for something else."""
     e = table(spark, d, "events").withColumn("q", F.concat("event_type", (F.col("event_id") % 3).cast("string")))
-    asked = e.groupBy(F.col("user_id").alias("request_id")).agg(F.collect_set(F.upper("q")).alias("queries"))
-    told = e.select(F.col("event_id").alias("pos"), T.query_set(F.array(F.concat(F.lit(" "), "q"))).alias("queries"))
-    told = told.groupBy("queries").agg(F.min("pos").alias("pos"), F.count("*").alias("recordings"))
-    found = tape.find_searches(asked, told.select("queries", "pos"))
-    return found.join(told.select("pos", "recordings"), "pos", "left").select("request_id", "tier", "pos", F.coalesce("recordings", F.lit(0)).alias("recordings"))
+    sets = e.groupBy("user_id").agg(F.collect_set("q").alias("qs"))
+    told, mine = sets.where("user_id % 2 = 0").select(F.col("user_id").alias("pos"), F.col("qs").alias("queries")), e.where("user_id % 2 = 0")
+    queries = F.when(F.col("user_id") % 4 == 1, F.array(F.concat(F.lit(" "), F.upper(F.array_min("qs"))))).when(F.col("user_id") % 4 == 3, F.array(F.lit("nothing of the kind"))).otherwise(F.col("qs"))
+    asked = sets.select(F.col("user_id").alias("request_id"), queries.alias("queries"), (F.col("user_id") % 9 + 3).cast("int").alias("top_k"))
+    k = F.get_json_object("props", "$.k")
+    url = F.concat(F.lit("https://site"), k, F.lit(".example/p"))
+    hits_ = mine.select(F.col("user_id").alias("pos"), F.col("event_id").alias("at"), url.alias("url"), F.array("q").alias("queries"))
+    pages = e.where(k.cast("int") % 4 == 1).select(F.lit(True).alias("is_page"), U.url_key(url).alias("url_key"), F.concat(url, F.lit("#end")).alias("final_url")).distinct()
+    return tape.replay(asked, told, hits_, pages)
 
 
 @query(f"""
@@ -540,14 +551,14 @@ def merged_states(spark, d):
 @query("""
 WITH l AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) - min((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id) AS s, event_type <> 'error' AS ok, CAST(floor(value * 1000000) AS BIGINT) AS dur FROM events),
 m AS (SELECT *, s + dur AS e FROM l), c AS (SELECT *, least(greatest(60000000, coalesce(min(CASE WHEN ok THEN e END) OVER (PARTITION BY user_id), 600000000)), 600000000) AS cut FROM m)
-SELECT event_id, CASE WHEN s > cut THEN 'cancelled' WHEN e <= 600000000 THEN 'done' ELSE 'timeout' END AS outcome FROM c
+SELECT event_id, CASE WHEN s <= cut AND e <= 600000000 THEN 'done' ELSE 'timeout' END AS outcome, s > cut AS queued FROM c
 """)
 def leg_deadlines(spark, d):
     """STR-12."""
     start = millis("ts") - F.min(millis("ts")).over(Window.partitionBy("user_id"))
     legs = table(spark, d, "events").select(F.col("user_id").alias("call_id"), "event_id", start.alias("started_ms"), (F.col("event_type") != "error").alias("ok"), F.floor(F.col("value") * 1_000_000).alias("dur"))
     legs = legs.withColumn("ended_ms", F.col("started_ms") + F.col("dur"))
-    return search.deadlines(legs, 60_000_000, 600_000_000).select("event_id", "outcome")
+    return search.deadlines(legs, 60_000_000, 600_000_000).select("event_id", "outcome", "queued")
 
 
 # --- pages, parts and replies ---
@@ -676,4 +687,4 @@ def progress_events(spark, d):
     return table(spark, d, "events").select("event_id", F.col("user_id").alias("session_id"), i.alias("seq"), type_.alias("type"), data.alias("data"))
 
 
-from . import live, logs, rules  # noqa: E402, F401  (they register theirs)
+from . import calls, live, logs, rules  # noqa: E402, F401  (they register theirs)
