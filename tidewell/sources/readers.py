@@ -24,10 +24,22 @@ RESULTS = f"format int, started_unix bigint, mode string, agent_model string, ju
 RAW_HIT = "struct<title:string,url:string,snippet:string,provider:string,query:string,rank:bigint,published_date:string>"
 
 
+#: The place of a row within its task, of Spark's increasing ids.
+PLACE = (1 << 33) - 1
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with file and line number; the number is counted within a file by byte order."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"))
-    return rows.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("_at"))).drop("_at")
+    """Lines of text files, in folders below path too, with file and line number, from 1, in byte order.
+
+    A file is read in ranges of bytes by as many tasks as it has ranges. A first pass counts the lines of each range; a
+    running sum over the ranges of a file, one small row for each, tells where a range begins, and within a range a task
+    reads lines in order. No lines are moved.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().bitwiseAND(PLACE).alias("_at"))
+    ranges = rows.groupBy("file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("file", "_start", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return rows.join(ranges, ["file", "_start"]).select("value", "file", (F.col("_at") + F.col("_shift")).alias("line"))
 
 
 def session_rows(spark: SparkSession, path: str, newest: int = SESSION_VERSION) -> DataFrame:
@@ -50,7 +62,7 @@ def of_kind(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST") -> DataFrame:
-    return spark.read.schema(schema).option("mode", mode).json(path)
+    return spark.read.schema(schema).option("mode", mode).option("recursiveFileLookup", True).json(path)
 
 
 def tape_searches(spark: SparkSession, path: str) -> DataFrame:

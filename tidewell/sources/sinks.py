@@ -35,15 +35,24 @@ def shown_events(events: DataFrame, detail: str = "default") -> DataFrame:
     return events if detail == "tokens" else stored_events(events)
 
 
-def session_sink(path: str, explicit: bool = True):
-    """A foreachBatch function: an explicit path's error ends the query; a default path warns once and stops writing."""
+QUERY_ID = "sql.streaming.queryId"
+
+
+def session_sink(path: str, explicit: bool = True, writer: str | None = None):
+    """A foreachBatch function that stores each batch once, in a folder of its own under path.
+
+    The folder is named after the streaming query (or `writer`) and the batch, so a batch that is run again after a crash
+    between its write and its commit replaces what it wrote before; other queries on the same path have other names. An
+    explicit path's error ends the query; a default path warns once and stops writing.
+    """
     state = {"off": False}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if state["off"]:
             return
+        name = writer or batch.sparkSession.sparkContext.getLocalProperty(QUERY_ID) or "log"
         try:
-            append_json(stored_events(batch), path)
+            stored_events(batch).write.mode("overwrite").json(f"{path}/{name}-{batch_id:012d}")
         except Exception:
             if explicit:
                 raise
