@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slices import SLICE, running_sum, sliced
+
 
 def ttl(recency: Column, normal: int = 86_400, day: int = 3_600) -> Column:
     """Seconds that an entry lives: less for results of the last day."""
@@ -37,15 +39,19 @@ def storable(entries: DataFrame, enabled: bool = True) -> DataFrame:
     return entries.where(F.size("results") > 0) if enabled else entries.limit(0)
 
 
-def evict(files: DataFrame, cap: int, by: list[str] | None = None, keep: Column | None = None) -> DataFrame:
-    """files (path, at, bytes) with evicted: oldest first until the rest fits; a null time is oldest; kept files weigh but never go."""
+def evict(files: DataFrame, cap: int, by: list[str] | None = None, keep: Column | None = None, width: int = 3600) -> DataFrame:
+    """files (path, at, bytes) with evicted: oldest first until the rest fits; a null time is oldest; kept files weigh but never go.
+
+    Without `by` all files are one store; either way a running sum goes over slices of `width` seconds.
+    """
     by = by or []
     kept = F.lit(False) if keep is None else keep
-    part = Window.partitionBy(*(by or [F.lit(1)]))
-    order = part.orderBy(F.asc_nulls_first("at"), "path").rowsBetween(Window.unboundedPreceding, -1)
-    out = files.withColumn("_weight", F.when(kept, F.lit(0)).otherwise(F.col("bytes")))
-    freed = F.coalesce(F.sum("_weight").over(order), F.lit(0))
-    return out.withColumn("evicted", ~kept & (F.sum("bytes").over(part) - freed > cap)).drop("_weight")
+    out = files.withColumn("_weight", F.when(kept, F.lit(0)).otherwise(F.coalesce("bytes", F.lit(0)))).withColumn("_one", F.lit(1))
+    keys = [*by, "_one"]
+    out = running_sum(sliced(out, "at", width), keys, F.col("_weight"), "_freed", F.asc_nulls_first("at"), "path")
+    total = files.withColumn("_one", F.lit(1)).groupBy(*keys).agg(F.sum("bytes").alias("_total")).withColumnsRenamed({c: f"{c}_k" for c in keys})
+    out = out.join(total, [out[c].eqNullSafe(total[f"{c}_k"]) for c in keys]).drop(*[f"{c}_k" for c in keys])
+    return out.withColumn("evicted", ~kept & (F.col("_total") - (F.col("_freed") - F.col("_weight")) > cap)).drop(SLICE, "_weight", "_freed", "_one", "_total")
 
 
 def stale_temporary(files: DataFrame, now: Column, seconds: int = 600) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import LONGEST_SUSPENSION, SUSPENSION
+from .slices import SLICE, WIDTH, carried, earlier, inside, running_sum, sliced
 
 
 def suspension(kind: Column, status: Column, retry_after: Column) -> Column:
@@ -26,18 +27,27 @@ def suspension(kind: Column, status: Column, retry_after: Column) -> Column:
     return F.when(out["seconds"] > 0, out)
 
 
-def suspensions(log: DataFrame, by: list[str] | None = None) -> DataFrame:
+def suspensions(log: DataFrame, by: list[str] | None = None, width: int = WIDTH) -> DataFrame:
     """log with until (ms) and reason after each row: the latest expiry since the last success, of equal ones the first.
 
-    Two windows: runs between successes are islands, and within one the expiry is a running maximum.
+    Runs between successes are islands, and within one the expiry is a running maximum; both in slices of `width` ms,
+    of which each leaves its last success behind and the latest expiry after it.
     """
     by = by or ["engine"]
-    order = Window.partitionBy(*by).orderBy("ts", "ordinal")
+    order = inside(by, "ts", "ordinal")
     s = suspension(F.col("kind"), F.col("status"), F.col("retry_after"))
-    out = log.withColumn("_s", s).withColumn("_run", F.sum((F.col("kind") == "ok").cast("int")).over(order))
+    out = sliced(log, "ts", width).withColumn("_s", s).withColumn("_run", F.sum(F.coalesce((F.col("kind") == "ok").cast("int"), F.lit(0))).over(order))
     cand = F.when(F.col("_s").isNotNull(), F.struct((F.col("ts") + F.col("_s.seconds") * 1000).alias("until"), (-F.col("ts")).alias("a"), (-F.col("ordinal")).alias("b"), F.col("_s.reason").alias("reason")))
-    best = F.max(cand).over(Window.partitionBy(*by, "_run").orderBy("ts", "ordinal"))
-    return out.withColumn("_b", best).withColumn("until", F.col("_b.until")).withColumn("reason", F.col("_b.reason")).drop("_s", "_run", "_b")
+    out = out.withColumn("_c", cand).withColumn("_best", F.max("_c").over(Window.partitionBy(*by, SLICE, "_run").orderBy("ts", "ordinal")))
+    # a slice leaves the best of its last island; if it is all one island, that of the slices before counts on
+    left = {"_ok": F.max("_run"), "_tail": F.max_by("_best", F.struct("ts", "ordinal"))}
+    island = F.sum((F.col("_ok") > 0).cast("int")).over(Window.partitionBy(*by).orderBy(SLICE))
+    small = out.groupBy(*by, SLICE).agg(*[v.alias(k) for k, v in left.items()]).withColumn("_island", island)
+    small = small.withColumn("_after", F.max("_tail").over(Window.partitionBy(*by, "_island").orderBy(SLICE)))
+    small = small.withColumn("_carry", F.lag("_after").over(Window.partitionBy(*by).orderBy(SLICE))).select(*by, SLICE, "_carry").withColumnsRenamed({c: f"{c}_k" for c in [*by, SLICE]})
+    out = out.join(small, [out[c].eqNullSafe(small[f"{c}_k"]) for c in by] + [out[SLICE] == small[f"{SLICE}_k"]]).drop(*[f"{c}_k" for c in [*by, SLICE]])
+    best = F.when(F.col("_run") == 0, F.greatest("_best", "_carry")).otherwise(F.col("_best"))
+    return out.withColumn("_b", best).withColumn("until", F.col("_b.until")).withColumn("reason", F.col("_b.reason")).drop(SLICE, "_s", "_run", "_c", "_best", "_carry", "_b")
 
 
 def remaining(until: Column, now: Column) -> Column:
@@ -45,28 +55,37 @@ def remaining(until: Column, now: Column) -> Column:
     return F.when(until > now, F.greatest(F.lit(1), F.floor((until - now) / 1000)))
 
 
-def pacing(requests: DataFrame, gap_ms: Column | int, by: str = "engine") -> DataFrame:
+def pacing(requests: DataFrame, gap_ms: Column | int, by: str = "engine", width: int = WIDTH) -> DataFrame:
     """requests (ts) with wait_ms until the gap since the one before has passed."""
     gap = F.lit(gap_ms) if isinstance(gap_ms, int) else gap_ms
-    before = F.lag("ts").over(Window.partitionBy(by).orderBy("ts", "ordinal"))
-    return requests.withColumn("wait_ms", F.coalesce(F.greatest(F.lit(0), gap - (F.col("ts") - before)), F.lit(0)))
+    out = sliced(requests, "ts", width).withColumn("_lag", F.lag("ts").over(inside([by], "ts", "ordinal")))
+    out = carried(out, [by], {"_end": F.max("ts")}, {"_last": F.max("_end").over(earlier([by]))})
+    before = F.coalesce("_lag", "_last")
+    return out.withColumn("wait_ms", F.coalesce(F.greatest(F.lit(0), gap - (F.col("ts") - before)), F.lit(0))).drop(SLICE, "_lag", "_last")
 
 
-def slots(requests: DataFrame, gap_ms: int = 1000, by: str = "engine") -> DataFrame:
+def slots(requests: DataFrame, gap_ms: int = 1000, by: str = "engine", width: int = WIDTH) -> DataFrame:
     """requests (ts) with the time each is let through when at most one passes in gap_ms.
 
-    slot_n = max(ts_n, slot_(n-1) + gap) is a running maximum of ts_i - i gap, shifted back by n gap.
+    slot_n = max(ts_n, slot_(n-1) + gap) is a running maximum of ts_i - i gap, shifted back by n gap. A slice is the pair
+    of its number of rows and its maximum; pairs join by adding the first and shifting the second.
     """
-    order = Window.partitionBy(by).orderBy("ts", "ordinal")
-    n = F.row_number().over(order)
-    out = requests.withColumn("_n", n)
-    return out.withColumn("slot", F.max(F.col("ts") - F.col("_n") * gap_ms).over(order) + F.col("_n") * gap_ms).drop("_n")
-
-
-def budgets(requests: DataFrame, caps: DataFrame, by: list[str]) -> DataFrame:
+    order = inside([by], "ts", "ordinal")
+    out = sliced(requests, "ts", width).withColumn("_n", F.row_number().over(order))
+    out = out.withColumn("_free", F.col("ts") - F.col("_n") * gap_ms).withColumn("_m", F.max("_free").over(order))
+    small = out.groupBy(by, SLICE).agg(F.count("*").alias("_rows"), F.max("_free").alias("_top"))
+    small = small.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier([by])), F.lit(0)))
+    small = small.withColumn("_held", F.max(F.col("_top") - F.col("_before") * gap_ms).over(earlier([by]))).select(F.col(by).alias("_by"), F.col(SLICE).alias("_at"), "_before", "_held")
+    out = out.join(small, out[by].eqNullSafe(small["_by"]) & (out[SLICE] == small["_at"]))
+    slot = F.greatest(F.col("_m") - F.col("_before") * gap_ms, F.col("_held")) + (F.col("_n") + F.col("_before")) * gap_ms
+    return out.withColumn("slot", slot).drop(SLICE, "_n", "_free", "_m", "_by", "_at", "_before", "_held")
+
+
+def budgets(requests: DataFrame, caps: DataFrame, by: list[str], width: int = WIDTH) -> DataFrame:
     """requests (engine) with throttled: beyond the engine's request_cap in a run."""
-    order = Window.partitionBy(*by, "engine").orderBy("ts", "ordinal")
-    return requests.join(F.broadcast(caps.select("engine", "request_cap")), "engine").withColumn("throttled", F.row_number().over(order) > F.col("request_cap"))  # one row for each engine
+    capped = requests.join(F.broadcast(caps.select("engine", "request_cap")), "engine")  # one row for each engine
+    out = running_sum(sliced(capped, "ts", width), [*by, "engine"], F.lit(1), "_nth", "ts", "ordinal")
+    return out.withColumn("throttled", F.col("_nth") > F.col("request_cap")).drop(SLICE, "_nth")
 
 
 def gate(requests: DataFrame) -> DataFrame:
@@ -74,11 +93,13 @@ def gate(requests: DataFrame) -> DataFrame:
     return requests.withColumn("decision", F.when(F.col("until") > F.col("ts"), "suspended").when(F.col("throttled"), "throttled").otherwise("proceed"))
 
 
-def overlaps(requests: DataFrame, limit: Column | int, by: str = "engine") -> DataFrame:
+def overlaps(requests: DataFrame, limit: Column | int, by: str = "engine", width: int = WIDTH) -> DataFrame:
     """Times (start, end) at which more than limit requests were in flight: a sweep over starts and ends, not a self-join."""
     ends = requests.select(by, F.inline(F.array(F.struct(F.col("start").alias("ts"), F.lit(1).alias("step")), F.struct(F.col("end").alias("ts"), F.lit(-1).alias("step")))))
-    flight = F.sum("step").over(Window.partitionBy(by).orderBy("ts", "step"))
-    return ends.withColumn("in_flight", flight).where(F.col("in_flight") > (F.lit(limit) if isinstance(limit, int) else limit))
+    one = ends.groupBy(by, "ts", "step").agg(F.count("*").alias("_times"))  # starts, or ends, of one time count together
+    flight = running_sum(sliced(one, "ts", width), [by], F.col("step") * F.col("_times"), "in_flight", "ts", "step")
+    out = flight.where(F.col("in_flight") > (F.lit(limit) if isinstance(limit, int) else limit))
+    return out.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop(SLICE, "_times", "_again")
 
 
 def merge_states(local: DataFrame, disk: DataFrame, now_ms: int) -> DataFrame:
