@@ -687,4 +687,4 @@ def progress_events(spark, d):
     return table(spark, d, "events").select("event_id", F.col("user_id").alias("session_id"), i.alias("seq"), type_.alias("type"), data.alias("data"))
 
 
-from . import calls, live, logs, rules  # noqa: E402, F401  (they register theirs)
+from . import calls, content, live, logs, rules  # noqa: E402, F401  (they register theirs)
