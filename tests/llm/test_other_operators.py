@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import ipaddress
 import os
 import re
 import struct
@@ -172,6 +173,61 @@ def test_long_secrets(spark):
     assert all(got[i].text.startswith("go token=") and got[i].text.endswith(" on") for i in (1, 2))
 
 
+def _iban_rest(number):
+    number = number.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97
+
+
+#: Texts with whole entities in brackets: none of their telling parts may stay.
+PRIVATE = [
+    "met [Mrs. García López] today", "met [Mr. García] today", "met [Ms. López-García], then", "so [Dr. Anna Maria Schmidt] said", "so [Prof. Dr. Müller-Lüdenscheidt] said", "by [Mr. O'Brien].", "by [Mr. O’Brien].", "by [Ms D'Angelo]!",
+    "to [Mr. SMITH] now", "to [Mr. Smith] now", "ask [Mr. McDonald] if", "ask [Herr von der Leyen] ob", "ask [Señora de la Cruz] si", "[Jean-Pierre Dupont] est", "[Maria García López] es", "[John F. Kennedy] was", "[Mr. Smith] [Dr. Jones] met", "и [г-жа Иванова-Петрова] там", "και [Κύριος Παπαδόπουλος] εδώ", "και [Κυρία Ελένη Παππά] εδώ", "[Frau Dr. Weber]: ja", "[Mary O'Connor]'s cat",
+    "host [2001:db8:85a3::8a2e:370:7334] up", "host [2001:0db8:85a3:0000:0000:8a2e:0370:7334] up", "host [2001:DB8:85A3::8A2E:370:7334] up", "host [fe80::1] up", "host [fe80::2], up", "net [fd12:3456:789a::] up",
+    "call [020 7946 0958] now", "call [+33 1 23 45 67 89] now", "call [01 23 45 67 89] now", "call [0171-1234567] now", "call [(030) 123456] now", "call [555 234 5678] now", "call [+44 20 7946 0958] now", "call [+49 30 1234567] now",
+    '{"[password": "hunter22secret]", "n": 1}', "{'[api_key': 'another9secret]'}", "[token=abc123:def456=ghi789] end", 'the [secret: "correct horse battery]" is', "a [ghp_abcdefghijklmnopqrstuvwxyz0123456789] b", "a [token=ghp_abcdefghijklmnopqrstuvwxyz0123456789] b", "a [sk-abcdefghij1234567890XYZ] b", "a [xoxb-123456789012-abcdefGHIJ] b", "a [eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N] b", "a [access_key=Zx9Yw8Vu7Ts6] b",
+    "pay [DE89370400440532013000] now", "pay [GB82 WEST 1234 5698 7654 32] now", "from [10.1.2.3] to", "from [192.168.7.9] to", "from [172.20.1.1] to", "from [8.8.4.4] to", "mail [Jo.Doe@Example.org] or", "mail [jo.doe@example.org] or", "id [123-45-6789] ok", "card [4111 1111 1111 1111] ok",
+]
+CLEAN = [
+    "at 12:30:45 use std::vector and a[1::2]", "face::feed and abc::def", "the doctor who came, Dr. and Mrs.", "token: https://example.com/a=b", "version 1.2.3 of 2024-01-05", "a total of 0123 items", "Mr. and Mrs. are titles", "key = value; x: y", "Paris and London in May", "1,234,567 people",
+]
+
+
+def test_whole_entities_are_replaced(spark):
+    """Each entity is found whole, no part of it stays, its form is kept, equal ones are equal and others differ."""
+    texts = [re.sub(r"[\[\]]", "", t) for t in PRIVATE] + CLEAN
+    got = sorted(pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    new = {}
+    for r, text in zip(got, PRIVATE, strict=False):
+        want = re.findall(r"\[(.*?)\]", text)
+        assert [x.entity for x in r.replaced] == want, text
+        new |= {x.entity: x.surrogate for x in r.replaced}
+        shown = text
+        for x in r.replaced:
+            shown = shown.replace(f"[{x.entity}]", x.surrogate)
+        assert r.text == shown
+    assert [r.text for r in got[len(PRIVATE) :]] == CLEAN and all(not r.replaced for r in got[len(PRIVATE) :])
+    kept = {"Mrs", "Mr", "Ms", "Dr", "Prof", "Herr", "von", "der", "Señora", "de", "la", "Frau", "г", "жа", "Κύριος", "Κυρία"}
+    people = [e for e in new if re.match(r"(Mr|Ms|Dr|Prof|Herr|Se|Jean|Maria|John|г|Κ|Frau|Mary)", e)]
+    for e in people:
+        words, others = re.findall(r"\w+", e), re.findall(r"\w+", new[e])
+        assert len(words) == len(others) and re.sub(r"\w", "", e) == re.sub(r"\w", "", new[e])
+        assert all((a == b) == (a in kept or len(a) == 1) for a, b in zip(words, others)), (e, new[e])
+    word = lambda e, i: re.findall(r"\w+", new[e])[i]
+    assert word("Mrs. García López", 1) != word("Mr. García", 1)  # a given name there, a surname here
+    assert word("Mrs. García López", 2) == word("Ms. López-García", 1) == word("Maria García López", 2) and word("Mr. García", 1) == word("Ms. López-García", 2) == word("Maria García López", 1)
+    assert word("Mr. O'Brien", 2) == word("Mr. O’Brien", 2) and word("Mr. SMITH", 1) == word("Mr. Smith", 1).upper() and word("Dr. Anna Maria Schmidt", 2) == word("Maria García López", 0)
+    address = lambda e: ipaddress.ip_address(new[e])
+    six = [e for e in new if ":" in e and re.match("[2f]", e)]
+    assert len({address(e) for e in six[:3]}) == 1 and len({address(e) for e in six}) == 4 and all(new[e].startswith(e[:4]) and (new[e] == new[e].lower()) == (e == e.lower()) for e in six) and len(new[six[1]]) == 39 and "::" in new[six[0]]
+    assert not {address(e) for e in six} & {ipaddress.ip_address(e) for e in six}
+    assert new["10.1.2.3"].startswith("10.") and new["192.168.7.9"].startswith("192.168.") and address("172.20.1.1") in ipaddress.ip_network("172.16.0.0/12") and not address("8.8.4.4") in ipaddress.ip_network("10.0.0.0/8")
+    for e in {x.entity for r in got for x in r.replaced if x.type == "phone"}:
+        assert re.sub(r"\d", "0", e) == re.sub(r"\d", "0", new[e]) and e != new[e] and e.lstrip("(").startswith("0") == new[e].lstrip("(").startswith("0")
+    assert _iban_rest(new["DE89370400440532013000"]) == 1 == _iban_rest(new["GB82 WEST 1234 5698 7654 32"]) and re.fullmatch(r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d", new["GB82 WEST 1234 5698 7654 32"])
+    bare, named = new["ghp_abcdefghijklmnopqrstuvwxyz0123456789"], new["token=ghp_abcdefghijklmnopqrstuvwxyz0123456789"]
+    assert named == "token=" + bare and bare.startswith("ghp_") and "def456" not in new["token=abc123:def456=ghi789"] and "ghi789" not in new["token=abc123:def456=ghi789"]
+
+
 def test_mixing(spark):
     r = np.random.default_rng(0)
     rows = [(i, " ".join(["w"] * int(r.integers(0, 60))), ["a", "b", "c", None, "Z"][int(r.integers(0, 5)) if i % 3 else 0]) for i in range(900)]
