@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import governor, render, replies
+from tidewell.operators import governor, history, render, replies
 from tidewell.plans.live import LAST
 from tidewell.streaming import live, stateful
 from tidewell.streaming import replies as assembly
@@ -134,3 +134,30 @@ def test_windows(spark, tmp_path):
     spark.createDataFrame(events, stateful.ENVELOPE).write.json(str(tmp_path / "ev"))
     counts = run(stateful.windowed_counts(stateful.read_events(spark, str(tmp_path / "ev"))), "windows", spark, tmp_path, "append").collect()
     assert {r.type for r in counts} <= {"search.started", "answer.verified", "model.delta"}
+
+
+def test_attempts(spark, tmp_path):
+    """What is in force equals the batch form; a repeat counts once, a delta of a lower attempt that comes late never, and no state stays."""
+    deltas = [("a", 1, 1, 1), ("a", 2, 2, 1), ("a", 3, 3, 2), ("a", 4, 4, 1), ("a", 5, 5, 2), ("a", 6, 6, 3), ("b", 1, 7, 1), ("b", 2, 8, 1), ("c", 1, 9, 2), ("c", 2, 10, 1), ("d", 1, 11, None)]
+    frame = spark.createDataFrame([*deltas, deltas[0], deltas[4], deltas[6], ("end", 10**6, 0, 1)], "turn_key string, minute long, seq long, attempt long")
+    timed = frame.select("turn_key", F.timestamp_seconds(F.col("minute") * 60).alias("at"), "seq", "attempt")
+    slices = [timed.where("seq % 2 = 1").repartition(2), timed.where("seq % 2 = 0").repartition(2)]
+    out = run_to_end(slices, lambda s: live.live_attempts(s, idle=600_000_000), f"file://{tmp_path}/a").where("turn_key <> 'end'")
+    got = sorted((r.seq, r.change, r.attempt, r.in_force) for r in live.in_force(out).collect())
+    batch = {r.seq for r in history.last_attempts(spark.createDataFrame(deltas, "turn_key string, minute long, seq long, attempt long"), ["turn_key"]).collect()}
+    assert {s for s, _, _, force in got if force} == batch == {6, 7, 8, 9}
+    assert [(s, c) for s, c, _, _ in got] == [(1, "kept"), (2, "kept"), (3, "kept"), (3, "retracted"), (5, "kept"), (6, "kept"), (6, "retracted"), (7, "kept"), (8, "kept"), (9, "kept")]
+    assert {r.key for r in kept_states(spark, f"file://{tmp_path}/a").collect()} <= {"end"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_attempts_do_not_depend_on_cuts(seed):
+    r = random.Random(seed)
+    rows = sorted((r.randrange(0, 60) * 60_000_000, 0, i, json.dumps({"attempt": r.choice([0, 1, 2, None])})) for i in range(80))
+    rows = sorted(rows + rows[::7])
+    fold, state, cut = live.AttemptFold(10**10), {}, []
+    whole = fold_rows(fold, {}, rows, 10**12)
+    for k in range(0, 60, 7):
+        cut += fold_rows(fold, state, [x for x in rows if k * 60_000_000 <= x[0] < (k + 7) * 60_000_000], (k + 7) * 60_000_000 - 1)
+    cut += fold_rows(fold, state, [], 10**12)
+    assert cut == whole and state == {} and len({(s, x["change"]) for _, s, x in whole}) == len(whole)

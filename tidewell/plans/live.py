@@ -97,6 +97,23 @@ def live_lookups(spark, d):
     return out.select(F.col("seq").alias("event_id"), "store")
 
 
+@query("""
+WITH r AS (SELECT event_id, event_id % 3 AS attempt, max(event_id % 3) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top,
+           max(event_id % 3) OVER (PARTITION BY user_id, event_type) AS final FROM events)
+SELECT event_id, attempt, 'kept' AS change, attempt = final AS in_force FROM r WHERE attempt >= coalesce(top, -1)
+UNION ALL SELECT event_id, attempt, 'retracted', false FROM r WHERE attempt > top
+""")
+def live_attempts(spark, d):
+    """WIN-10, STR-02: deltas of attempts as they come, from three slices out of order, every eleventh delivered again at once and in the next slice."""
+    e = table(spark, d, "events").select(F.concat_ws("-", "user_id", "event_type").alias("turn_key"), _instant("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).alias("attempt"))
+    again = e.where("seq % 11 = 0")
+    beat = spark.range(1).select(F.lit("beat").alias("turn_key"), F.lit(LAST).cast("timestamp").alias("at"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("attempt"))
+    first, second, third = _slices(e.unionByName(again), F.col("at"), beat)
+    repeats = again.where(F.col("at") < F.lit("2024-01-11").cast("timestamp"))
+    out = run_to_end([first, second.unionByName(repeats), third], lambda s: live.live_attempts(s, idle=24 * 90 * live.HOUR), scratch(spark, "attempts"))
+    return live.in_force(out.where("turn_key <> 'beat'")).select(F.col("seq").alias("event_id"), "attempt", "change", "in_force")
+
+
 def _frames(spark, d, wire: str) -> DataFrame:
     """Each conversation as the bytes of one streamed reply: assistant turns are text, user turns the arguments of two tool calls, system turns thinking."""
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))

@@ -154,3 +154,48 @@ def live_lookups(events: DataFrame, late: str = "10 minutes", day: int = HOUR, o
     row = F.to_json(F.struct(F.col("is_store").alias("store"), "short"))
     stream = events.select(F.col("cache_key").alias("key"), "at", F.when(F.col("is_store"), 0).otherwise(1).alias("rank"), "seq", row.alias("row"))
     return folded(stream, CacheFold(day, other), late, "stored_at long, store long").select(F.col("key").alias("cache_key"), "seq", "stored_at", "store")
+
+
+class AttemptFold(Fold):
+    """The attempts of a turn: what arrives of the highest so far is kept, what arrives later of a lower one is left out.
+
+    When a higher one begins, one row takes back all that was kept of the lower ones, so the state holds no
+    fragments. A row that is delivered again has the same time and number and comes right behind the first.
+    State ends `idle` us after the last row.
+    """
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def step(self, state, at, seq, row):
+        attempt, top, again = row.get("attempt"), state.get("top"), state.get("last") == [at, seq]
+        state |= {"last": [at, seq], "seen": at}
+        if again or attempt is None or (top is not None and attempt < top):
+            return []
+        state["top"] = attempt
+        kept = {"attempt": attempt, "change": "kept"}
+        return [kept] if top is None or attempt == top else [{"attempt": attempt, "change": "retracted"}, kept]
+
+    def wake(self, state):
+        return state["seen"] + self.idle if state else None
+
+    def woken(self, state, at):
+        state.clear()
+        return []
+
+
+def live_attempts(deltas: DataFrame, late: str = "10 minutes", idle: int = 24 * HOUR) -> DataFrame:
+    """deltas (turn_key, at, seq, attempt) as a stream -> turn_key, seq, attempt, change.
+
+    kept: the delta counts so far. retracted: all kept ones of lower attempts are void, as this one is the first of its
+    attempt. Deltas without an attempt are left out.
+    """
+    row = F.to_json(F.struct(F.col("attempt").cast("long").alias("attempt")))
+    stream = deltas.select(F.col("turn_key").cast("string").alias("key"), "at", F.lit(0).alias("rank"), "seq", row.alias("row"))
+    return folded(stream, AttemptFold(idle), late, "attempt long, change string").select(F.col("key").alias("turn_key"), "seq", "attempt", "change")
+
+
+def in_force(changes: DataFrame) -> DataFrame:
+    """Rows of live_attempts with in_force: kept and not taken back; those are the rows of history.last_attempts."""
+    void = changes.where("change = 'retracted'").groupBy("turn_key").agg(F.max("attempt").alias("_first"))
+    return changes.join(void, "turn_key", "left").withColumn("in_force", (F.col("change") == "kept") & (F.col("attempt") >= F.coalesce("_first", "attempt"))).drop("_first")
