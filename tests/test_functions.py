@@ -1,5 +1,7 @@
 """Vectors for the text, URL, Markdown, HTML and answer functions."""
 
+import base64
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,15 @@ def test_redirects(spark):
     assert (r.name, r.version) == ("serde", "1.0.1")
 
 
+@pytest.mark.parametrize("n", [0, 1, 56, 57, 58, 59, 200])
+def test_links_of_any_length(spark, n):
+    """Spark's base64 breaks lines after 57 bytes; a link's letters have none."""
+    url = "https://a.example/?" + "é/" * n
+    coded = one(spark, url, U.base64url_encode(F.col("x"))).c0
+    assert coded == base64.urlsafe_b64encode(url.encode()).decode().rstrip("=")
+    assert one(spark, f"https://www.bing.com/ck/a?!&&p=1&u=a1{coded}&ntb=1", U.unwrap_bing(F.col("x"))).c0 == url
+
+
 def test_addresses():
     for ip, bad in {"10.0.0.1": True, "8.8.8.8": False, "100.64.0.1": True, "::1": True, "::ffff:10.0.0.1": True, "2001:4860:4860::8888": False, "fe80::1": True, "3fff::1": True, "255.255.255.255": True}.items():
         assert U.is_forbidden(ip) is bad, ip

@@ -197,6 +197,11 @@ def percent_decode(text: pa.Array) -> pa.Array:
     return _arrow(decode_percent, pa.string())(text)
 
 
+def base64url_encode(text: Column) -> Column:
+    """Text to unpadded base64url, in one line at any length (Spark's base64 breaks lines after 76 characters)."""
+    return F.translate(F.base64(text.cast("binary")), "+/=\r\n", "-_")
+
+
 def base64url_decode(text: Column) -> Column:
     """Unpadded base64url to text; null for other characters or bytes that are not UTF-8."""
     plain = F.translate(F.regexp_replace(text, "=", ""), "-_", "+/")

@@ -98,8 +98,7 @@ def unwrapped_links(spark, d):
     """TXT-12, TXT-13, TXT-14, TXT-15: the address of every page behind a link of one of four engines."""
     i, url = F.col("page_id"), F.col("url")
     coded = F.url_encode(url)
-    letters = F.rtrim(F.translate(F.base64(url.cast("binary")), "+/", "-_"), F.lit("="))
-    ddg, bing = _text("//duckduckgo.com/l/?uddg=", coded, "&rut=", i), _text("https://www.bing.com/ck/a?!&&p=", i, "&u=a1", letters, "&ntb=1")
+    ddg, bing = _text("//duckduckgo.com/l/?uddg=", coded, "&rut=", i), _text("https://www.bing.com/ck/a?!&&p=", i, "&u=a1", U.base64url_encode(url), "&ntb=1")
     yahoo = _text("https://r.search.yahoo.com/_ylt=A/RV=2/RE=", i, "/RU=", coded, "/RK=2/RS=s-")
     target = F.when(i % 4 == 0, U.unwrap_duckduckgo(ddg)).when(i % 4 == 1, U.unwrap_bing(bing)).when(i % 4 == 2, U.unwrap_yahoo(yahoo)).otherwise(U.clean_startpage(_text(" ", url, " ")))
     return table(spark, d, "pages").select("page_id", target.alias("target"))
