@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import census, decontamination, license_scan, lm_scoring, ngram_join, substring_dedup, tokens
+from tidewell.llm import census, decontamination, license_scan, lm_scoring, ngram_join, queries, substring_dedup, tokens
 
 BLANK, ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out string, labels string"
@@ -129,6 +129,24 @@ def components(sets):
     return [find(x) for x in range(len(sets))]
 
 
+@pytest.mark.parametrize("chunk", [3, 1 << 19])
+def test_lower_words(chunk, monkeypatch):
+    """A-Z only: other capitals, and the letters' neighbours in ASCII, stay different."""
+    monkeypatch.setattr(tokens, "CHUNK", chunk)
+    texts = ["The MIT License. É é @ ` [ {", None, "the mit license. É é @ ` [ {"]
+    got = tokens.tokenise(pa.array(texts, pa.string()), "lower")
+    assert list(got.counts) == [9, 0, 9] and (got.hash[:9] == got.hash[9:]).all() and len(set(got.hash.tolist())) == 9
+
+
+def test_case_makes_no_shingle(spark, tmp_path):
+    """op3: texts that differ in A-Z only are one class; shingles that do are one shingle."""
+    text = "The quick Brown fox jumps over the Lazy dog"
+    rows = [(3, text), (2, text.upper()), (5, "A b c d e a B c d e A b c d e"), (7, "Élan a b c d"), (8, "élan a b c d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op3_ngram_join(spark, str(tmp_path)).collect()}
+    assert got == {2: (5, 2), 3: (5, 2), 5: (5, 5), 7: (1, 7), 8: (1, 8)}
+
+
 @pytest.mark.parametrize("rare", [1, 32])
 def test_ngram_join(docs, data, rare, monkeypatch, empty):
     monkeypatch.setattr(ngram_join, "RARE_LEVEL", int(ngram_join._level(np.array([rare]))[0]))
