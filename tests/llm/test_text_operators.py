@@ -289,6 +289,21 @@ def test_lm_scoring(docs, data, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_scoring_of_capitals(spark, tmp_path):
+    """op10: a word in capitals is the same token."""
+    rows = [(1, "The cat É"), (2, "the CAT é"), (3, "THE dog"), (4, "Cat the"), (5, None), (6, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op10_lm_scoring(spark, str(tmp_path)).collect()}
+    seq = {i: [*re.findall(BLANK, lower(t)), None] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in seq}
+    c = Counter(w for i, t in seq.items() if not held[i] for w in t)
+    n, v = sum(c.values()), len(c)
+    assert c["the"] >= 3
+    for i, t in seq.items():
+        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n) and abs(got[i].base_score - base) < 1e-9
+
+
 def test_lm_scoring_odd_ids(spark):
     frame = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b c"), (3, "a b c"), (4, None)], "doc_id long, text string")
     got = [(r.doc_id, r.held_out, r.n_tokens) for r in lm_scoring.score(frame).collect()]
