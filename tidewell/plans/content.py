@@ -85,11 +85,29 @@ def leg_errors(spark, d):
 # --- addresses and links ---
 
 
-@query(f"WITH {EVENTS_SQL} SELECT event_id, CASE event_type WHEN 'view' THEN true WHEN 'error' THEN true WHEN 'purchase' THEN NULL ELSE false END AS bad FROM e")
+# Octets and groups that stand at both ends of the networks which may not be asked, and beside them.
+OCTETS = [[0, 8, 10, 100, 127, 169, 172, 192, 198, 203, 224, 239, 240, 255, 1, 11, 99, 101, 128], [0, 64, 63, 127, 128, 254, 16, 15, 31, 32, 168, 51, 255], [0, 2, 100, 113, 3, 255, 7], [0, 1, 255, 8, 53]]
+GROUPS = [[0x2001, 0xFE80, 0xFEBF, 0xFEC0, 0xFC00, 0xFDFF, 0xFBFF, 0xFE00, 0xFF02, 0xFEFF, 0x3FFF, 0x2606, 0x2002], [0x0DB8, 0x0DB9, 0x0FFF, 0x1000, 0x4700]]
+_PICKED = ", ".join(f"{listed}[CAST(1 + event_id % {len(listed)} AS INT)] AS {name}" for name, listed in zip("abcdgh", OCTETS + GROUPS, strict=True))
+
+
+@query(f"""
+WITH {EVENTS_SQL}, x AS (SELECT event_id, k, event_id // 3 % 9 AS form, {_PICKED} FROM e), y AS (SELECT *, CASE WHEN form = 7 AND k <> 0 THEN 0 ELSE a END AS a4, CASE WHEN form = 7 AND k <> 0 THEN 0 ELSE b END AS b4 FROM x)
+SELECT event_id, CASE WHEN form = 8 THEN NULL
+  WHEN form >= 4 AND form < 7 THEN g BETWEEN 65152 AND 65215 OR g BETWEEN 64512 AND 65023 OR g >= 65280 OR g = 8193 AND h = 3512 OR g = 16383 AND h < 4096
+  ELSE a4 IN (0, 10, 127) OR a4 = 100 AND b4 BETWEEN 64 AND 127 OR a4 = 169 AND b4 = 254 OR a4 = 172 AND b4 BETWEEN 16 AND 31 OR a4 = 192 AND b4 = 168 OR a4 = 192 AND b4 = 0 AND c = 2
+    OR a4 = 198 AND b4 = 51 AND c = 100 OR a4 = 203 AND b4 = 0 AND c = 113 OR a4 BETWEEN 224 AND 239 OR a4 = 255 AND b4 = 255 AND c = 255 AND d = 255 END AS bad FROM y
+""")
 def forbidden_addresses_v6(spark, d):
-    """PRJ-12: addresses of both kinds around the number of each event, IPv4 ones inside IPv6 ones, and words that are none."""
-    k, t = F.col("k"), F.col("event_type")
-    ip = F.when(t == "view", _text("::ffff:10.0.", k, ".1")).when(t == "click", _text("2606:4700::", k)).when(t == "error", _text("fd00::", k)).when(t == "signup", _text("8.8.", k, ".8")).otherwise(_text("no address ", k))
+    """PRJ-12: an address for each event, of octets and groups at the ends of all networks: IPv4, the same inside IPv6 in two ways and in hexadecimal, IPv6 in three ways, small numbers, and words that are none."""
+    i, k = F.col("event_id"), F.col("k")
+    a, b, c, d4, g, h = (F.element_at(F.array(*map(F.lit, listed)), (i % len(listed) + 1).cast("int")) for listed in OCTETS + GROUPS)
+    dot, hx = F.concat_ws(".", a, b, c, d4), lambda x: F.lower(F.hex(x))
+    six = [_text(hx(g), ":", hx(h), "::", hx(k)), _text("[", hx(g), ":", hx(h), ":0:0:1:0:0:", hx(k), "]"), _text(F.upper(hx(g)), ":", hx(h), ":", hx(k), "::1")]
+    forms = [dot, _text("::ffff:", dot), _text("::", dot), _text("::FFFF:", hx(a * 256 + b), ":", hx(c * 256 + d4)), *six]
+    small = F.when(k == 0, _text("::", dot)).otherwise(_text("::", hx(k)))
+    wrong = F.element_at(F.array(_text("no address ", k), _text(dot, ".", k), _text("256.", dot), _text(hx(g), ":", hx(h), ":", k)), (i % 4 + 1).cast("int"))
+    ip = F.element_at(F.array(*forms, small, wrong), (F.floor(i / 3) % 9 + 1).cast("int"))
     return _events(spark, d).select("event_id", U.forbidden_ip(ip).alias("bad"))
 
 
