@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.constants import CHALLENGE_MARKS
 from ..operators import evals, fetch, history, render, replies, search, tools
 from .queries import SPACE_SQL
-from .registry import query
+from .registry import ORACLE_SQL, literal, query
 from .tables import table
 
 
@@ -128,15 +129,32 @@ def fragment_texts(spark, d):
     return table(spark, d, "pages").select("page_id", T.decode_html(F.col("html")).alias("text"))
 
 
-@query("""
-WITH p AS (SELECT page_id, page_id % 400 AS n, page_id % 4 AS kind FROM pages)
-SELECT page_id, CASE WHEN kind = 3 THEN 'error' WHEN kind = 2 OR n < 200 THEN 'handover' ELSE 'done' END AS outcome,
-       CASE WHEN kind = 3 THEN 'HTTP 404' WHEN kind = 2 THEN 'unsupported content type image/png' WHEN n < 200 THEN 'only ' || n || ' chars of markdown (JS shell?)' END AS reason FROM p
+_MARKDOWN = ORACLE_SQL["fragment_texts"].replace("SELECT page_id,", "SELECT page_id, html,", 1)
+STATUS = [200, 403, 200, 429, 200, 503, 204, 404, 200, 301, 200, 500, 299]
+TYPES = ["text/html; charset=utf-8", None, "TEXT/PLAIN", "application/json", "text/html", "image/png", "Application/XHTML+xml"]
+WAITS = ["", "<title>Just a moment...</title>", "", "<i class=cf-chl-x>", ""]
+SAID = ["", "", " Performing Security Verification", "", " ray id: 7 performance and security by x", " Ray ID: 7"]
+_PAGE_PICKED = ", ".join(f"[{', '.join(map(literal, listed))}][CAST(1 + page_id % {len(listed)} AS INT)] AS {name}" for name, listed in (("status", STATUS), ("type", TYPES), ("wall", WAITS), ("said", SAID)))
+
+
+@query(f"""
+WITH t AS ({_MARKDOWN}), p AS (SELECT page_id, coalesce(html, '') AS html, coalesce(text, '') AS text, {_PAGE_PICKED}, CASE WHEN page_id % 4 = 1 THEN 'Challenge' END AS mitigated FROM t),
+q AS (SELECT *, wall || html AS body, CASE WHEN page_id % 3 = 0 THEN repeat('é', CAST(page_id % 400 AS INT)) ELSE text END || said AS md, lower(coalesce(type, 'text/html')) AS kind FROM p),
+r AS (SELECT *, contains(kind, 'html') AS is_html, status IN (403, 429, 503) AND (mitigated IS NOT NULL OR ({" OR ".join(f"contains(lower(substr(body, 1, 20000)), '{m}')" for m in CHALLENGE_MARKS)})) AS refused,
+             {" OR ".join(f"contains(lower(substr(body, 1, 20000)), '{m}')" for m in CHALLENGE_MARKS)} AS challenged,
+             length(trim(md)) <= 1500 AND (contains(lower(md), 'performing security verification') OR contains(lower(md), 'verification successful. waiting for') OR contains(lower(md), 'ray id:') AND contains(lower(md), 'performance and security by')) AS wait FROM q),
+s AS (SELECT *, CASE WHEN is_html THEN md ELSE trim(body) END AS shown, status BETWEEN 200 AND 299 AS fine, strlen(body) > 5242880 AS big FROM r),
+o AS (SELECT page_id, refused OR fine AND NOT big AS handed, CASE WHEN NOT fine THEN 'HTTP ' || status WHEN big THEN 'body exceeds 5242880 bytes'
+        WHEN NOT is_html AND kind NOT LIKE 'text/%' AND kind NOT LIKE '%json%' THEN 'unsupported content type ' || kind WHEN is_html AND (challenged OR wait) THEN 'challenge page'
+        WHEN length(shown) < 200 THEN 'only ' || length(shown) || ' chars of markdown (JS shell?)' END AS reason FROM s)
+SELECT page_id, CASE WHEN reason IS NULL THEN 'done' WHEN handed THEN 'handover' ELSE 'error' END AS outcome, reason FROM o
 """)
 def fetch_decisions(spark, d):
-    """PRJ-22: a page is done, an error, or handed over to a browser, by its status, its type and how much text it gave."""
-    i = F.col("page_id")
-    rows = table(spark, d, "pages").select(i, F.when(i % 4 == 3, 404).otherwise(200).alias("status"), F.when(i % 4 == 2, "image/png").otherwise("text/html; charset=utf-8").alias("content_type"), F.col("html").alias("body"), F.repeat(F.lit("é"), (i % 400).cast("int")).alias("markdown"), F.lit(None).cast("string").alias("cf_mitigated"))
+    """PRJ-22: a page is done, an error, or handed over to a browser, by its status, its type, the marks of a wall in its body, headers or text, and how much text it gave."""
+    i, text = F.col("page_id"), F.coalesce("html", F.lit(""))
+    pick = lambda listed: F.element_at(F.array(*map(F.lit, listed)), (i % len(listed) + 1).cast("int"))
+    md = F.concat(F.when(i % 3 == 0, F.repeat(F.lit("é"), (i % 400).cast("int"))).otherwise(T.decode_html(text)), pick(SAID))
+    rows = table(spark, d, "pages").select(i, pick(STATUS).alias("status"), pick(TYPES).alias("content_type"), F.concat(pick(WAITS), text).alias("body"), md.alias("markdown"), F.when(i % 4 == 1, "Challenge").alias("cf_mitigated"))
     return fetch.fetch_outcome(rows).select("page_id", "outcome", "reason")
 
 
