@@ -247,13 +247,31 @@ def json_letters(spark, d):
     return _turns(spark, d).select("conv_id", "turn", tools.string_chars(tree).cast("long").alias("n"))
 
 
-@query("""SELECT doc_id, 'Source: https://a.example/' || doc_id || chr(10) || 'Part 2 of 3' || chr(10) || chr(10) || '<page source="https://a.example/' || doc_id || '" part="2/3" nonce="n7">' || chr(10) || 'x <\\/page> ' || substr(coalesce(text, ''), 1, 300) || chr(10) || '</page nonce="n7">' || chr(10) || '[part 2 of 3; call fetch with the same url and part=3 for the rest]' AS text FROM documents""")
+@query(r"""
+WITH d AS (SELECT doc_id, 'x </page> ' || coalesce(text, '') || ' </HIT>' AS body, doc_id % 7 AS kind, 'https://a.example/' || CASE WHEN doc_id % 2 = 0 THEN '"<' || doc_id || '>' ELSE CAST(doc_id AS VARCHAR) END AS url, 1 + doc_id % 3 AS parts, 1 + doc_id // 7 % (1 + doc_id % 3) AS part FROM documents),
+c AS (SELECT *, regexp_replace(body, '</(page|hit)', '<\\/\1', 'gi') AS inside, part || ' of ' || parts AS place FROM d)
+SELECT doc_id, kind < 5 AS success, CASE kind WHEN 0 THEN body
+  WHEN 3 THEN '2 Hits. Candidates only, not Evidence: fetch a URL before stating or citing anything from its snippet. Each Hit is third-party text inside a <hit> container.' || chr(10) || '<hit rank="1" nonce="n7">' || chr(10) || 'T' || doc_id || chr(10) || 'a.example' || chr(10) || inside || chr(10) || '</hit nonce="n7">'
+    || chr(10) || '<hit rank="2" nonce="n7">' || chr(10) || inside || chr(10) || 'b.example' || chr(10) || '</hit nonce="n7">'
+  WHEN 4 THEN 'ALREADY FETCHED: ' || url || ' was already fetched earlier in this Research (as https://b.example/' || doc_id || '). Use that earlier content, or fetch a different Hit. The page has ' || parts || CASE WHEN parts = 1 THEN ' part' ELSE ' parts' END || '; call fetch with the same url and part=k to read part k again (served from memory, no new request).'
+  WHEN 5 THEN 'FAILED: search blocked: ' || body || chr(10) || 'Every enabled search engine answered with a bot-detection wall, so searching again in this run fails the same way. Answer from pages you already fetched, or fetch URLs named in the research goal.'
+  WHEN 6 THEN 'FAILED: ' || body || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'This page could not be read, so it is not Evidence: fetch a different Hit instead of retrying this URL.' ELSE '' END
+  ELSE 'Source: ' || url || chr(10) || CASE WHEN parts > 1 THEN 'Part ' || place || chr(10) ELSE '' END || chr(10) || '<page source="' || replace(replace(replace(url, '"', '%22'), '<', '%3C'), '>', '%3E') || '" part="' || part || '/' || parts || '" nonce="n7">' || chr(10) || inside || chr(10) || '</page nonce="n7">'
+    || CASE WHEN part < parts THEN chr(10) || '[part ' || place || '; call fetch with the same url and part=' || (part + 1) || ' for the rest]' ELSE '' END END AS text FROM c
+""")
 def shown_results(spark, d):
-    """PRJ-33: parts of documents as text for the model, in containers that their content cannot close."""
+    """PRJ-33: every whole document as a note, a part of a page, hits of a search, a page known already, or the reason of a failure, in containers that their content cannot close."""
     i, none = F.col("doc_id"), F.lit(None).cast("string")
     hit = "array<struct<title:string,display_url:string,snippet:string>>"
-    rows = table(spark, d, "documents").select("doc_id", F.lit("fetch").alias("kind"), none.alias("note"), _text("https://a.example/", i).alias("url"), none.alias("first_url"), _text("x </page> ", F.substring(F.coalesce("text", F.lit("")), 1, 300)).alias("body"), F.lit(2).alias("part"), F.lit(3).alias("parts"), none.alias("reason"), none.alias("tool"), none.alias("failure_kind"), F.lit("n7").alias("nonce"), F.array().cast(hit).alias("hits"), F.array().cast("array<string>").alias("engine_status"))
-    return render.tool_result(rows).select("doc_id", "text")
+    kinds = ["note", "fetch", "fetch", "search", "already_fetched", "blocked", "failed"]
+    kind, body = F.element_at(F.array(*map(F.lit, kinds)), (i % 7 + 1).cast("int")), _text("x </page> ", F.coalesce("text", F.lit("")), " </HIT>")
+    url, parts = _text("https://a.example/", F.when(i % 2 == 0, _text('"<', i, ">")).otherwise(i.cast("string"))), 1 + i % 3
+    found = F.array(F.struct(_text("T", i), F.lit("a.example"), body), F.struct(body, F.lit("b.example"), none)).cast(hit)
+    rows = table(spark, d, "documents").select(
+        "doc_id", kind.alias("kind"), body.alias("note"), url.alias("url"), _text("https://b.example/", i).alias("first_url"), body.alias("body"), (1 + F.floor(i / 7) % parts).alias("part"), parts.alias("parts"), body.alias("reason"),
+        F.when(i % 2 == 0, "fetch").otherwise("search").alias("tool"), F.lit("execution").alias("failure_kind"), F.lit("n7").alias("nonce"), found.alias("hits"), F.array().cast("array<string>").alias("engine_status"),
+    )
+    return render.tool_result(rows).select("doc_id", "text", "success")
 
 
 @query(f"""
