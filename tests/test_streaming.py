@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import governor, history, render, replies
 from tidewell.plans.live import LAST
-from tidewell.streaming import live, stateful
+from tidewell.streaming import live, ordered, stateful
 from tidewell.streaming import replies as assembly
 from tidewell.streaming.ordered import fold_rows, kept_states, run_to_end
 
@@ -161,3 +161,20 @@ def test_attempts_do_not_depend_on_cuts(seed):
         cut += fold_rows(fold, state, [x for x in rows if k * 60_000_000 <= x[0] < (k + 7) * 60_000_000], (k + 7) * 60_000_000 - 1)
     cut += fold_rows(fold, state, [], 10**12)
     assert cut == whole and state == {} and len({(s, x["change"]) for _, s, x in whole}) == len(whole)
+
+
+def test_many_keys_share_a_call(spark, tmp_path, monkeypatch):
+    """Keys, null and empty ones among them, are folded by buckets in small steps: rows of state do not grow with the keys."""
+    monkeypatch.setattr(ordered, "BUCKETS", 3)
+    monkeypatch.setattr(ordered, "STEP", 7)
+    keys = [None, "", "=", *[f"k{i}" for i in range(40)]]
+    deltas = [(k, 60 * n + 60, 100 * i + n, n % 3) for i, k in enumerate(keys) for n in range(5)]
+    random.Random(2).shuffle(deltas)
+    frame = lambda rows: spark.createDataFrame(rows, "turn_key string, s long, seq long, attempt long").withColumn("at", F.timestamp_seconds("s")).repartition(3)
+    folder = f"file://{tmp_path}/m"
+    out = run_to_end([frame([x for x in deltas if x[1] < 210]), frame([*[x for x in deltas if x[1] >= 210], ("end", 10**6, 0, 0)])], lambda s: live.live_attempts(s, idle=10**15), folder).where("turn_key IS DISTINCT FROM 'end'")
+    want = {(k, 100 * i + n, "kept") for i, k in enumerate(keys) for n in (0, 1, 2)} | {(k, 100 * i + n, "retracted") for i, k in enumerate(keys) for n in (1, 2)}
+    assert {(r.turn_key, r.seq, r.change) for r in out.collect()} == want
+    assert {r.key for r in kept_states(spark, folder).collect()} >= set(keys)
+    stored = spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", "state").load()
+    assert 0 < stored.count() <= 3

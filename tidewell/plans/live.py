@@ -20,7 +20,7 @@ def _slices(rows: DataFrame, at: Column, end: DataFrame | None = None, days: tup
     parts = [rows.where(at < cuts[0]), rows.where((at >= cuts[0]) & (at < cuts[1])), rows.where(at >= cuts[1])]
     if end is not None:
         parts[-1] = parts[-1].unionByName(end)
-    return [p.repartition(4, F.xxhash64(*p.columns)) for p in parts]
+    return [p.repartition(F.xxhash64(*p.columns)) for p in parts]
 
 
 def _instant(c: str) -> Column:
