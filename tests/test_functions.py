@@ -59,6 +59,25 @@ def test_links_of_any_length(spark, n):
     assert one(spark, f"https://www.bing.com/ck/a?!&&p=1&u=a1{coded}&ntb=1", U.unwrap_bing(F.col("x"))).c0 == url
 
 
+def test_batches_in_slices():
+    """A function sees a few MB of a batch at a time, with the same rows; a row larger than that is a slice of its own."""
+    import pyarrow as pa
+
+    from tidewell.functions.lazy import SLICE, in_slices
+
+    seen = []
+
+    def f(text, n):
+        seen.append(text.nbytes)
+        return pa.array([None if t is None else f"{len(t)} {k}" for t, k in zip(text.to_pylist(), n.to_pylist(), strict=True)], pa.string())
+
+    texts = [None if i % 7 == 0 else "x" * (i % 5 * 10_000) for i in range(3000)]
+    got = in_slices(f)(pa.array(texts), pa.array(range(3000)))
+    assert got.to_pylist() == [None if t is None else f"{len(t)} {i}" for i, t in enumerate(texts)] and len(seen) > 10 and max(seen) < 2 * SLICE
+    assert in_slices(f)(pa.array(["y" * (SLICE + 1), "z"]), pa.array([1, 2])).to_pylist() == [f"{SLICE + 1} 1", "1 2"]
+    assert in_slices(f)(pa.array([], pa.string()), pa.array([], pa.int64())).to_pylist() == []
+
+
 def test_addresses():
     for ip, bad in {"10.0.0.1": True, "8.8.8.8": False, "100.64.0.1": True, "::1": True, "::ffff:10.0.0.1": True, "2001:4860:4860::8888": False, "fe80::1": True, "3fff::1": True, "255.255.255.255": True}.items():
         assert U.is_forbidden(ip) is bad, ip
