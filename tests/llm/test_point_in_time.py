@@ -107,3 +107,35 @@ def test_dominance():
         for j in np.flatnonzero(asks):
             on = [i for i in range(j) if not asks[i] and run[i] == run[j] and ts[i] > low[j]]
             assert (got[j] == pay[on].sum(axis=0)).all()
+
+
+@pytest.mark.parametrize("n", [2, 13])
+def test_a_row_for_each_query_whatever_a_client_has(spark, monkeypatch, n):
+    made, stored = {}, P.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(P, "stored", counted)
+    data = tables()
+    assert ordered(P.feature_table(*frames(spark, *data), partition_count=n).collect()) == ordered(expected(*data))
+    queries = sum(s[1] is not None and s[4] is not None for s in data[1])
+    assert sum(v for k, v in made.items() if k != "pieces") <= queries + 3 * n  # no rows for levels, nor those of a cut client once more
+
+
+def test_small_clients_are_not_cut(spark, monkeypatch):
+    clicks, sales, lines = tables()
+    of = lambda rows, at: [(*x[:at], i % 40, *x[at + 1 :]) for i, x in enumerate(rows)]
+    data = of(clicks, 3), of(sales, 1), lines
+    made, stored = {}, P.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made[name] = out.where("edge OR kind = 6").count() if name == "marks" else out.count()
+        return out
+
+    monkeypatch.setattr(P, "stored", counted)
+    assert ordered(P.feature_table(*frames(spark, *data), partition_count=3).collect()) == ordered(expected(*data))
+    assert made["crowded"] == made["marks"] == 0

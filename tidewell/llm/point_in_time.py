@@ -6,11 +6,12 @@ dominance query on two axes: available <= t and happened > t - d.
 
 Method: offline divide and conquer (CDQ). Points and queries of a client stand in the order of availability. At each
 level of a binary tree over their places the points of a left half meet the queries of its right half, and there one
-prefix sum in the order of happening answers them; every pair meets at one level. The lower levels lie inside a
-partition of Spark's range exchange and are done there with sorted arrays. A client that reaches over several
-partitions goes through the upper levels (the bits of the partition's number) as rows of (client, level, node),
-dealt out by range again, so that no node is one task: what a partition misses of the ones before it comes by
-joins with sums of aligned blocks of partitions (carried).
+prefix sum in the order of happening answers them; every pair meets at one level. Spark's range exchange keeps a
+client in one partition, where all this is done with sorted arrays, unless it is crowded (more than half a
+partition). A crowded client is cut, and what its partition misses of those before it is a difference of sums: as
+nothing is available before it happens, a window holds a point from its availability until happened + d, so each of
+its points brings one more row, for its end, and partitions pass on what they have opened and not ended (carried).
+No row is there once for each level, and no client is joined with itself.
 
 Distinct items: an item counts at t if any of its lines does, i.e. inside the union of [available, happened + d). The
 union is cut into disjoint intervals, and the number of them that hold t is a plain prefix sum of starts and ends.
@@ -38,7 +39,8 @@ from .shared import few_samples, lean_batches, partitions, stored
 ROWS = 400_000
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
-CLICK, SALE, LINE, LABEL, ITEMS, QUERY = range(6)
+#: From ENDED on: the end of a point (kind ENDED + 3 * window + kind of the point).
+CLICK, SALE, LINE, LABEL, ITEMS, QUERY, CHUNK, ENDED = range(8)
 SUMS = ["n_clicks", "n_purchases", "click_cents", "n_sales", "sale_cents", "n_lines", "line_cents"]
 AXIS = ["client", "at", "is_query", "kind", "ts", "n", "cents", "id"]
 NONE = np.iinfo(np.int64).min
@@ -193,7 +195,7 @@ def _result_columns(windows: list[int]) -> list[str]:
 
 
 def _marks(windows: list[int]) -> str:
-    return "edge boolean, qid long, pid int, client long, at long, is_query byte, kind byte, ts long, n long, cents long, id long, last struct<ts:bigint,id:bigint>, " + ", ".join(f"{c} long" for c in _result_columns(windows))
+    return "edge boolean, pid int, client long, at long, kind byte, id long, last struct<ts:bigint,id:bigint>, " + ", ".join(f"{c} long" for c in _result_columns(windows))
 
 
 def _payload(kind: np.ndarray, n: np.ndarray, worth: np.ndarray) -> np.ndarray:
@@ -243,21 +245,26 @@ def dominance(run: np.ndarray, ts: np.ndarray, payload: np.ndarray, is_query: np
 
 
 def _swept(windows: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition sorted by client and availability -> its queries, answered from the partition, and all rows of its first and last client."""
+    """A partition sorted by client and availability -> its queries, answered from the partition, and the sums of its first and last client where they are crowded (kind CHUNK)."""
     table = _columns(batches)
     if table is None:
         return
-    client, at, is_query, kind, ts, n, worth = (_ints(table, c) for c in AXIS[:-1])
+    client, at, kind, ts, n, worth = (_ints(table, c) for c in ("client", "at", "kind", "ts", "n", "cents"))
     ids, pid = _ints(table, "id", NONE), int(table.column("pid")[0].as_py())
-    names = [x.split()[0] for x in _marks(windows).replace("struct<ts:bigint,id:bigint>", "struct").split(", ")]
+    crowd = table.column("crowd").combine_chunks().to_numpy(zero_copy_only=False)
+    del table
     run = _runs(client)
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    ends = np.append(starts[1:], len(run))
     asks = np.flatnonzero(kind == QUERY)
-    first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))[run]  # where the run of each row starts
+    chunks = np.array([r for r in sorted({0, int(run[-1])}) if crowd[starts[r]]], np.int64)
+    # a query looks at its run up to itself, a chunk at all of its run
+    since, until = np.append(starts[run[asks]], starts[chunks]), np.append(asks, ends[chunks])
 
     def so_far(value: np.ndarray) -> np.ndarray:
-        """Sum over the rows of its run before each query."""
-        total = np.append(0, np.cumsum(value))
-        return total[asks] - total[first[asks]]
+        total = np.zeros((len(value) + 1, *value.shape[1:]), np.int64)
+        np.cumsum(value, axis=0, out=total[1:])
+        return total[until] - total[since]
 
     done = {"label": so_far(np.where(kind == LABEL, n, 0))}
     for w in range(len(windows)):
@@ -266,83 +273,54 @@ def _swept(windows: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     clicks = clicks[np.lexsort((ids[clicks], ts[clicks]))]
     rank = np.full(len(run), -1)
     rank[clicks] = np.arange(len(clicks))
-    last = _run_max(run, rank)[asks]
+    last = _run_max(run, rank)[np.append(asks, ends[chunks] - 1)]
     has = last >= 0
     found = clicks[last[has]]
-    last_ts, last_id = np.zeros(len(asks), np.int64), np.full(len(asks), NONE)
+    last_ts, last_id = np.zeros(len(until), np.int64), np.full(len(until), NONE)
     last_ts[has], last_id[has] = ts[found], ids[found]
     del rank, clicks, last
     plane = np.flatnonzero((kind <= LINE) | (kind == QUERY))
     payload = _payload(kind[plane], n[plane], worth[plane])
+    of_crowd = crowd[since]
     for w, d in enumerate(windows):
-        sums = dominance(run[plane], ts[plane], payload, kind[plane] == QUERY, at[plane] - d)[kind[plane] == QUERY]
+        sums = np.zeros((len(until), len(SUMS)), np.int64)
+        sums[: len(asks)] = dominance(run[plane], ts[plane], payload, kind[plane] == QUERY, at[plane] - d)[kind[plane] == QUERY]
+        if crowd.any():
+            opened = _payload(np.where(at < ts + d, kind, QUERY), n, worth)
+            ended = _payload(np.where((kind >= ENDED) & ((kind - ENDED) // 3 == w), (kind - ENDED) % 3, QUERY), n, worth)
+            # beyond the partition's own points (sums) this is what the ones before it have lost by then
+            lost = so_far(opened - ended) - sums
+            sums[of_crowd] += lost[of_crowd]
+            del opened, ended, lost
         done |= {f"{c}_{w}": sums[:, i] for i, c in enumerate(SUMS)}
     del payload
 
-    edge = (run == 0) | (run == run[-1])
-    qid = np.full(len(run), -1)
-    qid[asks] = (pid << 33) + np.arange(len(asks))
-    none = np.full(len(run), True)
-    order = np.append(asks, np.flatnonzero(edge & (kind != QUERY)))
-    m = len(order) - len(asks)
-    struct = pa.StructArray.from_arrays([pa.array(np.append(last_ts, np.zeros(m, np.int64))), _some(np.append(last_id, np.zeros(m, np.int64)), np.append(last_id == NONE, none[:m]))], names=["ts", "id"], mask=pa.array(np.append(~has, none[:m])))
-    columns = {"edge": edge[order], "qid": qid[order], "pid": np.full(len(order), pid, np.int32), "client": client[order], "at": at[order], "is_query": is_query[order].astype(np.int8), "kind": kind[order].astype(np.int8), "ts": ts[order], "n": n[order], "cents": worth[order]}
-    columns |= {"id": _some(ids[order], ids[order] == NONE), "last": struct}
-    columns |= {c: _some(np.append(v, np.zeros(m, np.int64)), np.append(~none[: len(asks)], none[:m])) for c, v in done.items()}
-    out = pa.table([columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c]) for c in names], names=names)
+    size, place = len(until), np.append(asks, starts[chunks])
+    edge = of_crowd & (run[place] == 0)
+    kinds = np.append(np.full(len(asks), QUERY, np.int8), np.full(len(chunks), CHUNK, np.int8))
+    struct = pa.StructArray.from_arrays([pa.array(last_ts), _some(last_id, last_id == NONE)], names=["ts", "id"], mask=pa.array(~has))
+    columns = {"edge": edge, "pid": np.full(size, pid, np.int32), "client": client[place], "at": at[place], "kind": kinds, "id": _some(ids[place], ids[place] == NONE), "last": struct, **done}
+    names = [x.split()[0] for x in _marks(windows).replace("struct<ts:bigint,id:bigint>", "struct").split(", ")]
+    out = pa.table([columns[c] if isinstance(columns[c], pa.Array) else pa.array(np.ascontiguousarray(columns[c])) for c in names], names=names)
     yield from out.to_batches(max_chunksize=50_000)
 
 
-# --- the levels above: clients over several partitions -------------------------------------------------------------
-
-CROSS = "qid long, w int, client long, level int, node long, pid int, first boolean, " + ", ".join(f"{c} long" for c in SUMS)
+# --- crowded clients ----------------------------------------------------------------------------------------------
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of nodes, latest first: for each query the sums of the points before it; and the sums of the first and last node (qid -1)."""
-    table = _columns(batches)
-    if table is None:
-        return
-    client, level, node, kind, n, worth, qid, w = (_ints(table, c) for c in ("client", "level", "node", "kind", "n", "cents", "qid", "w"))
-    pid = int(table.column("pid")[0].as_py())
-    run = _runs(client, level, node)
-    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-    total = np.zeros((len(run) + 1, len(SUMS)), np.int64)
-    np.cumsum(_payload(kind, n, worth), axis=0, out=total[1:])
-    asks = np.flatnonzero(kind == QUERY)
-    sums = total[asks] - total[starts[run[asks]]]
-    ends = np.append(starts[1:], len(run))
-    edges = np.array(sorted({0, int(run[-1])}))
-    whole = total[ends[edges]] - total[starts[edges]]
-    at = np.append(asks, starts[edges])
-    columns = [np.append(qid[asks], np.full(len(edges), -1)), w[at].astype(np.int32), client[at], level[at].astype(np.int32), node[at], np.full(len(at), pid, np.int32), run[at] == 0, *np.concatenate([sums, whole]).T]
-    out = pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], names=[x.split()[0] for x in CROSS.split(", ")])
-    yield from out.to_batches(max_chunksize=50_000)
+def _crowded(axis: DataFrame, least: int) -> DataFrame:
+    """Clients with more than so many rows: a few for each partition at most."""
+    return stored(axis.groupBy("client").agg(F.sum("rows").alias("rows")).where(F.col("rows") > least), "crowded")
 
 
-def _upper_levels(edges: DataFrame, spans: DataFrame, windows: list[int], n: int, rows: int) -> DataFrame:
-    """Sums by (qid, w) of points and queries of one client in different partitions."""
-    near = edges.join(spans, "client").where((F.col("kind") <= LINE) | (F.col("kind") == QUERY))
-    levels = F.sequence(F.lit(0), F.lit(max(1, (n - 1).bit_length()) - 1))
-    shifted = lambda c, k: F.call_function("shiftright", F.col(c), k)
-    is_query = F.col("kind") == QUERY
-    # the half of a node: points go to the left ones with partitions of the client on the right, queries the other way
-    meets = lambda k: F.when(is_query, (shifted("pid", k).bitwiseAND(F.lit(1)) == 1) & (shifted("pid", k) > shifted("low", k))).otherwise((shifted("pid", k).bitwiseAND(F.lit(1)) == 0) & (shifted("pid", k) < shifted("high", k)))
-    spread = near.select("client", "kind", "ts", "at", "n", "cents", "qid", "pid", F.explode(F.filter(levels, meets)).alias("level")).withColumn("node", F.expr("cast(shiftright(pid, level + 1) AS long)"))
-    points = spread.where(~is_query).withColumn("w", F.lit(0)).withColumn("latest", -F.col("ts"))
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("w"), F.lit(d).alias("d")) for i, d in enumerate(windows)]))
-    asks = spread.where(is_query).withColumn("x", each).withColumn("w", F.col("x.w")).withColumn("latest", F.col("x.d") - F.col("at")).drop("x")
-    # a point at the edge itself is outside: queries stand before points of the same time
-    order = ["client", "level", "node", "latest", "point"]
-    both = points.unionByName(asks).withColumn("point", (F.col("kind") != QUERY).cast("int")).drop("pid")
-    m = max(partitions(edges.sparkSession), -(-rows * (len(windows) + 1) // ROWS))
-    dealt = both.repartitionByRange(m, *order, F.xxhash64("ts", "n", "cents", "qid")).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
-    with few_samples(edges.sparkSession, m):
-        met = stored(dealt.mapInArrow(lean_batches(_met), CROSS), "upper")
-    keys = ["client", "level", "node"]
-    before = carried(met.where("qid < 0").dropDuplicates([*keys, "pid"]).select(*keys, "pid", *SUMS), keys, {c: F.sum for c in SUMS}, m)
-    more = met.where("qid >= 0 AND first").select("qid", "w", *keys, "pid").join(before, [*keys, "pid"]).select("qid", "w", *SUMS)
-    return met.where("qid >= 0").select("qid", "w", *SUMS).unionByName(more)
+def _with_ends(axis: DataFrame, crowded: DataFrame, windows: list[int]) -> DataFrame:
+    """axis with crowd (whether the client is crowded), and with the ends of the points of such clients."""
+    flagged = axis.join(F.broadcast(crowded.select("client", F.lit(True).alias("crowd"))), "client", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    row = lambda at, kind: F.struct(at.alias("at"), kind.cast("byte").alias("kind"))
+    point = F.col("crowd") & (F.col("kind") <= LINE)
+    ends = [F.when(point & (F.col("at") < F.col("ts") + d), row(F.col("ts") + d, F.col("kind") + ENDED + 3 * w)) for w, d in enumerate(windows)]
+    each = F.explode(F.filter(F.array(row(F.col("at"), F.col("kind")), *ends), lambda x: x.isNotNull()))
+    return flagged.withColumn("x", each).withColumns({"at": F.col("x.at"), "kind": F.col("x.kind")}).select(*AXIS, "crowd")
 
 
 def feature_table(sales: DataFrame, clicks: DataFrame, lines: DataFrame, days: tuple[int, ...] = (2, 14), label_days: int = 7, delay_minutes: int = 240, partition_count: int | None = None) -> DataFrame:
@@ -350,7 +328,8 @@ def feature_table(sales: DataFrame, clicks: DataFrame, lines: DataFrame, days: t
     spark = sales.sparkSession
     windows, delay = [d * DAY for d in days], delay_minutes * 60 * SECOND
     # rows of the axis: a sale is a point, a query and two ends of its label; a line a point and up to two intervals
-    n = partition_count or max(partitions(spark), -(-(clicks.count() + 4 * sales.count() + 3 * lines.count()) // ROWS))
+    rows = clicks.count() + 4 * sales.count() + 3 * lines.count()
+    n = partition_count or max(partitions(spark), -(-rows // ROWS))
     sold = _sales(sales, delay)
     no = F.lit(0).cast("long")
     row = lambda at, kind, ts=no, n=no, worth=no, ident=no, ask=0: F.struct(at.alias("at"), F.lit(ask).cast("byte").alias("is_query"), F.lit(kind).cast("byte").alias("kind"), ts.alias("ts"), n.alias("n"), worth.alias("cents"), ident.alias("id"))
@@ -360,25 +339,29 @@ def feature_table(sales: DataFrame, clicks: DataFrame, lines: DataFrame, days: t
         row(F.col("sold") - label_days * DAY, LABEL, n=one), row(F.col("sold"), LABEL, n=-one), row(F.col("t"), QUERY, ident=F.col("sale_id"), ask=1),
     )
     of_sales = sold.select("client", F.explode(own).alias("x")).select("client", "x.*").where("at IS NOT NULL").select(*AXIS)
-    axis = reduce(DataFrame.unionByName, [_clicks(clicks, delay, max(windows)), of_sales, _lines(lines, sold, windows, n)])
-    dealt = axis.repartitionByRange(n, "client", "at", "is_query", F.xxhash64("kind", "ts", "id", "cents")).sortWithinPartitions("client", "at", "is_query").withColumn("pid", F.spark_partition_id())
+    of_lines = _lines(lines, sold, windows, n)
+    axis = reduce(DataFrame.unionByName, [_clicks(clicks, delay, max(windows)), of_sales, of_lines])
+    by_client = [clicks.where("client_id IS NOT NULL").select(F.col("client_id").alias("client"), F.lit(1).alias("rows")), sold.select("client", F.lit(4).alias("rows")), of_lines.select("client", F.lit(1).alias("rows"))]
+    crowded = _crowded(reduce(DataFrame.unionByName, by_client), max(1, rows // (2 * n)))
+    crowd = crowded.agg(F.sum("rows")).first()[0]
+    order = ["client", "at", "is_query"]
+    if crowd:
+        n = partition_count or max(n, -(-(rows + len(windows) * crowd) // ROWS))
+        axis = _with_ends(axis, crowded, windows)
+        # a client that is not crowded is one key of the exchange and so in one partition
+        dealt = axis.repartitionByRange(n, "client", *[F.when(F.col("crowd"), c) for c in (F.col("at"), F.col("is_query"), F.xxhash64("kind", "ts", "id", "cents"))])
+    else:
+        dealt = axis.withColumn("crowd", F.lit(False)).repartitionByRange(n, "client")
+    dealt = dealt.sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
     with few_samples(spark, n):
         marks = stored(dealt.mapInArrow(lean_batches(partial(_swept, windows)), _marks(windows)), "marks")
     found = _result_columns(windows)
-    answered = marks.where(F.col("kind") == QUERY).select("edge", "qid", "client", "pid", F.col("id").alias("sale_id"), F.col("at").alias("t_us"), "last", *found)
-
-    edges = marks.where("edge")
-    spans = stored(edges.groupBy("client").agg(F.min("pid").alias("low"), F.max("pid").alias("high"), F.count("*").alias("rows")).where("low < high"), "spans")
-    bits = F.ceil(F.log2(F.col("high") - F.col("low") + 1)) + 1
-    much = spans.agg(F.sum(F.col("rows") * bits)).first()[0]
-    if much:
-        one_axis = {"label": F.when(F.col("kind") == LABEL, F.col("n"))} | {f"n_items_{w}": F.when((F.col("kind") == ITEMS) & (F.col("ts") == w), F.col("n")) for w in range(len(windows))}
-        chunks = edges.join(spans.select("client"), "client").groupBy("client", "pid").agg(*[F.sum(v).alias(c) for c, v in one_axis.items()], F.max(F.when(F.col("kind") == CLICK, F.struct("ts", "id"))).alias("last"))
-        before = carried(chunks, ["client"], {c: F.sum for c in one_axis} | {"last": F.max}, n).withColumnsRenamed({c: f"b_{c}" for c in [*one_axis, "last"]})
-        cross = _upper_levels(edges, spans.select("client", "low", "high"), windows, n, int(much) // 2)
-        cross = cross.groupBy("qid").agg(*[F.sum(F.when(F.col("w") == w, F.col(c))).alias(f"x_{c}_{w}") for w in range(len(windows)) for c in SUMS])
-        reached = answered.where("edge").join(before, ["client", "pid"], "left").join(cross, "qid", "left")
-        more = {c: F.col(c) + F.coalesce(f"b_{c}" if c in one_axis else f"x_{c}", no) for c in found} | {"last": F.greatest("last", "b_last")}
+    answered = marks.where(F.col("kind") == QUERY).select("edge", "client", "pid", F.col("id").alias("sale_id"), F.col("at").alias("t_us"), "last", *found)
+    if crowd:
+        chunks = marks.where(F.col("kind") == CHUNK).select("client", "pid", "last", *found)
+        before = carried(chunks, ["client"], {c: F.sum for c in found} | {"last": F.max}, n).withColumnsRenamed({c: f"b_{c}" for c in [*found, "last"]})
+        reached = answered.where("edge").join(before, ["client", "pid"], "left")
+        more = {c: F.col(c) + F.coalesce(f"b_{c}", no) for c in found} | {"last": F.greatest("last", "b_last")}
         answered = answered.where("NOT edge").unionByName(reached.withColumns(more).select(answered.columns))
     each = [F.struct(F.lit(d).alias("d"), F.when(F.col("last.ts") > F.col("t_us") - windows[w], F.col("last.id")).alias("last_click_id"), F.col(f"n_items_{w}").alias("n_items"), *[F.col(f"{c}_{w}").alias(c) for c in SUMS]) for w, d in enumerate(days)]
     out = answered.select("sale_id", "t_us", (F.col("label") > 0).alias("label"), F.explode(F.array(*each)).alias("x"))
