@@ -178,3 +178,23 @@ def test_many_keys_share_a_call(spark, tmp_path, monkeypatch):
     assert {r.key for r in kept_states(spark, folder).collect()} >= set(keys)
     stored = spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", "state").load()
     assert 0 < stored.count() <= 3
+
+
+def test_many_streams_share_a_call(spark, tmp_path, monkeypatch):
+    """Replies of many streams, the first half of each in one run and the rest in the next: rows of state do not grow with the streams."""
+    monkeypatch.setattr(ordered, "BUCKETS", 3)
+    body = lambda i: b"".join(b"data: " + x + b"\n\n" for x in (json.dumps({"choices": [{"delta": {"content": f"said {i} ä"}}]}, ensure_ascii=False).encode(), b'{"choices":[{"delta":{"content":" more"}}]}', b"[DONE]"))
+    chunks = [(f"s{i}", n, bytearray(body(i)[20 * n : 20 * n + 20])) for i in range(40) for n in range(-(-len(body(i)) // 20))]
+    random.Random(3).shuffle(chunks)
+    half = len(chunks) // 2
+    schema = "stream_id string, chunk_seq long, chunk binary"
+    frame = lambda rows, at: spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds(F.lit(at)))
+    folder = f"file://{tmp_path}/share"
+    out = run_to_end([frame(chunks[:half] + chunks[:9], 1000), frame(chunks[half:] + chunks[:9], 1060)], lambda s: assembly.live_replies(s, "openai"), folder)
+    assert {(r.stream_id, r.output, r.cut) for r in out.collect()} == {(f"s{i}", f"said {i} ä more", False) for i in range(40)} and out.count() == 40
+    before = spark.conf.get(ordered.PROVIDER, None)
+    spark.conf.set(ordered.PROVIDER, ordered.ROCKSDB)
+    try:
+        assert 0 < spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", "at").load().count() <= 3
+    finally:
+        spark.conf.unset(ordered.PROVIDER) if before is None else spark.conf.set(ordered.PROVIDER, before)

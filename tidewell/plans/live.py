@@ -140,8 +140,10 @@ def _frames(spark, d, wire: str) -> DataFrame:
 def _chunks(spark, d, wire: str) -> list[DataFrame]:
     """The bytes cut into chunks of 1000, 200 or 37 bytes, that arrive in three slices in any order, some twice."""
     width = F.element_at(F.array(F.lit(1000), F.lit(200), F.lit(37)), (F.col("stream_id").cast("long") % 3 + 1).cast("int"))
-    cut = _frames(spark, d, wire).withColumn("width", width).withColumn("chunk_seq", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("body") - 1) / F.col("width")).cast("int"))))
-    cut = cut.select("stream_id", F.col("chunk_seq").cast("long").alias("chunk_seq"), F.substr("body", F.col("chunk_seq") * F.col("width") + 1, F.col("width")).alias("chunk"))
+    last = F.floor((F.octet_length("body") - 1) / F.col("width")).cast("int")
+    # chunks are cut inside the row: a body is not copied beside each of its chunks
+    each = F.transform(F.sequence(F.lit(0), last), lambda n: F.struct(n.cast("long").alias("chunk_seq"), F.substr("body", n * F.col("width") + 1, F.col("width")).alias("chunk")))
+    cut = _frames(spark, d, wire).withColumn("width", width).select("stream_id", F.explode(each).alias("x")).select("stream_id", "x.chunk_seq", "x.chunk")
     slot = F.pmod(F.xxhash64("stream_id", "chunk_seq"), F.lit(3))
     arrive = lambda k: F.timestamp_seconds(F.lit(1_700_000_000 + 60 * k)).alias("at")
     again = F.pmod(F.xxhash64("chunk_seq", "stream_id"), F.lit(11)) == 0

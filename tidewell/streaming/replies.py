@@ -1,22 +1,32 @@
 """Streamed model replies, assembled as their bytes arrive in any cut and order.
 
-Chunks that come too early wait in map state by their number. What events say is appended to list state (pieces of
-text) or kept in map state by tool call or content block, so a long reply is not written again with each chunk. A
-reply is given when its stream closes, or, cut, when nothing has come for a while; its state goes then, all but a
-mark that drops chunks repeated later until the same time has passed.
+Streams are dealt by hash into buckets (ordered.py), so that a call of the state store serves many of them. Chunks that
+come too early wait in list state as packed tables. What events say is appended to list state (packed pieces of text), so
+a long reply is not written again with each chunk; pieces are read when a stream of the bucket closes. A reply is given
+when its stream closes, or, cut, when nothing has come for a while; its state goes then, all but a mark that drops chunks
+repeated later until the same time has passed.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .ordered import within_pandas
+from .ordered import _bucket, _key, _name, _packed, _unpacked, within_pandas
+
+#: Replies that are given at once.
+GIVEN = 1000
+EARLY = pa.schema([("key", pa.large_string()), ("seq", pa.int64()), ("chunk", pa.large_binary())])
+PARTS = pa.schema([("key", pa.large_string()), ("kind", pa.string()), ("idx", pa.int32()), ("text", pa.large_string())])
 
 STOPS = {"end_turn": "stop", "stop_sequence": "stop", "max_tokens": "length", "tool_use": "tool_calls", "refusal": "content_filter"}
 
@@ -125,76 +135,116 @@ WIRES = {
 
 
 class Assembly(StatefulProcessor):
+    """The replies of a bucket of streams. at: a JSON object of how far each stream is, by name; early and parts: packed tables."""
+
     def __init__(self, wire: Wire, idle_ms: int):
         self.wire, self.idle = wire, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "next long, rest binary, meta string, seen long, closed boolean")
-        self.early = handle.getMapState("early", "seq long", "chunk binary")
-        self.parts = handle.getListState("parts", "kind string, idx int, text string")
-        self.blocks = handle.getMapState("blocks", "idx int", "facts string")
+        self.at = handle.getValueState("at", "state string")
+        self.early = handle.getListState("early", "rows binary")
+        self.parts = handle.getListState("parts", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        next_, rest, meta, seen, closed = self.at.get() if self.at.exists() else (0, b"", "{}", 0, False)
-        new: dict[int, bytes] = {}
+        states, new = self._states(), []
         for part in rows:
-            seen = max(seen, int(part["ms"].max()))
-            if not closed:
-                new |= {int(s): bytes(c) for s, c in zip(part["chunk_seq"], part["chunk"], strict=True) if s >= next_}
-        self.handle.registerTimer(max(seen + self.idle, timerValues.getCurrentWatermarkInMs() + 1))
-        if closed:
-            self.at.update((next_, b"", "{}", seen, True))
-            return
-        if new and self.early.exists():
-            new = {int(k[0]): bytes(v[0]) for k, v in self.early.iterator()} | new
-            self.early.clear()
-        ready = []
-        while next_ in new:
-            ready.append(new.pop(next_))
-            next_ += 1
-        for seq, chunk in new.items():
-            self.early.updateValue((seq,), (chunk,))
-        facts, say, done = json.loads(meta), [], False
-        blocks = {} if not ready else self._blocks()
-        if ready:
-            events, rest = closed_events(bytes(rest) + b"".join(ready))
+            if not len(part):
+                continue
+            new.append(pa.table([pa.array(part[c], f.type, from_pandas=True) for c, f in zip(("key", "chunk_seq", "chunk"), EARLY, strict=True)], EARLY))
+            for stream, ms in zip(new[-1].column("key").to_pylist(), part["ms"], strict=True):
+                state = states.setdefault(_name(stream), {"next": 0, "rest": "", "meta": {}, "blocks": [], "seen": 0, "closed": False})
+                state["seen"] = max(state["seen"], int(ms))
+        if new:
+            said, closed = self._taken(pa.concat_tables(self._tables(self.early) + new), states)
+            yield from self._replies(closed)
+            if said:
+                self.parts.appendValue((_packed(pa.Table.from_pylist(said, PARTS)),))
+            self._keep(states, timerValues)
+
+    def _taken(self, held: pa.Table, states: dict[str, dict]) -> tuple[list[dict], dict]:
+        """Takes all chunks whose turn it is and keeps the others; gives what open streams have said, and closed ones as (meta, said, blocks) by name."""
+        held = held.sort_by([("key", "ascending"), ("seq", "ascending")])
+        stream = held.column("key").combine_chunks().dictionary_encode("encode")
+        number, seq, chunk = stream.indices.to_numpy(), held.column("seq").to_numpy(), held.column("chunk").combine_chunks()
+        names = [_name(x) for x in stream.dictionary.to_pylist()]
+        starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        waits, say_all, closed = np.zeros(len(seq), dtype=bool), [], {}
+        for first, end in zip(starts, np.append(starts[1:], len(seq)), strict=True):
+            name = names[number[first]]
+            state = states[name]
+            if state["closed"]:
+                continue
+            at, ready = first + int(np.searchsorted(seq[first:end], state["next"])), []
+            while at < end and seq[at] <= state["next"]:
+                if seq[at] == state["next"]:
+                    ready.append(chunk[at].as_py())
+                    state["next"] += 1
+                at += 1
+            waits[at:end] = True
+            waits[at + 1 : end] &= seq[at + 1 : end] != seq[at : max(at, end - 1)]
+            if not ready:
+                continue
+            events, rest = closed_events(state["rest"].encode("latin-1") + b"".join(ready))
+            say, blocks, done = [], dict(map(tuple, state["blocks"])), False
             for data in events:
-                done = done or self.wire.read(data, facts, say, blocks)
-        if done:
-            yield self._reply(key, facts, self._said() + say, blocks)
-            self._forget()
-            self.at.update((next_, b"", "{}", seen, True))
-            return
-        if say:
-            self.parts.appendList(say)
-        for i, block in blocks.items():
-            self.blocks.updateValue((i,), (json.dumps(block),))
-        self.at.update((next_, bytes(rest), json.dumps(facts), seen, False))
-
-    def _said(self) -> list:
-        return list(self.parts.get()) if self.parts.exists() else []
-
-    def _blocks(self) -> dict[int, dict]:
-        return {int(k[0]): json.loads(v[0]) for k, v in self.blocks.iterator()} if self.blocks.exists() else {}
+                done = done or self.wire.read(data, state["meta"], say, blocks)
+            if done:
+                waits[first:end] = False
+                closed[name] = state["meta"], say, blocks
+                state |= {"rest": "", "meta": {}, "blocks": [], "closed": True}
+            else:
+                say_all += [{"key": _key(name), "kind": kind, "idx": index, "text": text} for kind, index, text in say]
+                state |= {"rest": rest.decode("latin-1"), "blocks": list(blocks.items())}
+        self._put(self.early, held.filter(pa.array(waits)))
+        return say_all, closed
+
+    def _states(self) -> dict[str, dict]:
+        return json.loads(self.at.get()[0]) if self.at.exists() else {}
+
+    @staticmethod
+    def _tables(state) -> list[pa.Table]:
+        return [_unpacked(bytes(x[0])) for x in state.get()] if state.exists() else []
+
+    @staticmethod
+    def _put(state, table: pa.Table) -> None:
+        if table.num_rows:
+            state.put([(_packed(table),)])
+        elif state.exists():
+            state.clear()
 
-    def _reply(self, key, meta: dict, parts: list, blocks: dict) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], json.dumps(self.wire.reply(meta, parts, blocks)))], columns=["stream_id", "out"])
+    def _keep(self, states: dict[str, dict], timerValues) -> None:  # noqa: N803
+        if states:
+            self.at.update((json.dumps(states),))
+            self.handle.registerTimer(max(min(s["seen"] for s in states.values()) + self.idle, timerValues.getCurrentWatermarkInMs() + 1))
+        else:
+            self.at.clear()
 
-    def _forget(self) -> None:
-        for state in (self.early, self.parts, self.blocks):
-            state.clear()
+    def _replies(self, ended: dict[str, tuple[dict, list, dict]]) -> Iterator[pd.DataFrame]:
+        """The replies of streams that have ended, given as (meta, said last, blocks) by name; what they said before is taken out of the state."""
+        if not ended:
+            return
+        before: dict[str, list] = {}
+        if tables := self._tables(self.parts):
+            parts = pa.concat_tables(tables)
+            theirs = pc.is_in(parts.column("key"), pa.array([_key(x) for x in ended], pa.large_string()))
+            own = parts.filter(theirs)
+            for key, *piece in zip(*[own.column(c).to_pylist() for c in PARTS.names], strict=True):
+                before.setdefault(_name(key), []).append(tuple(piece))
+            self._put(self.parts, parts.filter(pc.invert(theirs)))
+        found = iter(ended.items())
+        while some := list(itertools.islice(found, GIVEN)):
+            yield pd.DataFrame([(_key(name), json.dumps(self.wire.reply(meta, before.pop(name, []) + say, blocks))) for name, (meta, say, blocks) in some], columns=["stream_id", "out"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if not self.at.exists():
-            return
-        _, _, meta, seen, closed = self.at.get()
-        if seen + self.idle > max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()):
-            return
-        if not closed:
-            yield self._reply(key, json.loads(meta), self._said(), self._blocks())
-        self._forget()
-        self.at.clear()
+        now, states = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), self._states()
+        due = {name: states.pop(name) for name in [n for n, s in states.items() if s["seen"] + self.idle <= now]}
+        cut = {name: (s["meta"], [], dict(map(tuple, s["blocks"]))) for name, s in due.items() if not s["closed"]}
+        yield from self._replies(cut)
+        if cut and (tables := self._tables(self.early)):
+            early = pa.concat_tables(tables)
+            self._put(self.early, early.filter(pc.invert(pc.is_in(early.column("key"), pa.array([_key(x) for x in cut], pa.large_string())))))
+        self._keep(states, timerValues)
 
     def close(self) -> None:
         pass
@@ -203,6 +253,6 @@ class Assembly(StatefulProcessor):
 def live_replies(chunks: DataFrame, wire: str, late: str = "10 minutes", idle_ms: int = 600_000) -> DataFrame:
     """chunks (stream_id, chunk_seq from 0, chunk, at: when it arrived) as a stream -> a row for each reply, as openai_replies or anthropic_replies give it."""
     read, result = WIRES[wire]
-    timed = chunks.withColumn("at", within_pandas("at")).where("at IS NOT NULL AND chunk_seq IS NOT NULL AND chunk IS NOT NULL").withWatermark("at", late).select("stream_id", "at", F.unix_millis("at").alias("ms"), "chunk_seq", "chunk").groupBy("stream_id")
+    timed = chunks.withColumn("at", within_pandas("at")).where("at IS NOT NULL AND chunk_seq IS NOT NULL AND chunk IS NOT NULL").withWatermark("at", late).select(F.col("stream_id").alias("key"), "at", F.unix_millis("at").alias("ms"), F.col("chunk_seq").cast("long").alias("chunk_seq"), "chunk").withColumn("bucket", _bucket()).groupBy("bucket")
     out = timed.transformWithStateInPandas(Assembly(read, idle_ms), "stream_id string, out string", "Append", "EventTime")
     return out.select("stream_id", F.from_json("out", result).alias("r")).select("stream_id", "r.*")
