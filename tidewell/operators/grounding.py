@@ -42,6 +42,33 @@ def counters(graded: DataFrame, by: str = "answer_id") -> DataFrame:
     return graded.groupBy(by).agg(F.count("*").alias("bullets"), F.count_if(F.col("support") != "unchecked").alias("cited"), of("exact").alias("exact"), of("partial").alias("partial"), of("none").alias("none"))
 
 
+def shared_counters(bullets: DataFrame, cites: DataFrame, pages: DataFrame, by: str = "answer_id") -> DataFrame:
+    """counters of answers that share their bullets, without a row for each bullet of each answer.
+
+    bullets: sheet, ord, text, quote, place. cites (by, sheet, place, link): every answer has all bullets of its sheet, and
+    links those of a place to that page. One automaton walk finds the quotes that stand in each page, so the work is that of
+    reading the pages, and of the quotes that are found; pages are shuffled only where a found bullet states more than its quote.
+    """
+    pages = pages.withColumn("url_key", U.url_key(F.col("url")))
+    kept = first_wins(pages.select(by, "url_key", "pos"), [by, "url_key"], "pos")
+    cited = cites.withColumn("url_key", U.url_key(F.col("link"))).join(kept, [by, "url_key"]).select(by, "sheet", "place", "pos")
+    claims = bullets.select("sheet", "ord", "place", F.struct(T.normal_text(F.col("quote")).alias("wanted"), T.claim_tokens(F.col("text")).alias("tokens")).alias("claim"))
+    texts = pages.where(F.col(by).isNotNull()).select(F.struct(by, "pos").alias("key"), T.normal_text(F.col("markdown")).alias("text"))
+    found = contained(texts, claims.select(F.col("claim.wanted").alias("phrase"))).select(f"key.{by}", "key.pos", "phrase").distinct()
+    hits = found.join(cited, [by, "pos"]).join(claims.withColumn("phrase", F.col("claim.wanted")), ["sheet", "place", "phrase"]).select(by, "pos", "claim")
+    bare = F.size("claim.tokens.identifiers") + F.size("claim.tokens.numbers") + F.size("claim.tokens.codes") == 0
+    more = hits.where(~bare).join(pages.select(by, "pos", "markdown"), [by, "pos"]).select(by, T.support_of(F.col("claim"), T.page_forms(F.col("markdown"))).alias("support"))
+    graded = hits.where(bare).select(by, F.lit("exact").alias("support")).unionByName(more)
+    of = lambda s: F.count_if(F.col("support") == s)
+    graded = graded.groupBy(by).agg(of("exact").alias("exact"), of("partial").alias("partial"))
+    size = bullets.groupBy("sheet", "place").agg(F.count("*").alias("n"))
+    every = cites.join(size, ["sheet", "place"]).groupBy(by).agg(F.sum("n").alias("bullets"))
+    linked = cited.join(size, ["sheet", "place"]).groupBy(by).agg(F.sum("n").alias("cited"))
+    no = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    out = every.join(linked, by, "left").join(graded, by, "left")
+    return out.select(by, "bullets", no("cited").alias("cited"), no("exact").alias("exact"), no("partial").alias("partial"), (no("cited") - no("exact") - no("partial")).alias("none"))
+
+
 def cited_support(bullets: DataFrame, pages: DataFrame, by: str = "answer_id") -> DataFrame:
     """Best support and its quote for each cited URL; of equal ones the first bullet's."""
     rows = bullet_pages(bullets, pages, by)
